@@ -4,18 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, sharding
+from . import bpe, embeddings, html, langid, minhash, mixing, quality, sharding, substring, toxicity
+from .runtime import fold
 
 SHARDS = 16
+#: Target weights of the mix by path: domains, and languages within any domain; sources of a language weigh alike.
+DOMAIN_WEIGHTS = {"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1}
+LANG_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+MIX_SHARE, MIX_SEED = 0.7, 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mix_domain() -> Column:
+    """The tables name no domain; sources are dealt to four domains by the number in their name."""
+    return F.concat(F.lit("d"), F.pmod(F.coalesce(F.expr("try_cast(regexp_extract(source, '[0-9]+', 0) AS bigint)"), F.lit(0)), F.lit(4)).cast("string"))
+
+
+def mix_weights() -> dict[tuple, float]:
+    return {(d,): w for d, w in DOMAIN_WEIGHTS.items()} | {(d, lang): w for d in DOMAIN_WEIGHTS for lang, w in LANG_WEIGHTS.items()}
+
+
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
 def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -27,6 +45,36 @@ def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold(F.col("doc_id")) != 1))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op4_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    machine = toxicity.fit(docs, labels.where(fold(F.col("doc_id")) != 1))
+    found = toxicity.score(docs.select("doc_id", "text"), machine)
+    return found.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+
+
+def op5_pca_tiled_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_text_density_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select(
+        "doc_id", F.size("spans").cast("long").alias("n_spans"), "spans", F.col("earlier").alias("earlier_doc_ids"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_left_crc32"),
+    )
+
+
 def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,6 +88,12 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, tokens, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    chosen = mixing.mix(docs, mix_domain(), mix_weights(), share=MIX_SHARE, epochs=2, seed=MIX_SEED)
+    return chosen.select("doc_id", mix_domain().alias("domain"), "lang", "source", "epoch")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kf: int(kf[0][2:].split("_")[0])))

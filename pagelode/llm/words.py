@@ -13,7 +13,8 @@ import xxhash
 
 SHINGLE = 5
 _CHUNK = 1 << 20
-_MULT = 0x9E3779B97F4A7C15 | 1
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -31,7 +32,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base of the rolling hash and of its inverse, for at most 2 ** 21 + 1 positions."""
     if "p" not in _POWERS:
         size = 2 * _CHUNK + 1
-        for name, base in (("p", _MULT), ("i", pow(_MULT, -1, 1 << 64))):
+        for name, base in (("p", BASE), ("i", BASE_INVERSE)):
             step = np.full(size, base, np.uint64)
             step[0] = 1
             _POWERS[name] = np.multiply.accumulate(step)
@@ -118,7 +119,7 @@ class Words:
             part = padded[at + j]
             if short:
                 part = np.where(at + j < ends, part, np.uint64(0x51ED270B))
-            h = h * np.uint64(_MULT) + part
+            h = h * np.uint64(BASE) + part
         return mix(h), first
 
 
