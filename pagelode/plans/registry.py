@@ -1,15 +1,651 @@
-"""All queries of the engine by name, with the DuckDB SQL that gives the same rows."""
+"""All queries of the engine by name, with the DuckDB SQL that gives the same rows.
+
+Search queries use words of the fixtures. The SQL is written on its own, from the same definitions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import cleaning, rules, text
+from ..operators import analysis, index, maintain, ocr, query, search, structure
+from ..sources import corpus
+from ..sources import files as file_sources
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+# ---- SQL for the corpus of volumes, shared by many oracles ----
+_PAGES = """pages_v AS (SELECT CAST(substr(source,4) AS BIGINT)+1 AS file_id,
+  CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_num, text FROM documents)"""
+_FILES = """files_v AS (SELECT CAST(substr(source,4) AS BIGINT)+1 AS id, concat('Volume ',substr(source,4),'.pdf') AS filename,
+  CASE WHEN CAST(substr(source,4) AS INT)%5=0 THEN concat('Volume ',substr(source,4),'.pdf')
+  ELSE concat('shelf',CAST(CAST(substr(source,4) AS INT)%3 AS VARCHAR),'/set',CAST(CAST(substr(source,4) AS INT)%2 AS VARCHAR),'/Volume ',substr(source,4),'.pdf') END AS relative_path,
+  1700000000.0::DOUBLE+CAST(substr(source,4) AS INT) AS last_modified, sha256(concat('Volume ',substr(source,4),'.pdf')) AS file_hash
+  FROM (SELECT DISTINCT source FROM documents))"""
+_CHAPTERS = """chapters_v AS (SELECT file_id, page_num, concat('Part ',page_num) AS title, 1 AS level FROM pages_v WHERE (page_num-1)%5=0
+  UNION ALL SELECT file_id, page_num, concat('Section ',page_num), 2 FROM pages_v WHERE (page_num-1)%5=2)"""
+_TOKENS = r"toks AS (SELECT file_id, page_num, text, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS tokens FROM pages_v)"
+_WORDS = "words AS (SELECT file_id, page_num, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM toks)"
+_BASE = f"WITH {_PAGES}, {_FILES}, {_TOKENS}"
+
+
+def _phrase_sql(*words: str) -> str:
+    joins = " ".join(f"JOIN words w{k} ON w{k}.file_id=w0.file_id AND w{k}.page_num=w0.page_num AND w{k}.pos=w0.pos+{k} AND w{k}.token='{w}'" for k, w in enumerate(words) if k)
+    return f"SELECT DISTINCT w0.file_id, w0.page_num FROM words w0 {joins} WHERE w0.token='{words[0]}'"
+
+
+def _books_sql(hits: str, extra: str = "", where: str = "") -> str:
+    """Matches by book, from SQL that gives (file_id, page_num)."""
+    return f"{_BASE}, {_WORDS}, hits AS ({hits}){extra} SELECT h.file_id, f.filename, f.relative_path, count(*) AS match_count FROM hits h JOIN files_v f ON f.id=h.file_id {where} GROUP BY ALL"
+
+
+def _has(*words: str) -> str:
+    return "SELECT file_id, page_num FROM toks WHERE " + " AND ".join(f"list_contains(tokens,'{w}')" for w in words)
+
+
+def _query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql is not None:
+            _SQL[key] = sql
+        return f
+
+    return register
+
+
+# ---- corpus and tokens ----
+
+
+@_query(f"WITH {_FILES} SELECT * FROM files_v")
+def files_registry(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.files(spark, d)
+
+
+@_query(f"WITH {_PAGES} SELECT * FROM pages_v")
+def pages_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.pages(spark, d)
+
+
+@_query(f"WITH {_PAGES}, {_TOKENS} SELECT token, count(DISTINCT (file_id, page_num)) AS df, count(*) AS tf FROM (SELECT file_id, page_num, unnest(tokens) AS token FROM toks) GROUP BY token")
+def tokenize_df_tf(spark: SparkSession, d: str) -> DataFrame:
+    return index.document_frequency(corpus.pages(spark, d))
+
+
+@_query(f"WITH {_PAGES}, {_TOKENS}, {_WORDS} SELECT token, file_id, page_num, CAST(count(*) AS INT) AS n, CAST(min(pos)-1 AS INT) AS first_pos FROM words GROUP BY ALL")
+def postings_table(spark: SparkSession, d: str) -> DataFrame:
+    return index.postings(corpus.pages(spark, d)).select("token", "file_id", "page_num", F.size("positions").alias("n"), F.get("positions", F.lit(0)).alias("first_pos"))
+
+
+# ---- query language ----
+
+_EITHER = "SELECT file_id, page_num FROM toks WHERE list_contains(tokens,'idiot') OR list_contains(tokens,'clown')"
+_SEARCHES = {
+    "search_term_books": ("thing", _has("thing")),
+    "search_and": ("the thing", _has("the", "thing")),
+    "search_phrase": ('"of the"', _phrase_sql("of", "the")),
+    "search_phrase_three": ('"que de la"', _phrase_sql("que", "de", "la")),
+    "search_prefix": ("thin*", "SELECT DISTINCT file_id, page_num FROM words WHERE token LIKE 'thin%'"),
+    "search_phrase_prefix": ('"of thi*"', "SELECT file_id, page_num FROM toks WHERE list_contains(tokens,'of') INTERSECT SELECT file_id, page_num FROM words WHERE token LIKE 'thi%'"),
+    "search_hyphen": ("of-the", f"({_phrase_sql('of', 'the')}) UNION SELECT file_id, page_num FROM toks WHERE list_contains(tokens,'ofthe')"),
+    "search_apostrophe": ("of'the", _phrase_sql("of", "the")),
+    "search_keyword_literal": ("the AND of", _has("the", "and", "of")),
+    "search_leading_wildcard": ("*thing", _has("thing")),
+    "search_grouped_or": ("(idiot)OR(clown)", _EITHER),
+    "search_grouped_not": ("(the)NOT(of)", "SELECT file_id, page_num FROM toks WHERE list_contains(tokens,'the') AND NOT list_contains(tokens,'of')"),
+    "search_first_token": ("^the", "SELECT file_id, page_num FROM words WHERE pos=1 AND token='the'"),
+    "search_column_filter": ("text:thing", _has("thing")),
+    "search_accents": ("été", _has("ete")),
+    "search_empty": ("   ", _has("the") + " AND false"),
+    "search_unknown_column": ("nope:thing", _has("the") + " AND false"),
+    "search_syntax_error": ("(thing", _has("the") + " AND false"),
+}
+
+
+def _books(spark: SparkSession, d: str, text_: str, folders: list[str] | None = None) -> DataFrame:
+    hit = search.hits(corpus.pages(spark, d), query.parse(text_))
+    return search.books(hit, search.in_folders(corpus.files(spark, d), folders or []))
+
+
+for _name, (_text, _hits) in _SEARCHES.items():
+    _query(_books_sql(_hits), _name)(lambda spark, d, t=_text: _books(spark, d, t))
+
+
+def _postings_books(spark: SparkSession, d: str, t: str) -> DataFrame:
+    found = index.matching_pages(index.postings(corpus.pages(spark, d)), query.parse(t).tree)
+    return search.books(found, corpus.files(spark, d))
+
+
+for _name in ("search_and", "search_phrase", "search_prefix", "search_grouped_or", "search_grouped_not", "search_first_token"):
+    _query(_SQL[_name], f"postings_{_name}")(lambda spark, d, t=_SEARCHES[_name][0]: _postings_books(spark, d, t))
+
+
+# ---- folders, order, paging ----
+
+
+@_query(_books_sql(_has("the"), where="WHERE lower(f.relative_path) LIKE 'shelf1/%' OR lower(f.relative_path) LIKE 'shelf2/set0/%'"))
+def search_folder_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _books(spark, d, "the", ["Shelf1", "shelf2\\set0"])
+
+
+@_query(_books_sql(_has("the"), where="WHERE f.relative_path NOT LIKE '%/%'"))
+def search_root_only(spark: SparkSession, d: str) -> DataFrame:
+    return _books(spark, d, "the", ["(Root)"])
+
+
+_NUMBER = "CAST(regexp_extract(filename,'[0-9]+') AS BIGINT)"
+_AND_BOOKS = _books_sql(_has("the", "of"))
+
+
+@_query(f"SELECT file_id, filename, match_count, CAST(row_number() OVER (ORDER BY {_NUMBER}, file_id) AS INT) AS rank FROM ({_AND_BOOKS})")
+def search_sort_filename(spark: SparkSession, d: str) -> DataFrame:
+    return search.ranked(_books(spark, d, "the of")).select("file_id", "filename", "match_count", "rank")
+
+
+@_query(f"SELECT file_id, filename, match_count, CAST(row_number() OVER (ORDER BY match_count DESC, {_NUMBER}, file_id) AS INT) AS rank FROM ({_AND_BOOKS})")
+def search_sort_relevance(spark: SparkSession, d: str) -> DataFrame:
+    return search.ranked(_books(spark, d, "the of"), "relevance").select("file_id", "filename", "match_count", "rank")
+
+
+@_query(f"SELECT file_id, filename, relative_path, match_count FROM ({_AND_BOOKS}) ORDER BY match_count DESC, {_NUMBER}, file_id LIMIT 5 OFFSET 3")
+def search_page_cut(spark: SparkSession, d: str) -> DataFrame:
+    return search.cut(_books(spark, d, "the of"), 3, 5, "relevance")
+
+
+@_query(f"SELECT count(*) AS total_books, CAST(coalesce(sum(match_count),0) AS BIGINT) AS total_pages FROM ({_AND_BOOKS})")
+def search_totals(spark: SparkSession, d: str) -> DataFrame:
+    return search.totals(_books(spark, d, "the of"))
+
+
+_CHOSEN = f"chosen AS (SELECT file_id FROM (SELECT h.file_id, f.filename, count(*) AS match_count FROM hits h JOIN files_v f ON f.id=h.file_id GROUP BY ALL) ORDER BY {_NUMBER}, file_id LIMIT 6)"
+_HITS_SQL = f"""{_BASE}, hits AS ({_has("the", "of")}), {_CHOSEN}, ranked AS (SELECT h.file_id, h.page_num,
+  CAST(row_number() OVER (PARTITION BY h.file_id ORDER BY h.page_num) AS INT) AS rn FROM hits h WHERE h.file_id IN (SELECT file_id FROM chosen))"""
+
+
+def _some_hits(spark: SparkSession, d: str) -> DataFrame:
+    p = corpus.pages(spark, d)
+    hit = search.hits(p, query.parse("the of"))
+    return search.page_hits(hit, p, search.cut(search.books(hit, corpus.files(spark, d)), 0, 6))
+
+
+@_query(_HITS_SQL + " SELECT r.file_id, r.page_num, r.rn, CASE WHEN rn<=3 THEN p.text ELSE '' END AS text FROM ranked r JOIN pages_v p USING (file_id, page_num)")
+def search_hits_topk_text(spark: SparkSession, d: str) -> DataFrame:
+    return _some_hits(spark, d)
+
+
+@_query(_HITS_SQL + """ SELECT r.file_id, r.page_num, md5(a.text) AS prev_md5, md5(b.text) AS next_md5 FROM ranked r
+  LEFT JOIN pages_v a ON a.file_id=r.file_id AND a.page_num=r.page_num-1 LEFT JOIN pages_v b ON b.file_id=r.file_id AND b.page_num=r.page_num+1""")
+def search_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    found = search.with_neighbors(_some_hits(spark, d), corpus.pages(spark, d))
+    return found.select("file_id", "page_num", F.md5("prev_text").alias("prev_md5"), F.md5("next_text").alias("next_md5"))
+
+
+@_query(f"WITH {_PAGES} SELECT file_id, page_num, text FROM pages_v WHERE file_id=3 AND page_num IN (4,5,6)")
+def single_page_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.pages(spark, d).where((F.col("file_id") == 3) & F.col("page_num").isin(4, 5, 6))
+
+
+@_query(f"""WITH {_PAGES}, {_CHAPTERS}, near AS (SELECT p.file_id, p.page_num, c.title, c.level FROM pages_v p JOIN chapters_v c ON c.file_id=p.file_id AND c.page_num<=p.page_num
+  WHERE NOT EXISTS (SELECT 1 FROM chapters_v n WHERE n.file_id=p.file_id AND n.page_num<=p.page_num AND n.page_num>c.page_num AND n.level<=c.level))
+  SELECT p.file_id, p.page_num, (SELECT string_agg(title, ' > ' ORDER BY level) FROM near n WHERE n.file_id=p.file_id AND n.page_num=p.page_num) AS chapter FROM pages_v p""")
+def chapter_breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
+    return search.breadcrumbs(corpus.pages(spark, d).select("file_id", "page_num"), corpus.chapters(spark, d))
+
+
+@_query()
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    found = search.results(corpus.pages(spark, d), corpus.files(spark, d), corpus.chapters(spark, d), "the thing", limit=10, sort_by="relevance", most=8)
+    return found.select("file_id", "filename", "match_count", F.explode("matches").alias("m")).select("file_id", "filename", "match_count", "m.*")
+
+
+@_query()
+def snippet_on_demand(spark: SparkSession, d: str) -> DataFrame:
+    return search.snippet_for_page(corpus.pages(spark, d), 1, 5, "the of")
+
+
+@_query(f"SELECT file_id, match_count FROM ({_books_sql(_has('the', 'thing'))}) ORDER BY match_count DESC, {_NUMBER}, file_id LIMIT 10")
+def result_json(spark: SparkSession, d: str) -> DataFrame:
+    made = analysis.result_json(search.cut(_books(spark, d, "the thing"), 0, 10, "relevance"), "file_id", "filename", "match_count")
+    return made.select(F.from_json("document", "file_id bigint, filename string, match_count bigint").alias("j")).select("j.file_id", "j.match_count")
+
+
+# ---- structure ----
+
+_EDGES = r"""solid AS (SELECT file_id, page_num, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda s: s <> '') AS s FROM pages_v),
+  n AS (SELECT file_id, count(*) AS n_pages FROM pages_v GROUP BY 1 HAVING count(*) > 8),
+  edges AS (SELECT file_id, page_num, 'header' AS place, unnest(s[1:3]) AS line FROM solid UNION ALL SELECT file_id, page_num, 'footer', unnest(s[greatest(len(s)-2,1):len(s)]) FROM solid)"""
+
+
+@_query(f"WITH {_PAGES}, {_EDGES} SELECT file_id, line, count(*) AS n FROM edges JOIN n USING (file_id) GROUP BY ALL HAVING count(*) >= 3")
+def line_freq_exact(spark: SparkSession, d: str) -> DataFrame:
+    return structure.common_lines(corpus.pages(spark, d))
+
+
+@_query(f"""WITH {_PAGES}, {_EDGES} SELECT file_id, place, line, n FROM (SELECT file_id, place, regexp_replace(line, '[0-9]+', '<NUM>', 'g') AS line, count(*) AS n, any_value(n_pages) AS np
+  FROM edges JOIN n USING (file_id) GROUP BY 1,2,3) WHERE n >= greatest(3, least(np//10, 25))""")
+def line_freq_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return structure.fuzzy_lines(corpus.pages(spark, d))
+
+
+@_query()
+def header_footer_strip(spark: SparkSession, d: str) -> DataFrame:
+    return structure.strip_headers(corpus.pages(spark, d))
+
+
+@_query(f"""WITH {_PAGES}, nxt AS (SELECT file_id, page_num, text, CASE WHEN lead(page_num) OVER w = page_num+1 THEN lead(text) OVER w END AS nx FROM pages_v WINDOW w AS (PARTITION BY file_id ORDER BY page_num)),
+  h AS (SELECT *, left(nx,300) AS head FROM nxt), c AS (SELECT *, CASE WHEN length(nx)>300 AND contains(head,' ') THEN left(head, length(head)-instr(reverse(head),' ')) ELSE head END AS clip,
+  trim(head, ' '||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)) AS shead FROM h)
+  SELECT file_id, page_num, md5(CASE WHEN nx IS NULL OR regexp_full_match(nx, '\\s*') OR contains(right(text,200), left(shead,50)) THEN text
+  ELSE text || ' ' || trim(clip, ' '||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)) END) AS text_md5 FROM c WHERE NOT regexp_full_match(text, '\\s*')""".replace("\\\\s", "\\s"))
+def page_overlap_append(spark: SparkSession, d: str) -> DataFrame:
+    return structure.overlapped(corpus.pages(spark, d), heal=False).select("file_id", "page_num", F.md5("text").alias("text_md5"))
+
+
+@_query(f"""WITH {_PAGES}, base AS (SELECT DISTINCT file_id FROM pages_v), k AS (SELECT unnest([1,2,3,4,5,6]) AS k)
+  SELECT file_id, CAST(1+(k%3) AS INT) AS level, concat('Entry ',k,' of ',file_id) AS title, CAST(k*7 AS INT) AS page FROM base, k""")
+def visual_toc(spark: SparkSession, d: str) -> DataFrame:
+    """The fixtures have no tables of contents, so each volume gets a page of one."""
+    entry = F.concat(F.repeat(F.lit(" "), F.col("k") % 3 * 3), F.lit("Entry "), F.col("k"), F.lit(" of "), F.col("file_id"), F.lit(" ......... "), F.col("k") * 7)
+    made = corpus.files(spark, d).select(F.col("id").alias("file_id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("k")).withColumn("line", entry)
+    toc = made.groupBy("file_id").agg(F.array_join(F.collect_list("line"), "\n").alias("text")).withColumn("page_num", F.lit(2))
+    return structure.visual_toc(toc.unionByName(corpus.pages(spark, d).where("page_num > 2").select("file_id", "text", "page_num")))
+
+
+@_query(f"WITH {_PAGES}, {_CHAPTERS} SELECT file_id, page_num FROM pages_v WHERE (page_num-1)%10 < 5")
+def boilerplate_chapter_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every other part is called 'Preface'; its sections belong to it."""
+    p = corpus.pages(spark, d)
+    toc = corpus.chapters(spark, d).select("file_id", "level", F.when((F.col("level") == 1) & ((F.col("page_num") - 1) % 10 == 0), F.lit(" Preface ")).otherwise(F.col("title")).alias("title"), F.col("page_num").alias("page"))
+    return structure.boilerplate_pages(toc, p.groupBy("file_id").agg(F.count("*").alias("n_pages")))
+
+
+@_query(f"WITH {_PAGES}, {_CHAPTERS} SELECT file_id, page_num, title, level FROM chapters_v WHERE title NOT IN ('Part 1')")
+def valid_chapters(spark: SparkSession, d: str) -> DataFrame:
+    toc = corpus.chapters(spark, d).select("file_id", F.col("page_num").alias("page"), F.when(F.col("title") == "Part 1", F.lit("Table of Contents")).otherwise(F.col("title")).alias("title"), "level")
+    return structure.valid_chapters(toc)
+
+
+# ---- quality ----
+
+_SAMPLE = f"""WITH {_PAGES}, n AS (SELECT file_id, count(*) AS n FROM pages_v GROUP BY 1),
+  i AS (SELECT DISTINCT file_id, CAST(floor(n*q) AS INT)+1 AS page_num FROM n, (SELECT unnest([.10::DOUBLE,.15::DOUBLE,.25::DOUBLE,.35::DOUBLE,.45::DOUBLE,.55::DOUBLE,.65::DOUBLE,.75::DOUBLE,.85::DOUBLE,.90::DOUBLE]) AS q) WHERE n>10
+    UNION SELECT file_id, CAST(unnest([0, n//2, n-1]) AS INT)+1 FROM n WHERE n<=10),
+  s AS (SELECT file_id, page_num, trim(coalesce(text,''), ' '||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)) AS t FROM pages_v JOIN i USING (file_id, page_num))"""
+
+
+@_query(_SAMPLE + " SELECT file_id, page_num FROM s")
+def page_sample(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.sampled(corpus.pages(spark, d)).select("file_id", "page_num")
+
+
+@_query(_SAMPLE + " SELECT file_id, count(*) AS n_pages, CAST(sum(length(t)) AS BIGINT) AS total_chars, CAST(max(length(t)) AS INT) AS max_chars FROM s GROUP BY 1")
+def ocr_features(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.features(corpus.pages(spark, d)).select("file_id", "n_pages", "total_chars", "max_chars")
+
+
+@_query()
+def ocr_status(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.status(ocr.features(corpus.pages(spark, d)))
+
+
+_STOP = ",".join(f"'{w}'" for w in rules.STOP_WORDS)
+
+
+@_query(f"""SELECT doc_id, len(w) AS n_words, len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_common
+  FROM (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', '#', 'g')), '\\b[a-z]+\\b') AS w FROM documents)""")
+def stopword_ratio(spark: SparkSession, d: str) -> DataFrame:
+    ascii_ = F.lower(F.regexp_replace("text", F.lit(r"[^\x00-\x7F]"), F.lit("#")))
+    words = F.regexp_extract_all(ascii_, F.lit(r"\b[a-z]+\b"), F.lit(0))
+    return corpus.table(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.filter("w", lambda x: x.isin(*rules.STOP_WORDS))).cast("long").alias("n_common"))
+
+
+_QUEUE = """q AS (SELECT concat('f', user_id) AS path, CAST(count(*)%3 AS INT) AS attempts FROM events WHERE event_id%2=0 GROUP BY 1),
+  a AS (SELECT concat('f', user_id) AS path, max(event_id)%3=0 AS ok FROM events WHERE event_id%5<2 GROUP BY 1)"""
+
+
+@_query(f"""WITH {_QUEUE} SELECT path, CAST(CASE WHEN ok IS NULL THEN coalesce(attempts,0) WHEN ok THEN 0 ELSE coalesce(attempts,0)+1 END AS INT) AS attempts,
+  CASE WHEN ok IS NULL THEN 'waiting' WHEN ok THEN 'done' WHEN coalesce(attempts,0)+1>=3 THEN 'poisoned' ELSE 'requeued' END AS state FROM q FULL JOIN a USING (path)""")
+def ocr_queue_transition(spark: SparkSession, d: str) -> DataFrame:
+    """Queue and results made from the stream of events."""
+    e = corpus.table(spark, d, "events").withColumn("path", F.concat(F.lit("f"), F.col("user_id")))
+    queue = e.where("event_id % 2 = 0").groupBy("path").agg((F.count("*") % 3).cast("int").alias("attempts"))
+    attempts = e.where("event_id % 5 < 2").groupBy("path").agg((F.max("event_id") % 3 == 0).alias("ok"))
+    return ocr.next_queue(queue, attempts)
+
+
+@_query("SELECT concat('doc', doc_id) AS path, CASE WHEN n_chars < 200 THEN 'missing' ELSE 'redo' END AS reason FROM documents WHERE n_chars < 200 OR n_chars % 7 = 0")
+def ocr_todo_lists(spark: SparkSession, d: str) -> DataFrame:
+    s = corpus.table(spark, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id")).alias("path"), F.when(F.col("n_chars") < 200, "missing").when(F.col("n_chars") % 7 == 0, "redo").alias("status"))
+    return maintain.todo_lists(s)
+
+
+# ---- text steps ----
+
+
+def _step(name: str, f: Callable, sql: str) -> None:
+    _query(f"SELECT doc_id, md5({sql}) AS text_md5 FROM documents", name)(lambda spark, d: corpus.table(spark, d, "documents").select("doc_id", F.md5(f(F.col("text"))).alias("text_md5")))
+
+
+_step("clean_whitespace", cleaning.whitespace, r"regexp_replace(text, '[ \t\r\f\v\x{a0}]+', ' ', 'g')")
+_step("clean_watermark", cleaning.watermarks, r"regexp_replace(text, '(?i)(?:oceanofpdf(?: |)\.com|angrygotfan\.com)', '', 'g')")
+_step("clean_ellipsis", cleaning.ellipsis, r"regexp_replace(text, '\.(?:\s+\.){2,}', '...', 'g')")
+_step("clean_collapse", cleaning.collapse, "regexp_replace(text, ' +', ' ', 'g')")
+_step("clean_separators", lambda t: F.regexp_replace(t, F.lit(rules.GARBAGE[1]), F.lit("")), r"regexp_replace(text, '[#=~*_\-]{4,}', '', 'g')")
+_TR = "translate(text, '“”‘’´`|–—', '\"\"''''''''I--')"
+_step("clean_translate", cleaning.characters, "replace(replace(replace(" + _TR + ", 'æ', 'ae'), 'œ', 'oe'), '…', '...')")
+_step("digit_token", text.digits_to_token, "regexp_replace(text, '[0-9]+', '<NUM>', 'g')")
+_step("html_escape", text.escape_html, "replace(replace(replace(text,'&','&amp;'),'<','&lt;'),'>','&gt;')")
+_step("truncate_label", lambda t: text.truncate(t, 100), "CASE WHEN length(text)>100 THEN left(text,99)||'…' ELSE text END")
+_step("markdown_render", lambda t: text.to_markdown(text.escape_html(t)), r"regexp_replace(text, '([\\*_~`>#])', '\\\1', 'g')")
+_step("highlight_terms", lambda t: F.regexp_replace(t, F.lit(r"(?i)\b(thing|of)\b"), F.lit("<b>$1</b>")), r"regexp_replace(text, '(?i)\b(thing|of)\b', '<b>\1</b>', 'g')")
+_step("strip_replacement_char", lambda t: F.replace(t, F.lit("�"), F.lit("")), "replace(text, '�', '')")
+
+
+@_query(r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '(?i)^\s*(?:page\s+|p\.\s+)?[0-9]+(?:\s+of\s+[0-9]+)?\s*$'))) AS INT) AS n_lines FROM documents")
+def pagenum_line(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n", -1), text.is_page_number)).alias("n_lines"))
+
+
+@_query()
+def clean_full(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.table(spark, d, "documents").select("doc_id", cleaning.clean(F.col("text")).alias("text"))
+
+
+@_query("SELECT a.item_id AS item_a, b.item_id AS item_b FROM benchmark a JOIN benchmark b ON b.item_id=a.item_id+1 WHERE contains(b.text, left(a.text, 50)) OR contains(right(a.text, 400), left(b.text, 50))")
+def page_merge_probe(spark: SparkSession, d: str) -> DataFrame:
+    b = corpus.table(spark, d, "benchmark")
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("item_b"), F.col("text").alias("after"))
+    hit = F.contains("after", F.left("text", F.lit(50))) | F.contains(F.right("text", F.lit(400)), F.left("after", F.lit(50)))
+    return b.join(nxt, "item_id").where(hit).select(F.col("item_id").alias("item_a"), "item_b")
+
+
+# ---- duplicates and titles ----
+
+
+@_query("""WITH l AS (SELECT doc_id AS f, unnest(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' '||chr(9)||chr(13)||chr(11)||chr(12)))) AS line FROM documents),
+  k AS (SELECT f, line FROM l WHERE length(line)>=40), n AS (SELECT f, count(*) AS n FROM k GROUP BY 1), o AS (SELECT DISTINCT f, line FROM k),
+  g AS (SELECT line FROM o GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5), p AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS shared FROM o a JOIN o b ON a.line=b.line AND a.f<b.f WHERE a.line IN (SELECT line FROM g) GROUP BY 1,2)
+  SELECT file_a, file_b, shared, shared/x.n::DOUBLE AS ratio_a, shared/y.n::DOUBLE AS ratio_b FROM p JOIN n x ON x.f=file_a JOIN n y ON y.f=file_b WHERE greatest(shared/x.n::DOUBLE, shared/y.n::DOUBLE)>=0.2""")
+def duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.duplicate_pairs(corpus.table(spark, d, "documents"), "doc_id")
+
+
+_NORM = r"trim(regexp_replace(translate(regexp_replace(lower({0}), '\.(pdf|epub|mobi|azw3|txt|docx?|cbz|cbr)$', ''), '''’‘`', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@_query(f"SELECT p_partkey, {_NORM.format('p_name')} AS title FROM part")
+def title_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.table(spark, d, "part").select("p_partkey", text.normalize_title(F.col("p_name")).alias("title"))
+
+
+def _titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = corpus.table(spark, d, "part")
+    works = p.where("p_partkey % 3 = 0").select(F.col("p_name").alias("title"))
+    local = p.where("p_partkey % 3 = 1").select(F.concat(F.upper("p_name"), F.lit(".pdf")).alias("title"))
+    return works, local
+
+
+@_query(f"""WITH w AS (SELECT DISTINCT p_name AS title, {_NORM.format('p_name')} AS n FROM part WHERE p_partkey%3=0), l AS (SELECT DISTINCT {_NORM.format("upper(p_name) || '.pdf'")} AS n FROM part WHERE p_partkey%3=1)
+  SELECT title, rule IS NOT NULL AS found, rule FROM (SELECT title, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.n=w.n) THEN 'exact' WHEN EXISTS (SELECT 1 FROM l WHERE contains(l.n,w.n) OR contains(w.n,l.n)) THEN 'part'
+  WHEN EXISTS (SELECT 1 FROM l WHERE list_sort(string_split(l.n,' '))=list_sort(string_split(w.n,' '))) THEN 'tokens' END AS rule FROM w)""")
+def title_match_exact(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.title_matches(*_titles(spark, d))
+
+
+@_query(f"""WITH w AS (SELECT DISTINCT p_name AS title, {_NORM.format('p_name')} AS n FROM part WHERE p_partkey%3=0), l AS (SELECT DISTINCT {_NORM.format("upper(p_name) || '.pdf'")} AS n FROM part WHERE p_partkey%3=1)
+  SELECT EXISTS (SELECT 1 FROM l WHERE contains(l.n,w.n) OR contains(w.n,l.n) OR list_sort(string_split(l.n,' '))=list_sort(string_split(w.n,' '))) AS found, count(*) AS n FROM w GROUP BY 1""")
+def title_reconcile_counts(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.title_matches(*_titles(spark, d)).groupBy("found").agg(F.count("*").alias("n"))
+
+
+@_query()
+def title_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    works = corpus.table(spark, d, "benchmark").select(F.left("text", F.lit(40)).alias("title"))
+    local = corpus.table(spark, d, "documents").select(F.left("text", F.lit(40)).alias("title"))
+    return analysis.fuzzy_title_matches(works, local)
+
+
+# ---- folders, parameters, chat ----
+
+_FOLDERS = f"""WITH {_FILES}, p AS (SELECT string_split(relative_path,'/') AS s FROM files_v), f AS (SELECT DISTINCT unnest(CASE WHEN len(s)=1 THEN ['(Root)'] ELSE list_transform(range(1, len(s)), lambda i: array_to_string(s[1:i], '/')) END) AS folder FROM p)"""
+
+
+@_query(_FOLDERS + " SELECT folder FROM f")
+def unique_folders(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.unique_folders(corpus.files(spark, d))
+
+
+@_query(_FOLDERS + " SELECT folder, folder='shelf1' OR folder LIKE 'shelf1/%' OR folder='shelf2/set0' OR folder LIKE 'shelf2/set0/%' AS allowed FROM f")
+def folder_allowlist(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.unique_folders(corpus.files(spark, d)).select("folder", analysis.allowed(F.col("folder"), ["shelf1", "shelf2/set0"]).alias("allowed"))
+
+
+@_query(_FOLDERS + " SELECT folder FROM f WHERE (folder='shelf1' OR folder LIKE 'shelf1/%') AND contains(lower(folder), 'set') ORDER BY folder LIMIT 25")
+def folder_autocomplete(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.autocomplete(analysis.unique_folders(corpus.files(spark, d)), "SET", ["shelf1"])
+
+
+@_query("SELECT c_custkey, coalesce(CASE WHEN c_custkey%7=0 THEN 'user' END, CASE WHEN c_nationkey%2=0 THEN 'guild' END, 'all') AS allow FROM customer")
+def allowlist_resolution(spark: SparkSession, d: str) -> DataFrame:
+    user, guild = F.when(F.col("c_custkey") % 7 == 0, "user"), F.when(F.col("c_nationkey") % 2 == 0, "guild")
+    return corpus.table(spark, d, "customer").select("c_custkey", analysis.resolved_allow_list(user, guild, F.lit("all")).alias("allow"))
+
+
+@_query("SELECT event_id, least(greatest(coalesce(TRY_CAST(CASE WHEN event_id%4=0 THEN 'x' ELSE CAST(event_id-50 AS VARCHAR) END AS INT), 20), 1), 100) AS lim FROM events")
+def param_clamp(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 4 == 0, F.lit("x")).otherwise((F.col("event_id") - 50).cast("string"))
+    return corpus.table(spark, d, "events").select("event_id", analysis.clamped(raw, 20, 1, 100).alias("lim"))
+
+
+_IDS = "concat('\"', o_custkey, '\", ', o_orderkey, ',x', o_orderkey, ',,', o_custkey)"
+
+
+@_query("SELECT o_orderkey, array_to_string(list_sort(list_distinct([CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR)])), '|') AS ids FROM orders")
+def id_list_parse(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit('"'), F.col("o_custkey"), F.lit('", '), F.col("o_orderkey"), F.lit(",x"), F.col("o_orderkey"), F.lit(",,"), F.col("o_custkey"))
+    return corpus.table(spark, d, "orders").select("o_orderkey", F.array_join(analysis.id_list(raw), "|").alias("ids"))
+
+
+@_query("SELECT n_nationkey, concat(n_name, '|', 'b') AS folders FROM nation")
+def folder_params(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit(" "), F.col("n_name"), F.lit(" , ,b,"))
+    return corpus.table(spark, d, "nation").select("n_nationkey", F.array_join(analysis.split_folders(raw), "|").alias("folders"))
+
+
+@_query(f"""WITH {_FILES}, c AS (SELECT CASE WHEN contains(relative_path,'/') THEN regexp_extract(relative_path,'^(.*)/[^/]*$',1) ELSE '(Root)' END AS folder, filename FROM files_v)
+  SELECT folder, string_agg(filename, '|' ORDER BY {_NUMBER}) AS entries FROM c GROUP BY 1""")
+def catalogue(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.catalogue(corpus.files(spark, d)).select("folder", F.array_join("entries", "|").alias("entries"))
+
+
+@_query(f"""{_BASE}, hits AS ({_has("idiot")}), o AS (SELECT file_id, page_num, row_number() OVER (ORDER BY file_id, page_num) AS n FROM hits)
+  SELECT file_id, page_num, n, CAST((n-1)//3 AS INT) AS embed_page, CAST((min(n) OVER (PARTITION BY file_id)-1)//3 AS INT) AS book_start FROM o""")
+def embed_pagination(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.embed_pages(search.hits(corpus.pages(spark, d), query.parse("idiot")))
+
+
+@_query(f"""WITH {_PAGES}, {_FILES} SELECT file_id, page_num, concat('**[', CASE WHEN contains(relative_path,'/') THEN regexp_extract(relative_path,'^(.*)/[^/]*$',1) ELSE '(Root)' END, '] ', left(filename, length(filename)-4), ' (', page_num, '/50)**', chr(10), 'Page ', page_num, chr(10), '> ', left(text, 5)) AS block
+  FROM pages_v JOIN files_v ON id=file_id WHERE page_num<=3""")
+def match_blocks(spark: SparkSession, d: str) -> DataFrame:
+    f = corpus.files(spark, d).select(F.col("id").alias("file_id"), "filename", "relative_path")
+    rows = corpus.pages(spark, d).where("page_num <= 3").join(f, "file_id")
+    block = analysis.match_block(text.folder_of(F.col("relative_path")), text.without_pdf(F.col("filename")), F.col("page_num"), F.lit(50), F.col("page_num"), F.lit(None).cast("string"), F.left("text", F.lit(5)))
+    return rows.select("file_id", "page_num", block.alias("block"))
+
+
+@_query(f"WITH {_FILES} SELECT id, concat('/file/', replace(replace(relative_path,' ','+'),'%2F','/'), '#page=7') AS link FROM files_v")
+def browser_links(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.files(spark, d).select("id", text.browser_link(F.col("relative_path"), F.lit(7)).alias("link"))
+
+
+# ---- maintenance: the second state of the library is made by moving, touching, dropping and adding some volumes ----
+
+_LISTING = """listing AS (SELECT CASE WHEN id%6=1 THEN concat('moved/', filename) ELSE relative_path END AS relative_path, filename, last_modified + CASE WHEN id%4=0 THEN 100 ELSE 0 END AS last_modified, file_hash FROM files_v WHERE id%5<>2
+  UNION ALL SELECT concat('new/N', id, '.pdf'), concat('N', id, '.pdf'), 1800000000.0, sha256(concat('N', id)) FROM files_v WHERE id%9=0)"""
+
+
+def _listing(spark: SparkSession, d: str) -> DataFrame:
+    f = corpus.files(spark, d)
+    old = f.where("id % 5 <> 2").select(
+        F.when(F.col("id") % 6 == 1, F.concat(F.lit("moved/"), F.col("filename"))).otherwise(F.col("relative_path")).alias("relative_path"), "filename",
+        (F.col("last_modified") + F.when(F.col("id") % 4 == 0, 100).otherwise(0)).alias("last_modified"), "file_hash",
+    )
+    n = F.concat(F.lit("N"), F.col("id"))
+    return old.unionByName(f.where("id % 9 = 0").select(F.concat(F.lit("new/"), n, F.lit(".pdf")).alias("relative_path"), F.concat(n, F.lit(".pdf")).alias("filename"), F.lit(1800000000.0).alias("last_modified"), F.sha2(n, 256).alias("file_hash")))
+
+
+_STATE = f"WITH {_FILES}, {_LISTING}"
+
+
+@_query(_STATE + " SELECT l.relative_path, l.last_modified, CASE WHEN f.id IS NULL THEN 'index' WHEN l.last_modified>f.last_modified THEN 'reindex' ELSE 'skip' END AS status FROM listing l LEFT JOIN files_v f USING (relative_path)")
+def change_detection(spark: SparkSession, d: str) -> DataFrame:
+    return maintain.changes(_listing(spark, d), corpus.files(spark, d))
+
+
+@_query(_STATE + " SELECT status, count(*) AS n FROM (SELECT CASE WHEN f.id IS NULL THEN 'index' WHEN l.last_modified>f.last_modified THEN 'reindex' ELSE 'skip' END AS status FROM listing l LEFT JOIN files_v f USING (relative_path)) GROUP BY 1")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return maintain.changes(_listing(spark, d), corpus.files(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_MOVES = "m AS (SELECT f.id, f.relative_path AS old_path, l.relative_path, l.filename, l.last_modified FROM listing l JOIN files_v f USING (file_hash) WHERE l.relative_path NOT IN (SELECT relative_path FROM files_v) AND f.relative_path NOT IN (SELECT relative_path FROM listing))"
+
+
+@_query(f"{_STATE}, {_MOVES} SELECT * FROM m")
+def rename_detection(spark: SparkSession, d: str) -> DataFrame:
+    return maintain.renames(_listing(spark, d), corpus.files(spark, d))
+
+
+@_query(f"{_STATE}, {_MOVES} SELECT f.id, coalesce(m.filename,f.filename) AS filename, coalesce(m.relative_path,f.relative_path) AS relative_path, coalesce(m.last_modified,f.last_modified) AS last_modified, f.file_hash FROM files_v f LEFT JOIN m USING (id)")
+def rename_apply(spark: SparkSession, d: str) -> DataFrame:
+    f = corpus.files(spark, d)
+    return maintain.renamed(f, maintain.renames(_listing(spark, d), f))
+
+
+@_query(_STATE + " SELECT * FROM files_v WHERE relative_path LIKE 'shelf%' AND relative_path NOT IN (SELECT relative_path FROM listing)")
+def delete_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    return maintain.deleted(corpus.files(spark, d), _listing(spark, d), "shelf")
+
+
+@_query(_STATE.replace("WITH ", f"WITH {_PAGES}, ", 1) + " SELECT file_id, page_num FROM pages_v WHERE file_id NOT IN (SELECT id FROM files_v WHERE relative_path NOT IN (SELECT relative_path FROM listing))")
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    gone = maintain.deleted(corpus.files(spark, d), _listing(spark, d))
+    return maintain.without_files(corpus.pages(spark, d), gone).select("file_id", "page_num")
+
+
+@_query(_STATE + " SELECT f.filename, relative_path, coalesce(l.last_modified,f.last_modified) AS last_modified, CASE WHEN l.relative_path IS NULL THEN f.file_hash ELSE l.file_hash END AS file_hash FROM files_v f LEFT JOIN listing l USING (relative_path) UNION ALL SELECT filename, relative_path, last_modified, file_hash FROM listing WHERE relative_path NOT IN (SELECT relative_path FROM files_v)")
+def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    return maintain.upserted(corpus.files(spark, d), _listing(spark, d)).select("filename", "relative_path", "last_modified", "file_hash")
+
+
+@_query(f"WITH {_PAGES} SELECT file_id, page_num, CASE WHEN file_id%3=0 THEN 'new' ELSE md5(text) END AS body FROM pages_v WHERE file_id%3<>0 OR page_num<=2")
+def replace_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = corpus.pages(spark, d)
+    new = p.where("file_id % 3 = 0 and page_num <= 2").withColumn("text", F.lit("new"))
+    return maintain.replaced_pages(p, new).select("file_id", "page_num", F.when(F.col("file_id") % 3 == 0, F.col("text")).otherwise(F.md5("text")).alias("body"))
+
+
+@_query("SELECT c_custkey AS k FROM customer WHERE c_custkey%2=0 UNION SELECT c_custkey FROM customer WHERE c_custkey%3=0")
+def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return maintain.inserted_or_ignored(c.where("k % 2 = 0"), c.where("k % 3 = 0"), ["k"])
+
+
+@_query(f"WITH {_FILES} SELECT id, relative_path FROM files_v")
+def path_migration(spark: SparkSession, d: str) -> DataFrame:
+    """Every other path has backslashes, and some have both forms."""
+    f = corpus.files(spark, d)
+    odd = f.withColumn("relative_path", F.when(F.col("id") % 2 == 0, F.replace("relative_path", F.lit("/"), F.lit("\\"))).otherwise(F.col("relative_path")))
+    twin = f.where("id % 2 = 1 and relative_path like '%/%'").withColumn("relative_path", F.replace("relative_path", F.lit("/"), F.lit("\\"))).withColumn("id", F.col("id") + 100000)
+    return maintain.normalized_paths(odd.unionByName(twin)).select("id", "relative_path")
+
+
+@_query(f"WITH {_FILES} SELECT id, last_modified FROM files_v WHERE relative_path = 'shelf1/set1/Volume 1.pdf'")
+def lookup_path(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.files(spark, d).where(F.col("relative_path") == "shelf1/set1/Volume 1.pdf").select("id", "last_modified")
+
+
+@_query(f"WITH {_FILES} SELECT id, filename, relative_path FROM files_v WHERE file_hash = sha256('Volume 3.pdf')")
+def lookup_hash(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.files(spark, d).where(F.col("file_hash") == F.sha2(F.lit("Volume 3.pdf"), 256)).select("id", "filename", "relative_path")
+
+
+@_query(f"WITH {_PAGES}, {_FILES} SELECT (SELECT count(*) FROM files_v) AS n_files, (SELECT count(*) FROM pages_v) AS n_pages, true AS has_content")
+def row_counts(spark: SparkSession, d: str) -> DataFrame:
+    f, p = corpus.files(spark, d).agg(F.count("*").alias("n_files")), corpus.pages(spark, d).agg(F.count("*").alias("n_pages"))
+    return f.join(F.broadcast(p)).withColumn("has_content", F.col("n_pages") > 0)  # one row each
+
+
+@_query("SELECT url, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS rel FROM pages")
+def relative_paths(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.table(spark, d, "pages").select("url", file_sources.relative_path(F.col("url"), F.lit("https:/")).alias("rel"))
+
+
+@_query(f"WITH {_FILES} SELECT id, relative_path FROM files_v WHERE NOT (relative_path LIKE 'shelf2/%' OR filename = 'Volume 4.pdf' OR contains('/'||relative_path, '/set0/'))")
+def ignore_filter(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.createDataFrame([("# kept out",), ("shelf2/",), (" Volume 4.pdf",), ("set0",), ("",)], "value string")
+    return file_sources.not_ignored(corpus.files(spark, d), file_sources.ignore_rules(lines)).select("id", "relative_path")
+
+
+@_query("SELECT n_name AS title FROM nation UNION ALL SELECT r_name FROM region")
+def text_list_source(spark: SparkSession, d: str) -> DataFrame:
+    lists = corpus.table(spark, d, "nation").select(F.concat(F.lit("1\ten\t"), F.col("n_name"), F.lit("\tx")).alias("value"))
+    return file_sources.text_list(lists.unionByName(corpus.table(spark, d, "region").select(F.concat(F.lit("  "), F.col("r_name")).alias("value"))))
+
+
+# ---- figures ----
+
+
+@_query("SELECT event_type, count(value) AS n, avg(value) AS mean, quantile_cont(value, .5) AS p50, quantile_cont(value, .95) AS p95, quantile_cont(value, .99) AS p99, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.latencies(corpus.table(spark, d, "events"), "event_type", "value")
+
+
+@_query("SELECT user_id, mean FROM (SELECT user_id, avg(value) AS mean FROM events GROUP BY 1) ORDER BY mean DESC, user_id LIMIT 5")
+def slowest_five(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.slowest(analysis.averaged(corpus.table(spark, d, "events"), "user_id", "value"), "user_id")
+
+
+@_query("""WITH b AS (SELECT user_id, max(value) AS v FROM events WHERE event_id%2=0 GROUP BY 1), c AS (SELECT user_id, max(value) AS v FROM events WHERE event_id%2=1 GROUP BY 1)
+  SELECT user_id, b.v AS base, c.v AS current, c.v-b.v AS delta, CASE WHEN b.v<>0 THEN (c.v-b.v)/b.v*100 END AS percent FROM b JOIN c USING (user_id)""")
+def baseline_compare(spark: SparkSession, d: str) -> DataFrame:
+    e = corpus.table(spark, d, "events")
+    half = lambda k: e.where(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.max("value").alias("v"))
+    return analysis.compared(half(0), half(1), "user_id", "v")
+
+
+@_query("SELECT event_type, avg(value) AS mean FROM events GROUP BY 1")
+def run_average(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.averaged(corpus.table(spark, d, "events"), "event_type", "value")
+
+
+@_query(f"""{_BASE}, hits AS ({_has("the", "of")}) SELECT file_id, count(*) AS n FROM hits GROUP BY 1""")
+def benchmark_query(spark: SparkSession, d: str) -> DataFrame:
+    return search.hits(corpus.pages(spark, d), query.parse("the of")).groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_PAGES}, {_TOKENS}, q AS (SELECT item_id, list_distinct(regexp_extract_all(strip_accents(lower(left(text, 30))), '[\\p{{L}}\\p{{N}}]+')[1:2]) AS t FROM benchmark)
+  SELECT item_id, count(*) AS n_pages FROM q JOIN toks ON len(list_filter(q.t, lambda x: NOT list_contains(toks.tokens, x)))=0 GROUP BY 1""")
+def batched_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Two-word queries made of the first words of each item, all answered by one join of the postings."""
+    words = F.array_distinct(F.slice(text.tokens(F.left("text", F.lit(30))), F.lit(1), F.lit(2)))
+    asked = corpus.table(spark, d, "benchmark").select("item_id", words.alias("t")).select("item_id", F.size("t").alias("need"), F.explode("t").alias("token"))
+    posts = index.with_tokens(corpus.pages(spark, d)).select("file_id", "page_num", F.explode(F.array_distinct("tokens")).alias("token"))
+    met = posts.join(asked, "token").groupBy("item_id", "need", "file_id", "page_num").agg(F.count("*").alias("k"))
+    return met.where("k = need").groupBy("item_id").agg(F.count("*").alias("n_pages"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.cut(_books(spark, sf_dir, "the thing"), 0, 20, "relevance")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
