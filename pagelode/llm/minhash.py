@@ -205,7 +205,8 @@ def classes(units: DataFrame, threshold: float = THRESHOLD, bands: int | None =
     pairs = members.join(centres, "key").where("uid <> centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     wanted = members.select("uid").distinct()
-    texts = written(units.join(wanted, "uid", "left_semi").dropDuplicates(["uid"]), "texts-wanted")
+    # a merge join at every size: the wanted ids grow with the texts, so they are never broadcast
+    texts = written(units.join(wanted.hint("merge"), "uid", "left_semi").dropDuplicates(["uid"]), "texts-wanted")
     links = written(verified(pairs, texts, threshold, k), "links")
     label = components(links).withColumnRenamed("node", "uid")
 
@@ -235,6 +236,6 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: f
     docs = docs.drop("class_id", "kept")
     found = classes(docs.select(F.col(key).alias("uid"), F.col(text).alias("text")), threshold)
     found = found.groupBy("uid").agg(F.min("label").alias("class_id")).withColumnRenamed("uid", "__uid")
-    joined = docs.join(found, F.col(f"`{key}`") == F.col("__uid"), "left").drop("__uid")
+    joined = docs.join(found.hint("merge"), F.col(f"`{key}`") == F.col("__uid"), "left").drop("__uid")
     joined = joined.withColumn("class_id", F.coalesce(F.col("class_id"), F.col(f"`{key}`")))
     return joined.withColumn("kept", F.coalesce(F.col("class_id") == F.col(f"`{key}`"), F.lit(True)))
