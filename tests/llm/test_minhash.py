@@ -107,7 +107,7 @@ def test_passages_are_cut_from_later_documents(spark):
     rng = random.Random(8)
     passage, other = _passages(rng, 70), _passages(rng, 60)
     mid = lambda p: f"{_passages(rng, 45)} {p} {_passages(rng, 45)}"
-    rows = [(1, mid(passage)), (2, mid(passage)), (3, f"{_passages(rng, 20)}\n{passage}\n{_passages(rng, 20)}"), (4, mid("")), (5, f"head\n{other}\ntail"), (6, f"top\n{other[:200]} changed {other[208:]}\nend"), (7, None), (8, "")]
+    rows = [(1, mid(passage)), (2, mid(passage)), (3, f"{_passages(rng, 20)}\n{passage}\n{_passages(rng, 20)}"), (4, mid("")), (5, f"head\n{other}\ntail"), (6, f"top\n{other.replace(other.split()[30], 'changed')}\nend"), (7, None), (8, "")]
     rows += [(9, mid(passage[:150])), (10, mid(passage) + " é"), (None, passage)]
     got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(rows, DOCS)).collect()}
     text = dict(rows)
