@@ -95,7 +95,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     """(uid, a, b, earlier): byte ranges of passages that documents with smaller ids hold too."""
     # Minima are combined before the shuffle; a paragraph of one document alone goes no further
     held = _pieces(docs, False).groupBy("piece").agg(F.min("uid").alias("earlier"), F.max("uid").alias("last")).where("earlier < last").drop("last")
-    again = _pieces(docs, True).join(held, "piece").where("earlier < uid").select("uid", "i", "w", "n", "a", "b", "earlier")
+    again = _pieces(docs, True).join(held.hint("merge"), "piece").where("earlier < uid").select("uid", "i", "w", "n", "a", "b", "earlier")
     by = Window.partitionBy("uid").orderBy("i")
     gap = F.col("i") - F.lag("i").over(by)
     runs = again.withColumns({"wide": F.coalesce((gap > MOST_GAP).cast("int"), F.lit(1)), "close": F.coalesce((gap > 1).cast("int"), F.lit(1))})
@@ -183,7 +183,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     docs = docs.drop("spans", "earlier")
     spans = StructType([StructField("a", LongType()), StructField("b", LongType())])
     found = written(repeats(docs, text, key), "repeats")
-    joined = docs.join(found, F.col(f"`{key}`") == F.col("doc"), "left").drop("doc")
+    joined = docs.join(found.hint("merge"), F.col(f"`{key}`") == F.col("doc"), "left").drop("doc")
     added = StructType([StructField("spans", ArrayType(spans)), StructField("earlier", ArrayType(LongType()))])
     schema = StructType(docs.schema.fields + added.fields)
     place, width = docs.columns.index(text), len(docs.columns)
