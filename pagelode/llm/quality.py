@@ -18,7 +18,7 @@ SKETCH_K = 1024
 LEAST_GROUP = 200
 FENCE = 3.0
 #: Each ratio with the least width of its fence, so that a group without spread doesn't fail texts for a trifle.
-RATIOS = {"mean_word_chars": 2.0, "symbols_per_word": 0.2, "dup_line_share": 0.2, "repeat_word_share": 0.2}
+RATIOS = {"mean_word_chars": 2.0, "symbols_per_word": 0.2, "dup_line_share": 0.4, "repeat_word_share": 0.3}
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
