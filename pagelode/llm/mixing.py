@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .runtime import unit_hash
 
 MOST_LEAVES = 100_000
-RANGE_ROWS = 4096
+RANGE_ROWS = 512
 LEVELS = ("domain", "lang", "source")
 
 
