@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from . import words
 from .hashing import NONE, Table
+from .runtime import map_arrow
 
 LONG = 256
 CACHE_PIECES = 500_000
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Fixed value: the split of the public vocabularies, which Splitter does without a regex engine.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MADE: dict[tuple, "Encoder"] = {}
@@ -347,4 +348,4 @@ def _mapped(df: DataFrame, tokens: list[bytes], pattern: str, column: str, make,
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [made[n] for n in names], [f.name for f in kept] + names)
 
     wanted = list(dict.fromkeys([f.name for f in kept] + [column]))
-    return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)
+    return map_arrow(df.select(*[F.col(f"`{c}`") for c in wanted]), run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import written
+from .runtime import map_arrow, written
 
 THRESHOLD = 0.93
 BLOCK = 2048
@@ -66,7 +66,7 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
             i, j = np.indices((d, d))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d), pa.int32()), pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(m.ravel())], ["d", "i", "j", "v"])
 
-    cells = vectors.select("vector").mapInArrow(part, "d int, i int, j int, v double").groupBy("d", "i", "j").agg(F.sum("v").alias("v")).toPandas()  # dimensions squared
+    cells = map_arrow(vectors.select("vector"), part, "d int, i int, j int, v double").groupBy("d", "i", "j").agg(F.sum("v").alias("v")).toPandas()  # dimensions squared
     found: dict[int, np.ndarray] = {}
     for d, g in cells.groupby("d"):
         m = np.zeros((int(d), int(d)))
@@ -167,7 +167,7 @@ def link(vectors: DataFrame, node: str = "vec_id", vector: str = "embedding", la
                 b[rows] = cell[:, min(1, d - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b)], [*batch.schema.names, "a", "b"])
 
-    placed = distinct.mapInArrow(leading, "label " + dict(distinct.dtypes)["label"] + ", vector array<double>, node bigint, copies bigint, a bigint, b bigint")
+    placed = map_arrow(distinct, leading, "label " + dict(distinct.dtypes)["label"] + ", vector array<double>, node bigint, copies bigint, a bigint, b bigint")
     placed = written(placed.withColumn("d", F.size("vector")), "vectors-placed")
     sizes = placed.groupBy("label", "d").agg((F.count("*") > GRID_ROWS).alias("grid"))
     cell = [F.when(F.col("grid"), F.col(c)).otherwise(0).alias(c) for c in "ab"]

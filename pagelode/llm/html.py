@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .runtime import map_arrow
+
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(?P<key>class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
@@ -234,4 +236,4 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
             made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + made, [f.name for f in kept + added])
 
-    return pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(html_column)).mapInArrow(run, StructType(kept + added))
+    return map_arrow(pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(html_column)), run, StructType(kept + added))

@@ -24,14 +24,14 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 
 from . import words
 from .hashing import NONE, Table
-from .runtime import unit_hash
+from .runtime import map_arrow, unit_hash
 
 ORDER = 5
 DISCOUNT = 0.75
 ROWS_PER_LANG = 600
 MOST_LANGS = 256
 UNKNOWN = "und"
-SLICE = 2 << 20
+SLICE = 1 << 20
 CACHE = 400_000
 #: A text is rejected only beyond this many times the largest deviation seen, and by at least this much for each symbol.
 REJECT_TIMES, REJECT_LEAST = 3.0, 1.0
@@ -81,7 +81,7 @@ class Runs:
 
     def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         value = words.mix(self.cp.astype(np.uint64) + np.uint64(1))
-        size = (1 << 21) + 1
+        size = (1 << 20) + 1
         if len(value) < size:
             power, inverse = words.powers(len(value) + 1)
         else:  # one very long text: powers of the same base, as many as it has code points
@@ -173,10 +173,8 @@ def _fit_language(spelled: list[str], counts: np.ndarray, alphabet: int) -> list
             count = np.bincount(where, minlength=len(gram)).astype(float)
         known, inside = np.unique(context, return_inverse=True)
         total = np.bincount(inside, weights=count, minlength=len(known))
-        types = np.bincount(inside, minlength=len(known))
         off = np.minimum(count, DISCOUNT)
         orders.append(Order(gram, (count - off) / total[inside], known, np.bincount(inside, weights=off, minlength=len(known)) / total))
-        assert types.min() > 0
     return orders[::-1]
 
 
@@ -270,7 +268,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         for name, c in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["l", "w", "n"])
 
-    table = taken.mapInArrow(counted, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    table = map_arrow(taken, counted, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
     langs = sorted(set(table.column("l").to_pylist()))
     by_lang = {name: table.filter(pa.compute.equal(table.column("l"), name)).sort_by("w") for name in langs}
     symbols = {c for t in by_lang.values() for w in t.column("w").to_pylist() for c in w}
@@ -325,4 +323,4 @@ def _mapped(docs: DataFrame, model: Model, text: str, others: list[str]) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + columns, [f.name for f in kept + added])
 
     wanted = list(dict.fromkeys([f.name for f in kept] + [text]))
-    return docs.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, StructType(kept + added))
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in wanted]), run, StructType(kept + added))

@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .runtime import written
+from .runtime import map_arrow, written
 
 THRESHOLD = 0.8
 RECALL = 0.999
 MOST_BANDS = 40
 BLOCK = 512
 SLICE = 1 << 19
-CELLS = 1 << 20
+CELLS = 1 << 18
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in np.cumprod([1.0, *range(1, 14)])])
 _TOP = np.uint64(2**64 - 1)
 
@@ -129,7 +129,7 @@ def signed(units: DataFrame, bands: int, rows: int, k: int = words.SHINGLE) -> D
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([uid.slice(i, j - i).take(pa.array(some)), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), lists], ["uid", "f1", "f2", "bands"])
 
-    return units.select("uid", "text").mapInArrow(run, "uid bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return map_arrow(units.select("uid", "text"), run, "uid bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
 def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -159,7 +159,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int = word
                 x, y = _sets(part.column(2), k), _sets(part.column(3), k)
                 yield part.select(["a", "b"]).filter(pa.array([similar(p, q, threshold) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(joined, run, "a bigint, b bigint")
 
 
 def _tile(table: pa.Table, threshold: float, k: int) -> pa.Table:
@@ -195,10 +195,10 @@ def classes(units: DataFrame, threshold: float = THRESHOLD, bands: int | None =
         bands, rows = tune(threshold)
     units = units.where("uid is not null")
     marks = written(signed(units, bands, rows, k), "signatures")
-    heads = written(marks.groupBy("f1", "f2").agg(F.min("uid").alias("uid"), F.max("uid").alias("last"), F.first("bands").alias("bands")), "texts")
+    heads = written(marks.groupBy("f1", "f2").agg(F.min("uid").alias("uid"), F.max("uid").alias("last"), F.first("bands").alias("bands")), "texts", release=True)
     inside = heads.select("uid", F.explode("bands").alias("key"))
     shared = inside.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(inside.join(shared, "key"), "buckets")
+    members = written(inside.join(shared, "key"), "buckets", release=True)
 
     worth = members.groupBy("uid").agg(F.sum(F.log2("n")).alias("worth"))
     centres = members.join(worth, "uid").groupBy("key").agg((-F.max(F.struct("worth", (-F.col("uid")).alias("u")))["u"]).alias("centre"))
@@ -206,8 +206,8 @@ def classes(units: DataFrame, threshold: float = THRESHOLD, bands: int | None =
     pairs = written(pairs, "pairs")
     wanted = members.select("uid").distinct()
     # a merge join at every size: the wanted ids grow with the texts, so they are never broadcast
-    texts = written(units.join(wanted.hint("merge"), "uid", "left_semi").dropDuplicates(["uid"]), "texts-wanted")
-    links = written(verified(pairs, texts, threshold, k), "links")
+    texts = written(units.join(wanted.hint("merge"), "uid", "left_semi").dropDuplicates(["uid"]), "texts-wanted", release=True)
+    links = written(verified(pairs, texts, threshold, k), "links", release=True)
     label = components(links).withColumnRenamed("node", "uid")
 
     # what is left: buckets of three texts or more with more than one class; equal buckets once

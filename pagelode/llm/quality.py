@@ -20,9 +20,14 @@ FENCE = 3.0
 #: Each ratio with the least width of its fence, so that a group without spread doesn't fail texts for a trifle.
 RATIOS = {"mean_word_chars": 2.0, "symbols_per_word": 0.2, "dup_line_share": 0.4, "repeat_word_share": 0.3}
 
+#: Columns that :func:`measured` adds.
+MEASURES = ["word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", *RATIOS]
+
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with the counts of the fixed rules and the ratios. A null text counts as empty."""
+    """``docs`` without its text, with the counts of the fixed rules and the ratios. A null text counts as empty.
+    Columns of these names are replaced."""
+    docs = docs.drop(*MEASURES)
     t = F.coalesce(F.col(text), F.lit(""))
     blank = F.lit(SPACE)
     trimmed = F.btrim(t, blank)
@@ -95,7 +100,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     Null languages and sources are groups of their own. Where no text of a group passes the fixed rules, none is kept, so
     no fence is needed. Repeated rows are judged each by itself, alike. An empty table gives an empty table.
     """
-    measures = written(measured(docs, text), "quality-measures")  # read twice: for the sketches and for the verdict
+    measures = written(measured(docs.drop("kept"), text), "quality-measures")  # read twice: for the sketches and for the verdict
     limits = fences(measures, (lang, source))
     inside = F.lit(True)
     for ratio in RATIOS:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,14 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and return that table.
 
-    This cuts the lineage: a lost executor costs only the tasks that it ran, since the written files stay.
+    This cuts the lineage: a lost executor costs only the tasks that it ran, since the written files stay. With ``release``
+    the driver collects its garbage afterwards, upon which Spark deletes the shuffle files of the plan that has ended; else
+    they stay until the driver happens to do so.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagelode/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +58,29 @@ def remove_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` in small batches, after each partition of which a worker gives its free memory back.
+
+    Texts can be long, so the session's batches are set to at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; rows where it is 1 are held out of every fit."""
     return F.crc32(doc_id.cast("string")) % 3

@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import words
 from .minhash import classes, tune
-from .runtime import written
+from .runtime import map_arrow, written
 
 LEAST_WORDS = 50
 #: Words of a run that must be in repeated paragraphs. A passage of LEAST_WORDS words has more than that many, since at
@@ -84,11 +84,11 @@ def _pieces(docs: DataFrame, full: bool) -> DataFrame:
             for i, j in words.slices(batch.column(1), SLICE):
                 rows, number, key, first, count, a, b = pieces(batch.column(1).slice(i, j - i))
                 uid = batch.column(0).slice(i, j - i).take(pa.array(rows))
-                rest = [pa.array(x.astype(np.int32)) for x in (number, first, count)] + [pa.array(x.astype(np.int64)) for x in (a, b)] if full else []
+                rest = [pa.array(x.astype(np.int32)) for x in (number, first, count, a, b)] if full else []
                 yield pa.RecordBatch.from_arrays([uid, pa.array(key), *rest], ["uid", *names])
 
-    schema = "uid bigint, piece bigint" + (", i int, w int, n int, a bigint, b bigint" if full else "")
-    return docs.select("uid", "text").mapInArrow(run, schema)
+    schema = "uid bigint, piece bigint" + (", i int, w int, n int, a int, b int" if full else "")
+    return map_arrow(docs.select("uid", "text"), run, schema)
 
 
 def _runs(docs: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     # a run without gaps that is long enough, or all of a run with gaps that is mostly repeated
     taken = close.withColumn("all", (total >= LEAST_RUN) & (total >= LEAST_SHARE * reach)).where(F.col("all") | (F.col("n") >= LEAST_RUN))
     spans = taken.groupBy("uid", "wide", F.when(~F.col("all"), F.col("close")).alias("part")).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("earlier").alias("earlier"))
-    return spans.select("uid", "a", "b", "earlier")
+    return spans.select("uid", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "earlier")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                     raise ValueError("a document's id or number of long lines is out of range")
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), *(pa.array(x, pa.int64()) for x in out[2:])], ["uid", "text", "doc", "a", "b"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid bigint, text string, doc bigint, a bigint, b bigint")
+    return map_arrow(docs.select("uid", "text"), run, "uid bigint, text string, doc bigint, a bigint, b bigint")
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -141,11 +141,12 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     own = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("uid"), F.col(text).alias("text"))
     lines = _lines(own)
     bands, rows = tune(0.8, 0.999, MOST_BANDS)
-    label = classes(lines.select("uid", "text"), 0.8, bands, rows)
+    label = written(classes(lines.select("uid", "text"), 0.8, bands, rows), "line-classes", release=True)
     late = label.withColumn("earlier", F.shiftright("label", LINE_BITS)).where(F.col("earlier") < F.shiftright("uid", LINE_BITS))
     places = lines.select("uid", "doc", "a", "b")
     by_line = late.join(places, "uid").select("doc", "a", "b", "earlier")
-    both = by_line.unionByName(_runs(own).withColumnRenamed("uid", "doc")).distinct()
+    runs = written(_runs(own).withColumnRenamed("uid", "doc"), "runs", release=True)
+    both = written(by_line, "lines", release=True).unionByName(runs).distinct()
     grouped = both.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.array_sort(F.collect_set("earlier")).alias("earlier"))
     merged = F.aggregate(
         "spans", F.array().cast("array<struct<a:bigint,b:bigint>>"),
@@ -182,8 +183,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """
     docs = docs.drop("spans", "earlier")
     spans = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    found = written(repeats(docs, text, key), "repeats")
-    joined = docs.join(found.hint("merge"), F.col(f"`{key}`") == F.col("doc"), "left").drop("doc")
+    found = written(repeats(docs, text, key).withColumnRenamed("doc", "__doc"), "repeats", release=True)
+    joined = docs.join(found.hint("merge"), F.col(f"`{key}`") == F.col("__doc"), "left").drop("__doc")
     added = StructType([StructField("spans", ArrayType(spans)), StructField("earlier", ArrayType(LongType()))])
     schema = StructType(docs.schema.fields + added.fields)
     place, width = docs.columns.index(text), len(docs.columns)
@@ -198,4 +199,4 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             lists = [pa.array([x or [] for x in batch.column(batch.schema.get_field_index(n)).to_pylist()], batch.schema.field(n).type) for n in ("spans", "earlier")]
             yield pa.RecordBatch.from_arrays(columns + lists, schema.fieldNames())
 
-    return joined.select(*[F.col(f"`{c}`") for c in schema.fieldNames()]).mapInArrow(run, schema)
+    return map_arrow(joined.select(*[F.col(f"`{c}`") for c in schema.fieldNames()]), run, schema)

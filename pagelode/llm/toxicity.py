@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import words
 from .langid import Runs
-from .runtime import unit_hash
+from .runtime import map_arrow, unit_hash
 
 BITS = 20
 FACTORS = 6
@@ -30,7 +30,7 @@ LEAST_Z = 3.5
 EPOCHS = 40
 STEM = 5
 CUT = 0.7
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 @dataclass
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             first = np.searchsorted(row, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(term, pa.int32()))], ["y", "terms"])
 
-    sample = rows.mapInArrow(hashed, "y int, terms array<int>").toArrow().combine_chunks()
+    sample = map_arrow(rows, hashed, "y int, terms array<int>").toArrow().combine_chunks()
     lists = sample.column("terms").combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int32()))
     size = np.asarray(lists.value_lengths())
     term = np.asarray(lists.flatten()).astype(np.int64)
@@ -195,4 +195,4 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
             p = np.concatenate(chances)
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(p), pa.array((p >= CUT).astype(np.int32))], [f.name for f in kept + added])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text)).mapInArrow(run, StructType(kept + added))
+    return map_arrow(docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text)), run, StructType(kept + added))

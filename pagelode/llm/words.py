@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 
 SHINGLE = 5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -29,7 +29,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base of the rolling hash and of its inverse, for at most 2 ** 21 + 1 positions."""
+    """Powers of the base of the rolling hash and of its inverse, for at most 2 ** 20 + 1 positions."""
     if "p" not in _POWERS:
         size = 2 * _CHUNK + 1
         for name, base in (("p", BASE), ("i", BASE_INVERSE)):

@@ -126,7 +126,7 @@ def test_passages_of_odd_tables(spark):
     assert substring.dedup(spark.createDataFrame([], DOCS)).collect() == []
     same = " ".join(["of"] * 400)
     rows = [(1, same, [1]), (1, same, [1]), (2, "x " * 30_000, [2])]
-    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string, spans array<int>")).collect()
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string, doc array<int>")).collect()
     assert [r.text for r in got if r.doc_id == 1] == [same, same]
 
 

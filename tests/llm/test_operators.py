@@ -234,7 +234,7 @@ def _measures(t):
 def test_measures_equal_brute_force(spark):
     rng = random.Random(6)
     texts = [t for t in ODD] + ["".join(rng.choices("ab \n#\t", k=rng.randint(0, 300))) for _ in range(150)] + ["a b c a b c", "a a a a", "a b c d b c d", " x y", "one two three"]
-    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS).withColumns({"n_words": F.lit("x"), "kept": F.lit(1), "n": F.lit(2)})
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judge(df).collect()}
     assert got == {i: _measures(t) for i, t in enumerate(texts)}
 
