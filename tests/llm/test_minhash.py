@@ -99,6 +99,14 @@ def test_components_follow_long_chains(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("ends", [False, True])
+def test_components_of_shuffled_paths(spark, ends):
+    """Ids in no order, and the two smallest ids at the two ends: rounds must not grow with the length."""
+    ids = [0, *range(2, 3000), 1] if ends else random.Random(3).sample(range(3000), 3000)
+    links = spark.createDataFrame(list(itertools.pairwise(ids)), "a long, b long")
+    assert {tuple(r) for r in components.components(links).collect()} == {(i, 0) for i in range(3000)}
+
+
 def _passages(rng, words):
     return " ".join("".join(rng.choices("klmnopqrs", k=6)) for _ in range(words))
 
