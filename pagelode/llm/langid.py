@@ -30,6 +30,7 @@ ORDER = 5
 DISCOUNT = 0.75
 ROWS_PER_LANG = 600
 MOST_LANGS = 256
+ASIDE = 0.2
 UNKNOWN = "und"
 SLICE = 1 << 20
 CACHE = 400_000
@@ -238,19 +239,21 @@ def _best(model: Model, sums: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarr
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_lang: int = ROWS_PER_LANG, seed: int = 3) -> Model:
     """A model of the languages of ``docs``; rows with a null text or language are left out.
 
-    Of each language about ``rows_per_lang`` rows are taken by a hash of the key; a fifth of them measures what is normal.
+    Of each language about ``rows_per_lang`` rows are taken by a hash of the key; a fifth of them measures what is normal,
+    unless that fifth would be all. Texts of a language without a measured row are never rejected: nothing says what is
+    normal there, and models of few rows find other clean texts of their language far from what they saw.
     At most ``MOST_LANGS`` languages are allowed. Without any labelled row the model knows no language.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = rows.groupBy("l").count().orderBy("l").limit(MOST_LANGS + 1).collect()
+    counts = rows.groupBy("l").agg(F.count("*").alias("count"), F.max(unit_hash("k", seed=seed + 1)).alias("top")).orderBy("l").limit(MOST_LANGS + 1).collect()
     if len(counts) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
-    rate = [(r["l"], min(1.0, rows_per_lang / r["count"])) for r in counts]
+    rate = [(r["l"], min(1.0, rows_per_lang / r["count"]), r["top"] >= ASIDE) for r in counts]
     if not rate:
         return Model([], 1, name="none")
-    rates = docs.sparkSession.createDataFrame(rate, "l string, rate double")
+    rates = docs.sparkSession.createDataFrame(rate, "l string, rate double, apart boolean")
     taken = rows.join(F.broadcast(rates), "l").where(unit_hash("k", seed=seed) < F.col("rate"))
-    taken = taken.select("l", "t", (unit_hash("k", seed=seed + 1) < 0.2).alias("aside"))
+    taken = taken.select("l", "t", (F.col("apart") & (unit_hash("k", seed=seed + 1) < ASIDE)).alias("aside"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -277,7 +280,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         model.orders.append(_fit_language(t.column("w").to_pylist(), np.array(t.column("n").to_pylist(), float), model.alphabet))
 
     normal = _mapped(taken.where("aside").select("l", "t"), model, "t", ["l"]).select("l", "lang_pred", "cross_entropy", "n_symbols").where("l = lang_pred and n_symbols > 0").toPandas()
-    model.mean, model.spread = np.zeros(len(langs)), np.full(len(langs), 10.0)
+    model.mean, model.spread = np.full(len(langs), np.inf), np.zeros(len(langs))
     for k, name in enumerate(langs):
         own = normal[normal.l == name]
         if len(own):

@@ -94,6 +94,20 @@ def test_languages_and_rejection(spark):
     assert res[50].rejected and res[51].rejected and res[51].lang_pred in ("en", "de") and res[4].text == "a"
 
 
+@pytest.mark.parametrize("n", range(1, 6))
+def test_rare_languages_are_not_rejected(spark, n):
+    """Few labelled rows, whichever of them the hash puts aside; long texts of the language are kept."""
+    rng = random.Random(n)
+    rare = "talo vesi kuningas yö äiti poika tyttö metsä järvi lintu".split()
+    text = lambda: " ".join(rng.choices(rare, k=200))
+    for first in range(1000, 1000 + 3 * n, n):
+        rows = [(first + i, text(), "fi", "s") for i in range(n)]
+        docs = _lang_docs(spark).unionByName(spark.createDataFrame(rows, DOCS))
+        new = spark.createDataFrame([(i, text()) for i in range(5)], "doc_id long, text string")
+        got = langid.predict(new, langid.fit(docs)).collect()
+        assert all(r.lang_pred == "fi" and not r.rejected for r in got)
+
+
 def test_language_without_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     model = langid.fit(empty)
