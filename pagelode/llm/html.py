@@ -3,8 +3,10 @@
 The page is read into a tree of elements. Elements that never hold article text (scripts, menus, forms, adverts, comments
 of readers and so on, by tag, role or class) are cut off first. Every element left has a density: its characters for each
 tag, lowered where much of its text is in links. The sum of the densities of its children says how much running text an
-element gathers; the subtree with the largest sum is the article. The threshold is the least density on the path from the
-body to it; what the article's own subtree holds below the threshold and mostly in links is a menu and goes.
+element gathers; the subtree with the largest sum is the heart of the article. The threshold is the least density on the
+path from the body to it. Beside the heart every block at or above the threshold is kept too, unless it is mostly links, and
+so is text that stands between blocks, and a heading whose next block is kept. An article or main element is kept whole.
+What a kept block holds below the threshold and mostly in links is a menu and goes.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ sponsored sponsors subscribe subscription subscriptions toolbar topbar widget wi
 _KEEP_WORDS = {"article", "content", "entry", "main", "post", "story"}
 _CLOSES_P = _BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "summary", "legend"}
 _PEERS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+_HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _WHITE = re.compile(r"\s+")
 
 
@@ -157,46 +160,84 @@ def _densities(nodes: list[_Node]) -> None:
                 node.link_tags += part.link_tags + (part.name == "a")
         if link:
             node.link_chars = node.chars
-    whole = nodes[0]
-    ratio = whole.link_chars / whole.chars if whole.chars else 0.0
+    ratio = _ratio(nodes[0])
     for node in nodes:
-        if not node.chars:
-            continue
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        free = max(1, c - node.link_chars)
-        base = math.log(c / free * node.link_chars + ratio * c + math.e)
-        node.density = c / t * max(0.0, math.log(c / lc * t / lt + 1) / math.log(max(base, 1.0 + 1e-9) + 1))
+        if node.chars:
+            node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
+
+
+def _ratio(whole: _Node) -> float:
+    return whole.link_chars / whole.chars if whole.chars else 0.0
+
 
+def _density(c: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+    free = max(1, c - link_chars)
+    base = math.log(c / free * link_chars + ratio * c + math.e)
+    return c / t * max(0.0, math.log(c / lc * t / lt + 1) / math.log(max(base, 1.0 + 1e-9) + 1))
 
-def _blocks(top: _Node, threshold: float) -> list[str]:
+
+def _blocks(start: _Node, top: _Node, threshold: float, ratio: float) -> list[str]:
+    """Texts of the blocks of ``start`` that are kept: all of ``top``, and the dense ones elsewhere."""
     blocks: list[str] = []
     line: list[str] = []
+    counts = [0, 0, 0, 0]  # of the line: characters, tags, those of links
+    path = {id(x) for x in _path(top)} - {id(top)}
+    heads: set[int] = set()
+
+    def dense(node: _Node) -> bool:
+        return node.chars > 0 and id(node) not in path and node.density >= threshold and node.link_chars <= 0.8 * node.chars
 
-    def flush() -> None:
+    def flush(whole: bool) -> None:
         text = _WHITE.sub(" ", html.unescape("".join(line))).strip()
         line.clear()
-        if text:
+        c, _, lc, _ = counts
+        if text and (whole or (lc <= 0.8 * c and _density(*counts, ratio) >= threshold)):
             blocks.append(text)
+        counts[:] = [0, 0, 0, 0]
+
+    def opened(node: _Node, whole: bool) -> None:
+        if not whole:  # headings whose next block is kept
+            kept = False
+            for child in reversed(node.children):
+                if child.cut or child.name not in _BLOCK:
+                    continue
+                if child.name in _HEADS and not dense(child):
+                    if kept and child.link_chars <= 0.8 * child.chars:
+                        heads.add(id(child))
+                else:
+                    kept = child is top or id(child) in path or dense(child)
+        todo.extend((part, whole, link) for part in reversed(node.parts))
 
-    todo: list = [top]
+    todo: list = []
+    link = False
+    whole = start is top
+    opened(start, whole)
     while todo:
-        part = todo.pop()
+        part, whole, link = todo.pop()
         if part is None:
-            flush()
+            flush(whole)
         elif isinstance(part, str):
             line.append(part)
-        elif part.cut or (part is not top and part.density < threshold and part.name in _BLOCK and part.chars and part.link_chars > 0.8 * part.chars):
+            size = len(part) - part.count(" ") - part.count("\n")
+            counts[0] += size
+            counts[2] += size * link
+        elif part.cut or (whole and part.density < threshold and part.name in _BLOCK and part.chars and part.link_chars > 0.8 * part.chars):
             if part.name in _BLOCK:
-                flush()
+                flush(whole)
         elif part.name == "br":
             line.append(" ")
+        elif part.name in _BLOCK:
+            flush(whole)
+            todo.append((None, whole or part is top or id(part) in heads or dense(part), False))
+            link = False
+            opened(part, todo[-1][1])
         else:
-            block = part.name in _BLOCK
-            if block:
-                flush()
-                todo.append(None)
-            todo += reversed(part.parts)
-    flush()
+            link = link or part.name == "a"
+            counts[1] += 1
+            counts[3] += part.name == "a"
+            opened(part, whole)
+    flush(whole if start is top else False)
     return blocks
 
 
@@ -215,11 +256,13 @@ def main_text(page: str | None) -> str:
             start = best
     sums = {id(x): sum(c.density for c in x.children if not c.cut) for x in _order(start)}
     top = max(_order(start), key=lambda x: sums[id(x)], default=start)
-    # Without inner elements, or where much of the text stands beside the densest subtree, the wider subtree is the article
+    # Without inner elements, or where much of the text stands beside the densest subtree, the wider subtree is the heart
     while top is not start and (sums[id(top)] == 0 or top.chars < 0.5 * top.parent.chars or top.parent.name in ("article", "main") or top.name not in _BLOCK):
         top = top.parent
     threshold = min((x.density for x in _path(top) if x.density > 0), default=0.0)
-    return "\n\n".join(_blocks(top, threshold))
+    if start.name in ("article", "main"):
+        top = start
+    return "\n\n".join(_blocks(start, top, threshold, _ratio(root)))
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:

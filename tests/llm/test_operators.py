@@ -219,6 +219,19 @@ def test_density_finds_the_article_without_hints():
     assert text.count("\n\n") == 7 and "link" not in text
 
 
+@pytest.mark.parametrize("wrap", ["<div class='content'>{}</div>", "<article><div>{}</div></article>", "<main><div>{}</div></main>"])
+def test_unequal_sections_are_all_kept(wrap):
+    """The densest section is not the whole article: smaller ones beside it, their headings and an introduction are kept too."""
+    links = "".join(f'<li><a href="/{i}">Some link text {i}</a></li>' for i in range(30))
+    section = lambda name, n: f"<h2>{name}</h2><div>" + "".join(f"<p>{name} {i} {'running text of the story ' * 12}</p>" for i in range(n)) + "</div>"
+    intro = "Introduction of the story in words that stand between the blocks. " * 3
+    inner = f"{intro}{section('One', 9)}{section('Two', 4)}{section('Three', 2)}"
+    text = html.main_text(f"<html><body><div><ul>{links}</ul></div>{wrap.format(inner)}<div>All rights</div></body></html>")
+    blocks = text.split("\n\n")
+    assert [b[:12].split()[0] for b in blocks] == ["Introduction"] + ["One"] * 10 + ["Two"] * 5 + ["Three"] * 3
+    assert "link" not in text and "rights" not in text
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<<<>>>", "<p", "<!--", "<script>", "&amp;", "</div></p>", "<p>a<p>b<div>c", "<table><tr><td>x<td>y</table>", "<a" + " b" * 5000, "<div>" * 3000 + "deep"])
 def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)
