@@ -25,9 +25,10 @@ from .runtime import map_arrow, unit_hash
 BITS = 20
 FACTORS = 6
 ROWS_PER_CLASS = 4000
-LEAST_DOCS = 4
-LEAST_Z = 3.5
-EPOCHS = 40
+#: Penalty on squared weights, the deviation (in standard errors) of a term from which it holds mostly as it is, and the
+#: penalty on squared factors for each term of their texts.
+PENALTY, TELLING, PAIRS = 0.3, 8.0, 1.0
+STEPS, RATE = 100, 0.1
 STEM = 5
 CUT = 0.7
 SLICE = 1 << 20
@@ -81,60 +82,52 @@ def _sums(machine: Machine, rows: int, row: np.ndarray, slot: np.ndarray) -> np.
 
 
 def train(row: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int = 4) -> Machine:
-    """Fit by Adam on the logistic loss. Terms in few texts, or as common in either class, get no slot."""
+    """Fit by Adam over all rows on the logistic loss and the penalties. ``row`` ascends. Every term seen gets a slot."""
     n = len(label)
     slots = np.full(1 << BITS, -1, np.int32)
     share = float(label.mean()) if n else 0.0
     if not n or share in (0.0, 1.0):
         return Machine(4.0 if share == 1.0 else -4.0, slots, np.zeros(0), np.zeros((0, FACTORS)))
-    docs = np.bincount(term, minlength=1 << BITS)
-    bad = np.bincount(term, weights=label[row], minlength=1 << BITS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = (bad - docs * share) / np.sqrt(docs * share * (1 - share))
-    used = np.flatnonzero((docs >= LEAST_DOCS) & (np.abs(np.nan_to_num(z)) >= LEAST_Z))
+    used = np.unique(term)
     slots[used] = np.arange(len(used), dtype=np.int32)
-    on = slots[term] >= 0
-    row, slot = row[on], slots[term[on]].astype(np.int64)
-    first = np.searchsorted(row, np.arange(n + 1))
+    slot = slots[term].astype(np.int64)
+    by_slot = np.argsort(slot, kind="stable")
+    of = row[by_slot]
+    filled, starts = np.unique(row, return_index=True)
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(slot[by_slot]) > 0]))
+    size = np.bincount(row, minlength=n)
+    # a weight is held back the more, the less its term tells by itself; none is left out
+    docs, bad = np.bincount(slot, minlength=len(used)), np.bincount(slot, weights=label[row], minlength=len(used))
+    z = np.abs(bad - docs * share) / np.sqrt(docs * share * (1 - share))
+    firm = PENALTY * (1 + np.minimum(TELLING / np.maximum(z, 0.1), 10.0) ** 4)
+    # terms of long texts meet many others, so their factors are held back as much
+    hold = PAIRS * np.maximum(1.0, np.add.reduceat(size[of].astype(float), begins) / np.diff(np.append(begins, len(of))))[:, None]
     rng = np.random.Generator(np.random.PCG64(seed))
-    weight, factors, bias = np.zeros(len(used)), rng.normal(0, 0.02, (len(used), FACTORS)), np.log(share / (1 - share))
-    params = [weight, factors]
+    params = [np.array([np.log(share / (1 - share))]), np.zeros(len(used)), rng.normal(0, 0.02, (len(used), FACTORS)).astype(np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    bias_m = bias_v = 0.0
-    step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(n)
-        for k in range(0, n, 512):
-            take = order[k : k + 512]
-            count = first[take + 1] - first[take]
-            at = np.repeat(first[take] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            s, r = slot[at], np.repeat(np.arange(len(take)), count)
-            v = factors[s]
-            total = np.zeros((len(take), FACTORS))
-            np.add.at(total, r, v)
-            zed = bias + np.bincount(r, weights=weight[s], minlength=len(take)) + 0.5 * ((total**2).sum(1) - np.bincount(r, weights=(v * v).sum(1), minlength=len(take)))
-            off = (_chance(zed) - label[take]) / len(take)
-            grads = [np.bincount(s, weights=off[r], minlength=len(used)) + 2e-5 * weight, np.zeros_like(factors)]
-            np.add.at(grads[1], s, off[r][:, None] * (total[r] - v))
-            grads[1] += 1e-4 * factors
-            step += 1
-            rate = 0.03 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for p, g, (m1, m2) in zip(params, grads, moments, strict=True):
-                m1 += 0.1 * (g - m1)
-                m2 += 0.001 * (g * g - m2)
-                p -= rate * m1 / (np.sqrt(m2) + 1e-8)
-            g = float(off.sum())
-            bias_m += 0.1 * (g - bias_m)
-            bias_v += 0.001 * (g * g - bias_v)
-            bias -= rate * bias_m / (np.sqrt(bias_v) + 1e-8)
-    return Machine(float(bias), slots, weight.astype(np.float32), factors.astype(np.float32))
+    for step in range(1, STEPS + 1):
+        bias, weight, factors = params
+        total = np.zeros((n, FACTORS), np.float32)
+        total[filled] = np.add.reduceat(factors[slot], starts)
+        zed = bias[0] + np.bincount(row, weights=(weight - 0.5 * (factors**2).sum(1))[slot], minlength=n) + 0.5 * (total**2).sum(1)
+        off = _chance(zed) - label
+        pull = np.add.reduceat(off[of], begins)
+        met = np.add.reduceat((off[:, None] * total).astype(np.float32)[of], begins)
+        grads = [np.array([off.sum()]), pull + firm * weight, (met - pull[:, None] * factors + hold * factors).astype(np.float32)]
+        rate = RATE * min(1.0, 2.0 * (1 - step / (STEPS + 1))) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+        for p, g, (m1, m2) in zip(params, grads, moments, strict=True):
+            m1 += 0.1 * (g - m1)
+            m2 += 0.01 * (g * g - m2)
+            p -= (rate * m1 / (np.sqrt(m2) + 1e-8)).astype(p.dtype)
+    bias, weight, factors = params
+    return Machine(float(bias[0]), slots, weight.astype(np.float32), factors)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows_per_class: int = ROWS_PER_CLASS, seed: int = 4) -> Machine:
     """A machine from the rows of ``docs`` that ``labels`` marks 0 or 1; other labels and rows without a text are left out.
 
-    About ``rows_per_class`` rows of each class are taken by a hash of the key. Without rows of both classes every text gets
-    the same score.
+    About ``rows_per_class`` rows of each class are taken by a hash of the key; the bias makes up for the rates. Without rows
+    of both classes every text gets the same score.
     """
     marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     counts = dict(marks.groupBy("y").count().collect())
@@ -161,7 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     rank[order] = np.arange(len(size))
     again = np.argsort(rank[row], kind="stable")
     y = np.asarray(sample.column("y").combine_chunks()).astype(float)[order] if len(size) else np.zeros(0)
-    return train(rank[row][again], term[again], y, seed)
+    machine = train(rank[row][again], term[again], y, seed)
+    if len(y) and 0.0 < y.mean() < 1.0:  # so far the bias is that of the sample
+        machine.bias += np.log(min(1.0, rows_per_class / counts[0]) / min(1.0, rows_per_class / counts[1]))
+    return machine
 
 
 def _digest(term: np.ndarray, size: np.ndarray) -> np.ndarray:

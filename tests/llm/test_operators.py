@@ -138,6 +138,29 @@ def test_machine_learns_pairs():
     assert p[2] > 0.7 and p[0] < 0.3 and p[1] < 0.3 and p[3] < 0.3
 
 
+def test_machine_learns_pairs_that_tell_nothing_alone():
+    """Words 1 and 2 are each as common in either class; only both together are marked. Word 5 marks the other half."""
+    rng = np.random.Generator(np.random.PCG64(1))
+    row, term, label = [], [], []
+    for i in range(4000):
+        marks = [[1, 2], [5], [1], [2]][i % 4] + [3, int(rng.integers(10, 400))]
+        row += [i] * len(marks)
+        term += marks
+        label.append(float(i % 4 < 2))
+    m = toxicity.train(np.array(row), np.array(term), np.array(label))
+    assert (m.slot[np.unique(term)] >= 0).all()
+    p = toxicity._chance(toxicity._sums(m, 3, np.array([0, 0, 0, 1, 1, 2, 2]), m.slot[np.array([1, 2, 3, 1, 3, 2, 3])].astype(int)))
+    assert p[0] > 0.7 and p[1] < 0.3 and p[2] < 0.3
+
+
+def test_scores_follow_the_rate_of_all_rows(spark):
+    """A balanced sample of a table with a tenth of toxic rows, whose texts tell nothing."""
+    docs = spark.createDataFrame([(i, "plain words") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    p = toxicity.score(docs.limit(1), toxicity.fit(docs, labels, rows_per_class=200)).first().score
+    assert 0.05 < p < 0.2
+
+
 def test_toxic_texts(spark):
     rng = random.Random(4)
     plain = [f"word{i}" for i in range(300)]
