@@ -1,8 +1,10 @@
 """Quality rules with adaptive thresholds, by DataFrame functions only.
 
 Fixed rules (``base_failed``) catch what no corpus wants. Beyond them a text is judged against its peers: quantile sketches
-of a few ratios are kept for each language and source, merged upwards to the language and to the whole, and a text fails
-where a ratio lies outside the fences of the most specific group that is large enough.
+of a few figures are kept for each language and source, merged upwards to the language and to the whole, and the fences of
+the most specific group that is large enough decide. A fence stands ``FENCE`` times the way from the median to the tail
+quantile beyond that quantile, so its place and its width are both those of the group. Rates (events for each word or line)
+get besides what chance alone adds to the count of a text of that length, as a Poisson count has it; no width is fixed.
 """
 
 from __future__ import annotations
@@ -16,12 +18,18 @@ SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 SKETCH_K = 1024
 LEAST_GROUP = 200
-FENCE = 3.0
-#: Each ratio with the least width of its fence, so that a group without spread doesn't fail texts for a trifle.
-RATIOS = {"mean_word_chars": 2.0, "symbols_per_word": 0.2, "dup_line_share": 0.4, "repeat_word_share": 0.3}
+#: The tail quantiles below and above the median, and how far beyond them the fences stand.
+LOW_TAIL, TAIL, FENCE = 0.1, 0.9, 3.0
+#: Standard deviations of chance that the count behind a rate may lie above its fence.
+CHANCE = 4.0
+MEAN = "mean_word_chars"
+#: Each rate with the count that it is taken over.
+RATES = {"symbols_per_word": "n_words", "dup_line_share": "n_lines", "repeat_word_share": "n_words"}
+#: So many rows of fences (some 150 bytes each) are broadcast at most; more are joined by salted keys.
+BROADCAST_ROWS, SALTS = 100_000, 32
 
 #: Columns that :func:`measured` adds.
-MEASURES = ["word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", *RATIOS]
+MEASURES = ["word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", MEAN, *RATES]
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -63,35 +71,42 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     counted = starts.select(*[F.col(f"`{c}`") for c in names], covered.alias("n_repeat_words"))
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return counted.withColumns({
-        "mean_word_chars": over("word_chars", "n_words"), "symbols_per_word": over("n_symbols", "n_words"),
+        MEAN: over("word_chars", "n_words"), "symbols_per_word": over("n_symbols", "n_words"),
         "dup_line_share": over("n_dup_lines", "n_lines"), "repeat_word_share": over("n_repeat_words", "n_words"),
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     })
 
 
 def fences(measures: DataFrame, groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """Lower and upper fences for each (language, source) among the texts that pass the fixed rules.
+    """(__lang, __source, low, high, and for each rate its tail quantile and fence) among the texts that pass the fixed rules.
 
     A group under ``LEAST_GROUP`` texts takes the fences of its language, a language under it those of the whole.
     """
     lang, source = groups
+    figures = [MEAN, *RATES]
     fine = measures.where(~F.col("base_failed"))
-    level = fine.groupBy(lang, source).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATIOS])
+    level = fine.groupBy(lang, source).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in figures])
     level = written(level, "quality-sketches")
 
-    def merged(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.sum("n").alias(f"n{suffix}"), *[F.kll_merge_agg_double(r).alias(r + suffix) for r in RATIOS])
+    def quantiles(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+        """Numbers in place of the sketches, so that sketches are never joined: low, middle and high ones of each figure."""
+        merged = df.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r).alias(r) for r in figures])
+        found = [F.kll_sketch_get_quantile_double(r, F.lit(q)).alias(f"{r}_{i}{suffix}") for r in figures for i, q in enumerate((LOW_TAIL, 0.5, TAIL))]
+        return merged.select(*keys, F.col("n").alias("n" + suffix), *found)
 
-    level = level.withColumn("__all", F.lit(0))
-    by_lang, whole = merged(level, [lang], "_l"), merged(level, ["__all"], "_w")  # whole: one row
-    found = level.join(by_lang.withColumnRenamed(lang, "__l"), F.col(lang).eqNullSafe(F.col("__l"))).join(whole, "__all")
-    bounds: list[Column] = []
-    for ratio, width in RATIOS.items():
-        sketch = F.when(F.col("n") >= LEAST_GROUP, F.col(ratio)).when(F.col("n_l") >= LEAST_GROUP, F.col(ratio + "_l")).otherwise(F.col(ratio + "_w"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(p)) for p in (0.25, 0.75))
-        spread = F.greatest(F.lit(FENCE) * (q3 - q1), F.lit(width))
-        bounds += [(q1 - spread).alias("low_" + ratio), (q3 + spread).alias("high_" + ratio)]
-    return found.select(F.col(lang).alias("__lang"), F.col(source).alias("__source"), *bounds)
+    whole = quantiles(level, [], "").first()  # one row of numbers
+    by_lang = quantiles(level, [lang], "_l").withColumnRenamed(lang, "__l")
+    found = quantiles(level, [lang, source], "_g").join(by_lang, F.col(lang).eqNullSafe(F.col("__l")))
+
+    def at(figure: str, i: int) -> Column:
+        name = f"{figure}_{i}"
+        return F.when(F.col("n_g") >= LEAST_GROUP, F.col(name + "_g")).when(F.col("n_l") >= LEAST_GROUP, F.col(name + "_l")).otherwise(F.lit(whole[name]).cast("double"))
+
+    beyond = lambda figure, i: at(figure, i) + FENCE * (at(figure, i) - at(figure, 1))
+    ends = [beyond(MEAN, 0).alias("low"), beyond(MEAN, 2).alias("high")]
+    for rate in RATES:
+        ends += [at(rate, 2).alias("tail_" + rate), beyond(rate, 2).alias("fence_" + rate)]
+    return found.select(F.col(lang).alias("__lang"), F.col(source).alias("__source"), *ends)
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -101,9 +116,18 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     no fence is needed. Repeated rows are judged each by itself, alike. An empty table gives an empty table.
     """
     measures = written(measured(docs.drop("kept"), text), "quality-measures")  # read twice: for the sketches and for the verdict
-    limits = fences(measures, (lang, source))
-    inside = F.lit(True)
-    for ratio in RATIOS:
-        inside &= F.col(ratio).between(F.col("low_" + ratio), F.col("high_" + ratio))
-    joined = measures.join(limits, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__lang", "__source", *[b + r for r in RATIOS for b in ("low_", "high_")])
+    limits = written(fences(measures, (lang, source)), "quality-fences")
+    same = F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source"))
+    added = [c for c in limits.columns if c not in ("__lang", "__source")]
+    if limits.count() <= BROADCAST_ROWS:
+        joined = measures.join(F.broadcast(limits), same, "left")
+    else:  # a group with a large part of all rows is dealt to SALTS tasks
+        copies = limits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = measures.withColumn("__dealt", F.floor(F.rand(8) * SALTS).cast("int"))
+        joined = dealt.join(copies, same & (F.col("__dealt") == F.col("__salt")), "left").drop("__dealt", "__salt")
+    inside = F.col(MEAN).between(F.col("low"), F.col("high"))
+    for rate, over in RATES.items():
+        count = F.greatest(F.col(over), F.lit(1))
+        chance = CHANCE * F.sqrt(F.col("tail_" + rate) / count) + CHANCE * CHANCE / count
+        inside &= F.col(rate) <= F.col("fence_" + rate) + chance
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__lang", "__source", *added)

@@ -123,11 +123,14 @@ _OP5 = f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding,
 
 def _op8() -> str:
     """Quantiles are exact here, as the sketches are while a group has fewer values than they hold."""
-    k, least = quality.FENCE, quality.LEAST_GROUP
-    ratios = list(quality.RATIOS)
-    quantiles = lambda s: ", ".join(f"quantile_disc({r}, 0.25) AS a{s}_{r}, quantile_disc({r}, 0.75) AS b{s}_{r}" for r in ratios)
+    k, z, least, low, tail = quality.FENCE, quality.CHANCE, quality.LEAST_GROUP, quality.LOW_TAIL, quality.TAIL
+    figures = [quality.MEAN, *quality.RATES]
+    quantiles = lambda s: ", ".join(f"quantile_disc({r}, {low}) AS a{s}_{r}, quantile_disc({r}, 0.5) AS m{s}_{r}, quantile_disc({r}, {tail}) AS b{s}_{r}" for r in figures)
     pick = lambda end, r: f"CASE WHEN g.n >= {least} THEN g.{end}g_{r} WHEN l.n >= {least} THEN l.{end}l_{r} ELSE w.{end}w_{r} END"
-    inside = " AND ".join(f"m.{r} BETWEEN {pick('a', r)} - greatest({k} * ({pick('b', r)} - {pick('a', r)}), {width}) AND {pick('b', r)} + greatest({k} * ({pick('b', r)} - {pick('a', r)}), {width})" for r, width in quality.RATIOS.items())
+    fence = lambda end, r: f"({pick(end, r)} + {k}::DOUBLE * ({pick(end, r)} - {pick('m', r)}))"
+    inside = f"m.{quality.MEAN} BETWEEN {fence('a', quality.MEAN)} AND {fence('b', quality.MEAN)}"
+    for r, n in quality.RATES.items():
+        inside += f" AND m.{r} <= {fence('b', r)} + ({z}::DOUBLE * sqrt({pick('b', r)} / m.n_{n[2:]}) + {z * z}::DOUBLE / m.n_{n[2:]})"
     blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
   x AS (SELECT doc_id, i, array_to_string(ws[i:i+2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws)-1)) AS i FROM d)),
@@ -135,7 +138,7 @@ def _op8() -> str:
   c AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM r, (SELECT unnest([0, 1, 2]) AS k)) GROUP BY 1),
   b AS (SELECT doc_id, lang, source, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda y: length(y))) AS BIGINT), 0) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
     list_filter(string_split(t, chr(10)), lambda y: trim(y, {blank}) <> '') AS ls, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)),
-  m AS (SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  m AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word,
     CASE WHEN len(ls) > 0 THEN (len(ls) - len(list_distinct(ls))) / len(ls) ELSE 0 END AS dup_line_share, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_word_share FROM b),
   f AS (SELECT * FROM m WHERE NOT base_failed), g AS (SELECT lang, source, count(*) AS n, {quantiles('g')} FROM f GROUP BY 1, 2), l AS (SELECT lang, count(*) AS n, {quantiles('l')} FROM f GROUP BY 1), w AS (SELECT {quantiles('w')} FROM f)

@@ -289,14 +289,28 @@ def test_measures_equal_brute_force(spark):
     assert got == {i: _measures(t) for i, t in enumerate(texts)}
 
 
-def test_fences_follow_the_group(spark, monkeypatch):
+def _words(rng, n, sizes, mark=""):
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.choice(sizes))) + mark for _ in range(n))
+
+
+@pytest.mark.parametrize("broadcast", [quality.BROADCAST_ROWS, 0])
+def test_fences_follow_the_group(spark, monkeypatch, broadcast):
+    """Place and width of the fences differ by group: what is usual in one is beyond the fence in another."""
     monkeypatch.setattr(quality, "LEAST_GROUP", 20)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
     rng = random.Random(7)
-    word = lambda: "".join(rng.choices("abcdefghij", k=6))
-    rows = [(i, " ".join(word() for _ in range(80)), "en", "s1") for i in range(60)] + [(100 + i, " ".join(word() + "##" for _ in range(80)), "en", "s2") for i in range(60)]
-    rows += [(200, " ".join(word() + "##" for _ in range(80)), "en", "s1"), (201, "short", "en", "s1"), (202, " ".join(word() for _ in range(80)), None, None)]
-    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
-    assert all(got[i].kept for i in [*range(60), *range(100, 160), 202]) and not got[200].kept and not got[200].base_failed and got[201].base_failed
+    even, wide = [5, 6, 7], [2, 4, 6, 8, 10]
+    rows = [(i, _words(rng, 80, even), "en", "s1") for i in range(60)] + [(100 + i, _words(rng, 80, wide, "##"), "en", "s2") for i in range(60)]
+    rows += [(200, _words(rng, 80, even, "##"), "en", "s1"), (201, "short", "en", "s1"), (202, _words(rng, 80, even), None, None)]
+    rows += [(203, _words(rng, 80, [7]), "en", "s1"), (204, _words(rng, 80, [7], "##"), "en", "s2")]  # a letter longer
+    rows += [(205, _words(rng, 80, even) + " #####", "en", "s1")]  # a few symbols are chance
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert all(got[i].kept for i in [*range(60), *range(100, 160), 202, 204, 205])
+    assert not got[200].kept and not got[200].base_failed and not got[203].kept and got[201].base_failed
+    limits = {r["__source"]: r for r in quality.fences(quality.measured(df)).collect()}
+    assert limits["s2"].high - limits["s2"].low > 2 * (limits["s1"].high - limits["s1"].low)
+    assert limits["s2"].fence_symbols_per_word > 1 and limits["s1"].fence_symbols_per_word == 0
     assert quality.judge(spark.createDataFrame([], DOCS)).collect() == []
 
 
