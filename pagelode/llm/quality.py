@@ -94,13 +94,13 @@ def fences(measures: DataFrame, groups: tuple[str, str] = ("lang", "source")) ->
         found = [F.kll_sketch_get_quantile_double(r, F.lit(q)).alias(f"{r}_{i}{suffix}") for r in figures for i, q in enumerate((LOW_TAIL, 0.5, TAIL))]
         return merged.select(*keys, F.col("n").alias("n" + suffix), *found)
 
-    whole = quantiles(level, [], "").first()  # one row of numbers
+    whole = quantiles(level.withColumn("__all", F.lit(0)), ["__all"], "").first() or {}  # one row of numbers, none of an empty table
     by_lang = quantiles(level, [lang], "_l").withColumnRenamed(lang, "__l")
     found = quantiles(level, [lang, source], "_g").join(by_lang, F.col(lang).eqNullSafe(F.col("__l")))
 
     def at(figure: str, i: int) -> Column:
         name = f"{figure}_{i}"
-        return F.when(F.col("n_g") >= LEAST_GROUP, F.col(name + "_g")).when(F.col("n_l") >= LEAST_GROUP, F.col(name + "_l")).otherwise(F.lit(whole[name]).cast("double"))
+        return F.when(F.col("n_g") >= LEAST_GROUP, F.col(name + "_g")).when(F.col("n_l") >= LEAST_GROUP, F.col(name + "_l")).otherwise(F.lit(whole[name] if whole else None).cast("double"))
 
     beyond = lambda figure, i: at(figure, i) + FENCE * (at(figure, i) - at(figure, 1))
     ends = [beyond(MEAN, 0).alias("low"), beyond(MEAN, 2).alias("high")]
