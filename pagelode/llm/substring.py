@@ -1,13 +1,21 @@
-"""Removal of passages that repeat across documents.
+"""Removal of passages that repeat across documents, by MinHash banding of paragraphs.
 
-Two kinds of paragraphs are looked at. Lines of at least ``LEAST_WORDS`` words are near-duplicates where their sets of
-five-word shingles have a Jaccard similarity of 0.8: MinHash bands find the candidates, exact sets decide, and components
-group them. Passages also stand in the middle of lines, so every text is cut as well into content-defined paragraphs: a
-cut comes before a word whose two-word hash is the least within ``RADIUS`` words on either side. The same passage is cut
-alike wherever it stands, but for its first and last few words. Equal paragraphs share a hash; runs of paragraphs that an
-earlier document holds, with small gaps where a word was edited, make a passage.
+Two kinds of paragraphs are signed. Lines of at least ``LEAST_WORDS`` words are near-duplicates where their sets of five-word
+shingles have a Jaccard similarity of 0.8: bands of their signatures find the candidates, exact sets decide, and components
+group them.
 
-What repeats stays in the document with the smallest key and goes from the others.
+Passages also stand in the middle of lines, so every run of ``GRAM`` words is a sliding paragraph. Its signature is one MinHash
+coordinate: the least hash of its shingles, which names the place where that shingle begins (its anchor). Neighbouring
+paragraphs mostly share their anchor, so a text has about one for each six words. The band is the hash of the ``GRAM`` words
+from the anchor on. Any ``2 * GRAM - 5`` equal words of two texts have an anchor in common, hence so has any passage of
+``LEAST_WORDS`` words with at most one word changed: the recall of the bands is one, whatever the hashes. Colliding paragraphs
+are compared word by word with the first document that holds them, also ``EDGE`` words to either side, and join up to exact
+runs along one alignment. A passage is a run of ``LEAST_WORDS`` words, or two runs with one word changed, put in or left out
+between them (edit distance one) that reach as far together.
+
+What repeats stays in the document with the smallest key and goes from the others. What is not found: a passage each of
+whose anchors also stands, in other surroundings, in a document with a smaller key still, since paragraphs are compared with
+the first holder alone; and texts that repeat a phrase of less than ``GRAM`` words over and over, which have no one alignment.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -25,178 +33,229 @@ from .minhash import classes, tune
 from .runtime import map_arrow, written
 
 LEAST_WORDS = 50
-#: Words of a run that must be in repeated paragraphs. A passage of LEAST_WORDS words has more than that many, since at
-#: most about ten at either end belong to paragraphs that reach beyond it.
-LEAST_RUN = 30
-LEAST_SHARE = 0.8
-MOST_GAP = 3
-RADIUS = 3
+GRAM = 15
+EDGE = 10
 MOST_BANDS = 16
-LINE_BITS = 20
 SLICE = 1 << 20
-_TOP = np.uint64(2**64 - 1)
+_BLANKS = b" \t\r\x0b\x0c"
 
 
-def pieces(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Content-defined paragraphs: (row, number in the row, hash, first word, words, first byte, byte after the last)."""
+def anchors(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, row, word, key) of the anchors of each text: ``word`` counts over all rows, ``key`` hashes GRAM words from it."""
     w = words.Words(texts)
-    n = len(w.hash)
-    size = np.diff(w.first)
-    row = np.repeat(np.arange(len(size)), size)
-    within = np.arange(n) - np.repeat(w.first[:-1], size)
-    left = np.repeat(size, size) - within - 1
-    value = words.mix(w.hash + np.append(w.hash[1:], np.uint64(0)) * np.uint64(words.BASE))
-    value = np.where(left == 0, words.mix(w.hash), value)
-    cut = np.ones(n, bool)
-    for s in range(1, RADIUS + 1):
-        before = np.full(n, _TOP)
-        before[s:] = value[:-s] if n > s else value[:0]
-        after = np.full(n, _TOP)
-        after[:-s or None] = value[s:] if n > s else after[:-s or None]
-        cut &= (value < before) | (within < s)
-        cut &= (value <= after) | (left < s)
-    start = np.flatnonzero(cut)
-    end = np.append(start[1:], n)
-    inside = np.ones(len(start), bool)
-    inside[:-1] = row[start[1:]] == row[start[:-1]] if len(start) > 1 else inside[:-1]
-    end = np.where(inside, end, 0)
-    if len(start):
-        end[-1] = 0
-    inside = end > start  # what follows the last cut of a text ends with the text, not where a passage does
-    start, end = start[inside], end[inside]
-    count = end - start
-    at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    nth = at - np.repeat(start, count)
-    part = words.mix(w.hash[at] + words.mix(nth.astype(np.uint64)))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
-    bound = np.cumsum(count)
-    key = words.mix(total[bound] - total[bound - count] + count.astype(np.uint64))
-    rows = row[start]
-    number = np.arange(len(start)) - np.searchsorted(rows, rows)
-    return rows, number, key.view(np.int64), start - w.first[rows], count, w.start[start] - w.offsets[rows], w.end[end - 1] - w.offsets[rows]
-
-
-def _pieces(docs: DataFrame, full: bool) -> DataFrame:
-    names = ["piece", "i", "w", "n", "a", "b"] if full else ["piece"]
+    n, none = len(w.hash), np.zeros(0, np.int64)
+    if n < GRAM:
+        return w, none, none, none
+    padded = np.concatenate([w.hash, np.zeros(GRAM, np.uint64)])
+    value = np.zeros(n, np.uint64)
+    for j in range(words.SHINGLE):
+        value = value * np.uint64(words.BASE) + padded[j : n + j]
+    value = words.mix(value)
+    ends = np.repeat(w.first[1:], np.diff(w.first))
+    at = np.flatnonzero(np.arange(n) + GRAM <= ends)  # where a sliding paragraph begins
+    if not len(at):
+        return w, none, none, none
+
+    def lower(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(value[b] < value[a], b, a)  # the first of equal ones
+
+    least, span = np.arange(n), 1
+    size = GRAM - words.SHINGLE + 1
+    while 2 * span <= size:  # least of 1, 2, 4, ... shingles
+        least = lower(least, least[np.minimum(np.arange(n) + span, n - 1)])
+        span *= 2
+    found = np.unique(lower(least[at], least[at + size - span]))
+    found = found[found + GRAM <= ends[found]]
+    key = np.zeros(len(found), np.uint64)
+    for j in range(GRAM):
+        key = key * np.uint64(words.BASE) + w.hash[found + j]
+    row = np.searchsorted(w.first, found, "right") - 1
+    return w, row, found, words.mix(key).view(np.int64)
+
+
+def _around(w: words.Words, row: np.ndarray, at: np.ndarray) -> pa.Array:
+    """16 bits of each of the EDGE words before and after the gram at each anchor, nearest first; 0 beyond the text."""
+    short = np.maximum(w.hash >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+    low, high = w.first[row], w.first[row + 1]
+    out = np.zeros((len(at), 2 * EDGE), np.uint16)
+    for j in range(EDGE):
+        for column, p in ((j, at - 1 - j), (EDGE + j, at + GRAM + j)):
+            inside = (p >= low) & (p < high)
+            out[inside, column] = short[p[inside]]
+    offsets = np.arange(len(at) + 1, dtype=np.int32) * (4 * EDGE)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
+
+
+def _sliding(own: DataFrame, full: bool) -> DataFrame:
+    """(uid, key) of the anchors, or with ``full`` also the text's version, the number of the word, and the words around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in words.slices(batch.column(1), SLICE):
-                rows, number, key, first, count, a, b = pieces(batch.column(1).slice(i, j - i))
-                uid = batch.column(0).slice(i, j - i).take(pa.array(rows))
-                rest = [pa.array(x.astype(np.int32)) for x in (number, first, count, a, b)] if full else []
-                yield pa.RecordBatch.from_arrays([uid, pa.array(key), *rest], ["uid", *names])
+            texts = batch.column(2)
+            for i, j in words.slices(texts, SLICE):
+                w, row, at, key = anchors(texts.slice(i, j - i))
+                of = pa.array(row)
+                columns = [batch.column(0).slice(i, j - i).take(of), pa.array(key)]
+                if full:
+                    columns += [batch.column(1).slice(i, j - i).take(of), pa.array((at - w.first[row]).astype(np.int32)), _around(w, row, at)]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "key", "version", "w", "around"][: len(columns)])
 
-    schema = "uid bigint, piece bigint" + (", i int, w int, n int, a int, b int" if full else "")
-    return map_arrow(docs.select("uid", "text"), run, schema)
+    return map_arrow(own.select("uid", "version", "text"), run, "uid bigint, key bigint" + (", version bigint, w int, around binary" if full else ""))
 
 
-def _runs(docs: DataFrame) -> DataFrame:
-    """(uid, a, b, earlier): byte ranges of passages that documents with smaller ids hold too."""
+def _runs(own: DataFrame) -> DataFrame:
+    """(uid, version, a, b, earlier): word ranges that a document with a smaller id holds too, maximal along one alignment."""
     # Minima are combined before the shuffle; a paragraph of one document alone goes no further
-    held = _pieces(docs, False).groupBy("piece").agg(F.min("uid").alias("earlier"), F.max("uid").alias("last")).where("earlier < last").drop("last")
-    again = _pieces(docs, True).join(held.hint("merge"), "piece").where("earlier < uid").select("uid", "i", "w", "n", "a", "b", "earlier")
-    by = Window.partitionBy("uid").orderBy("i")
-    gap = F.col("i") - F.lag("i").over(by)
-    runs = again.withColumns({"wide": F.coalesce((gap > MOST_GAP).cast("int"), F.lit(1)), "close": F.coalesce((gap > 1).cast("int"), F.lit(1))})
-    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumns({"wide": F.sum("wide").over(so_far), "close": F.sum("close").over(so_far)})
-    close = runs.groupBy("uid", "wide", "close").agg(*[f.alias(c) for c, f in {
-        "n": F.sum("n"), "w": F.min("w"), "end": F.max(F.col("w") + F.col("n")), "a": F.min("a"), "b": F.max("b"), "earlier": F.min("earlier")}.items()])
-    wide = Window.partitionBy("uid", "wide")
-    total, reach = F.sum("n").over(wide), F.max("end").over(wide) - F.min("w").over(wide)
-    # a run without gaps that is long enough, or all of a run with gaps that is mostly repeated
-    taken = close.withColumn("all", (total >= LEAST_RUN) & (total >= LEAST_SHARE * reach)).where(F.col("all") | (F.col("n") >= LEAST_RUN))
-    spans = taken.groupBy("uid", "wide", F.when(~F.col("all"), F.col("close")).alias("part")).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("earlier").alias("earlier"))
-    return spans.select("uid", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "earlier")
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(uid, text, doc, a, b) of lines of LEAST_WORDS words or more; uid holds the document and the number of the line."""
+    held = _sliding(own, False).groupBy("key").agg(F.min("uid").alias("earlier"), F.max("uid").alias("last")).where("earlier < last").drop("last")
+    met = written(_sliding(own, True).join(held.hint("merge"), "key"), "paragraphs-met", release=True)
+    first = met.where("uid = earlier").groupBy("key").agg(F.min(F.struct("w", "version", "around")).alias("h"))
+    first = first.select("key", F.col("h.w").alias("w_first"), F.col("h.around").alias("around_first"))
+    pairs = met.where("earlier < uid").join(first.hint("merge"), "key").select("uid", "version", "earlier", "w", "w_first", "around", "around_first")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, theirs = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, 2, EDGE) for c in (5, 6))
+            equal = np.cumprod((mine == theirs) & (mine > 0), axis=2).sum(axis=2)  # words in a row, before and after
+            w, at = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+            ends = [w - at, w - equal[:, 0], w + GRAM + equal[:, 1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x.astype(np.int32)) for x in ends)], ["uid", "version", "earlier", "shift", "a", "b"])
+
+    parts = map_arrow(pairs, compared, "uid bigint, version bigint, earlier bigint, shift int, a int, b int")
+    return _joined(parts, ["uid", "version", "earlier", "shift"])
+
+
+def _joined(ranges: DataFrame, keys: list[str], *others: Column) -> DataFrame:
+    """Ranges [a, b) of each key that overlap or touch, as one."""
+    before = Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    marked = ranges.withColumn("__new", F.coalesce((F.col("a") > F.max("b").over(before)).cast("int"), F.lit(1)))
+    numbered = marked.withColumn("__n", F.sum("__new").over(Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "__n").agg(F.min("a").alias("a"), F.max("b").alias("b"), *others).drop("__n")
+
+
+def _passages(runs: DataFrame) -> DataFrame:
+    """(doc, version, a, b, earlier): runs of LEAST_WORDS words, and pairs of runs at an edit distance of one."""
+    by = Window.partitionBy("uid", "version", "earlier").orderBy("a", "b", "shift")
+    last = F.lag(F.struct("a", "b", "shift")).over(by)
+    pairs = runs.withColumn("last", last)
+    gap = F.col("a") - F.col("last.b")
+    other = gap - F.col("shift") + F.col("last.shift")  # the gap in the earlier document
+    edited = gap.between(0, 1) & other.between(0, 1) & (gap + other > 0) & (F.col("b") - F.col("last.a") >= LEAST_WORDS)
+    taken = pairs.withColumn("a", F.when(F.coalesce(edited, F.lit(False)), F.col("last.a")).otherwise(F.col("a"))).where(F.col("b") - F.col("a") >= LEAST_WORDS)
+    return taken.select(F.col("uid").alias("doc"), "version", "a", "b", "earlier")
+
+
+def _lines(own: DataFrame) -> DataFrame:
+    """(doc, version, w, n, text) of lines of LEAST_WORDS words or more: the first word and the number of words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, number = 0, 0
-                for line in (text or "").split("\n"):
-                    size = len(line.encode())
-                    if size > 2 * LEAST_WORDS - 2 and len(line.split()) >= LEAST_WORDS:
-                        for column, value in zip(out, ((uid << LINE_BITS) + number, line, uid, at, at + size), strict=True):
-                            column.append(value)
-                        number += 1
-                    at += size + 1
-                if number >= 1 << LINE_BITS or abs(uid) >= 1 << (62 - LINE_BITS):
-                    raise ValueError("a document's id or number of long lines is out of range")
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), *(pa.array(x, pa.int64()) for x in out[2:])], ["uid", "text", "doc", "a", "b"])
-
-    return map_arrow(docs.select("uid", "text"), run, "uid bigint, text string, doc bigint, a bigint, b bigint")
+            texts = batch.column(2)
+            for i, j in words.slices(texts, SLICE):
+                w = words.Words(texts.slice(i, j - i))
+                begins = np.unique(np.concatenate([w.offsets[:-1], np.flatnonzero(w.bytes == 10) + 1]))
+                words_before = np.append(np.searchsorted(w.start, begins), len(w.start))
+                long = np.flatnonzero(np.diff(words_before) >= LEAST_WORDS)
+                one, n = words_before[long], np.diff(words_before)[long]
+                row = np.searchsorted(w.first, one, "right") - 1
+                raw = w.bytes.tobytes()
+                lines = [raw[a:b].decode() for a, b in zip(w.start[one].tolist(), w.end[one + n - 1].tolist(), strict=True)]
+                of = pa.array(row)
+                columns = [c.slice(i, j - i).take(of) for c in batch.columns[:2]] + [pa.array((one - w.first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(lines, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "w", "n", "text"])
 
+    return map_arrow(own.select("uid", "version", "text"), run, "doc bigint, version bigint, w int, n int, text string")
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, spans, earlier): for each document that repeats others, byte ranges (start, end) in order, apart from one another,
-    and the ids of the documents that hold them already (one for each passage, the smallest).
 
-    Rows with one key count as one document. Null and empty texts, and rows without a key, have no passages.
-    """
-    own = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("uid"), F.col(text).alias("text"))
-    lines = _lines(own)
+def _repeated_lines(own: DataFrame) -> DataFrame:
+    """(doc, version, a, b, earlier) of long lines whose class has a line in a document with a smaller id."""
+    # numbered once and for all by being written; so ids of documents can be any 64-bit numbers
+    lines = written(_lines(own).withColumn("uid", F.monotonically_increasing_id()), "long-lines", release=True)
     bands, rows = tune(0.8, 0.999, MOST_BANDS)
     label = written(classes(lines.select("uid", "text"), 0.8, bands, rows), "line-classes", release=True)
-    late = label.withColumn("earlier", F.shiftright("label", LINE_BITS)).where(F.col("earlier") < F.shiftright("uid", LINE_BITS))
-    places = lines.select("uid", "doc", "a", "b")
-    by_line = late.join(places, "uid").select("doc", "a", "b", "earlier")
-    runs = written(_runs(own).withColumnRenamed("uid", "doc"), "runs", release=True)
-    both = written(by_line, "lines", release=True).unionByName(runs).distinct()
-    grouped = both.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.array_sort(F.collect_set("earlier")).alias("earlier"))
-    merged = F.aggregate(
-        "spans", F.array().cast("array<struct<a:bigint,b:bigint>>"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["b"] >= s["a"]),
-                               F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], s["b"]).alias("b")))))
-        .otherwise(F.concat(done, F.array(s))),
-    )
-    return grouped.select("doc", merged.alias("spans"), "earlier")
-
-
-def _cut(text: str, spans: list[dict]) -> str:
-    raw, out, at = text.encode(), [], 0
-    for s in spans:
-        out.append(raw[at : s["a"]])
-        at = s["b"]
-    out.append(raw[at:])
-    kept = [x.decode("utf-8", "ignore") for x in out]
-    # a line that is gone leaves no empty line
-    joined = kept[0]
-    for part in kept[1:]:
-        if part[:1] == "\n" and (not joined or joined[-1:] == "\n"):
-            part = part[1:]
-        elif part[:1] == " " and joined[-1:] in (" ", "\n", ""):
-            part = part[1:]
-        joined += part
-    return joined
+    named = lines.select("uid", "doc", "version", F.col("w").alias("a"), (F.col("w") + F.col("n")).alias("b")).join(label.hint("merge"), "uid")
+    first = named.groupBy("label").agg(F.min("doc").alias("earlier"))
+    return named.join(first.hint("merge"), "label").where("earlier < doc").select("doc", "version", "a", "b", "earlier")
+
+
+def _version(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc, version, spans, earlier): for each text that repeats other documents, ranges (first word, word after the last) in
+    order, apart from one another, and the ids of the documents that hold them already (the smallest for each range).
+
+    Rows with one key count as one document, and don't repeat one another; where their texts differ, ``version`` (the
+    text's hash) tells which text the ranges belong to. Null and empty texts, and rows without a key, have no passages.
+    """
+    own = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("uid"), _version(F.col(text)).alias("version"), F.col(text).alias("text"))
+    by_line = written(_repeated_lines(own), "lines", release=True)
+    both = by_line.unionByName(written(_passages(_runs(own)), "runs", release=True))
+    merged = _joined(both, ["doc", "version"], F.min("earlier").alias("earlier"))
+    return merged.groupBy("doc", "version").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.array_sort(F.collect_set("earlier")).alias("earlier"))
+
+
+def _bytes_of(texts: pa.Array, spans: list[list[dict]]) -> list[list[tuple[int, int]]]:
+    """Word ranges of each text as byte ranges."""
+    w = words.Words(texts)
+    out = []
+    for r, ranges in enumerate(spans):
+        base, start = int(w.first[r]), int(w.offsets[r])
+        out.append([(int(w.start[base + s["a"]]) - start, int(w.end[base + s["b"] - 1]) - start) for s in ranges])
+    return out
+
+
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without byte ranges. A line of which only blanks are left goes as a whole; two blanks that meet become one."""
+    raw, kept, at = text.encode(), [], 0
+    for a, b in spans:
+        left, right = a, b
+        while left > at and raw[left - 1] in _BLANKS:
+            left -= 1
+        while right < len(raw) and raw[right] in _BLANKS:
+            right += 1
+        opens = left == 0 or raw[left - 1] == 10 or (left == at and (not kept or kept[-1].endswith(b"\n")))
+        closes = right == len(raw) or raw[right] == 10
+        if opens and closes:
+            a, b = left, min(right + 1, len(raw))
+            if b == len(raw) and a > at and raw[a - 1] == 10 and right == len(raw):
+                a -= 1  # the last line takes the line end before it along
+        elif a > 0 and b < len(raw) and raw[a - 1] in _BLANKS and raw[b] in _BLANKS:
+            b += 1
+        if a > at:
+            kept.append(raw[at:a])
+        at = max(at, b)
+    return b"".join([*kept, raw[at:]]).decode()
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with the repeated passages cut out of the text, and with ``spans`` and ``earlier`` as :func:`repeats` gives them.
+    """``docs`` with the repeated passages cut out of the text, and with ``spans`` (byte ranges of the text as it was) and
+    ``earlier`` (ids of the documents that hold them) as :func:`repeats` finds them.
 
     Both are empty for documents that repeat nothing, whose text stays as it is (null stays null). Rows, repeated ones too,
-    and other columns stay; columns of these two names are replaced.
+    and other columns stay; columns of these two names are replaced. An empty table gives an empty table.
     """
     docs = docs.drop("spans", "earlier")
-    spans = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    found = written(repeats(docs, text, key).withColumnRenamed("doc", "__doc"), "repeats", release=True)
-    joined = docs.join(found.hint("merge"), F.col(f"`{key}`") == F.col("__doc"), "left").drop("__doc")
-    added = StructType([StructField("spans", ArrayType(spans)), StructField("earlier", ArrayType(LongType()))])
+    found = written(repeats(docs, text, key).withColumnsRenamed({"doc": "__doc", "version": "__version"}), "repeats", release=True)
+    same = (F.col(f"`{key}`") == F.col("__doc")) & (_version(F.col(f"`{text}`")) == F.col("__version"))
+    joined = docs.join(found.hint("merge"), same, "left").drop("__doc", "__version")
+    added = StructType([StructField("spans", ArrayType(StructType([StructField("a", LongType()), StructField("b", LongType())]))), StructField("earlier", ArrayType(LongType()))])
     schema = StructType(docs.schema.fields + added.fields)
     place, width = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts, column = batch.column(batch.schema.get_field_index("spans")), batch.column(place)
-            some = set(np.flatnonzero(np.asarray(cuts.is_valid())).tolist())
-            if some:
-                column = pa.array([_cut(t, cuts[i].as_py()) if i in some and t is not None else t for i, t in enumerate(column.to_pylist())], pa.string())
-            columns = [column if i == place else batch.column(i) for i in range(width)]
-            lists = [pa.array([x or [] for x in batch.column(batch.schema.get_field_index(n)).to_pylist()], batch.schema.field(n).type) for n in ("spans", "earlier")]
-            yield pa.RecordBatch.from_arrays(columns + lists, schema.fieldNames())
+            column, cuts, ids = batch.column(place), batch.column(width), batch.column(width + 1)
+            ranges: list = [[] for _ in range(batch.num_rows)]
+            some = np.flatnonzero(np.asarray(cuts.is_valid()))
+            if len(some):
+                texts = column.to_pylist()
+                for i in some.tolist():
+                    ranges[i] = _bytes_of(column.slice(i, 1), [cuts[i].as_py()])[0]
+                    texts[i] = _cut(texts[i], ranges[i])
+                column = pa.array(texts, pa.string())
+            lists = [pa.array([[{"a": a, "b": b} for a, b in r] for r in ranges], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
+            lists.append(pa.array([x or [] for x in ids.to_pylist()], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([column if i == place else batch.column(i) for i in range(width)] + lists, schema.fieldNames())
 
     return map_arrow(joined.select(*[F.col(f"`{c}`") for c in schema.fieldNames()]), run, schema)

@@ -138,12 +138,71 @@ def test_passages_of_odd_tables(spark):
     assert [r.text for r in got if r.doc_id == 1] == [same, same]
 
 
-def test_pieces_agree_wherever_a_passage_stands():
+def test_equal_runs_share_an_anchor():
+    """Any 25 equal words of two texts have a gram in common, wherever they stand."""
     rng = random.Random(2)
-    p = _passages(rng, 80)
-    rows, _, key, *_ = substring.pieces(pa.array([p, _passages(rng, 33) + " " + p + " " + _passages(rng, 9), "one", ""]))
-    a, b = set(key[rows == 0].tolist()), set(key[rows == 1].tolist())
-    assert len(a & b) >= len(a) - 2 and len(a) > 5
+    for _ in range(200):
+        p = _passages(rng, 2 * substring.GRAM - 5)
+        _, row, _, key = substring.anchors(pa.array([f"{_passages(rng, rng.randint(0, 30))} {p} {_passages(rng, rng.randint(0, 30))}" for _ in range(2)]))
+        assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+    assert len(substring.anchors(pa.array(["one", "", None]))[1]) == 0
+
+
+def _repeated(texts, n=50):
+    """Words of each text that stand in a window of n words that a text with a smaller number holds too."""
+    seen, out = set(), []
+    for t in texts:
+        w = t.split()
+        windows = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        out.append({i + k for i, x in enumerate(windows) if x in seen for k in range(n)})
+        seen |= set(windows)
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    """Passages of 40 to 70 words in any place, also across line ends: exactly the words of repeated windows of 50 words go."""
+    rng = random.Random(14)
+    shared = [_passages(rng, n).split() for n in (40, 49, 50, 50, 51, 52, 55, 60, 70)]
+    texts = []
+    for _ in range(60):
+        w = _passages(rng, rng.randint(10, 60)).split()
+        for p in rng.sample(shared, rng.randint(0, 3)):
+            w += p + _passages(rng, rng.randint(3, 40)).split()
+        texts.append("".join(x + rng.choice(["  ", " ", " ", " ", " ", " ", " ", " ", " ", "\n"]) for x in w))
+    got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    for i, (t, gone) in enumerate(zip(texts, _repeated(texts), strict=True)):
+        assert got[i].text.split() == [x for k, x in enumerate(t.split()) if k not in gone]
+        assert bool(got[i].spans) == bool(gone)
+
+
+@pytest.mark.parametrize("change", [["new"], [], ["new", "old"]])
+def test_passages_with_one_word_changed(spark, change):
+    """One word replaced, left out or put in (two words for one here): edit distance one in the middle of 56 words."""
+    rng = random.Random(15)
+    p = _passages(rng, 56).split()
+    edited = p[:28] + change[:1] + (p[28 + (len(change) < 2) :])
+    mid = lambda w: f"{_passages(rng, 30)} {' '.join(w)} {_passages(rng, 30)}"
+    rows = [(-5, mid(p)), (7, mid(edited)), (8, mid(p[:28] + ["x", "y", "z"] + p[28:]))]
+    got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got[7].text.split()) == 60 and got[7].earlier == [-5] and got[8].spans == [] and got[-5].spans == []
+
+
+def test_ids_of_any_size_and_texts_of_one_id(spark):
+    rng = random.Random(16)
+    p, q = _passages(rng, 60), _passages(rng, 60)
+    big = 2**63 - 1
+    rows = [(-(2**63), f"a {p} b"), (big, f"c {p}\nd"), (2**42, f"{q}"), (big, f"top\n{q}\nend"), (big, f"{_passages(rng, 9)}"), (big, f"e {p}")]
+    got = substring.dedup(spark.createDataFrame(rows, DOCS)).collect()
+    # the lines with a word or two more are near-duplicates and go as a whole
+    assert sorted(r.text for r in got if r.doc_id == big) == sorted(["d", "top\nend", rows[4][1], ""])
+    assert {r.text for r in got if r.doc_id != big} == {rows[0][1], q}
+
+
+def test_cuts_leave_no_empty_lines():
+    line = "one two three"
+    for text, span, left in [(f"a\n {line} \nb", (3, 16), "a\nb"), (f"{line}\nb", (0, 13), "b"), (f"a\n{line}", (2, 15), "a"), (line, (0, 13), ""), (f"a {line} b", (2, 15), "a b"), (f"a {line}\nb", (2, 15), "a \nb")]:
+        assert substring._cut(text, [span]) == left
+    assert substring._cut("x\nab\ncd\ny", [(2, 4), (5, 7)]) == "x\ny"
 
 
 @pytest.mark.parametrize("seed", range(3))
