@@ -261,6 +261,79 @@ def test_broken_pages(page):
     assert html.main_text("<p>a<p>b<div>c") == "a\n\nb\n\nc"
 
 
+def test_teasers_called_article_are_not_the_article():
+    """Tags don't decide: short article elements with links lose to a plain div of running text, also on the same level."""
+    teasers = "".join(f'<article><h2><a href="/{i}">Headline number {i}</a></h2><p><a href="/{i}">Read all about {i}</a></p></article>' for i in range(12))
+    story = "".join(f"<p>{'Running text of the story goes on. ' * 5}{i}</p>" for i in range(6))
+    for page in (f"<body><div>{teasers}</div><div>{story}</div></body>", f"<body>{teasers}<div><h1>Story</h1>{story}</div></body>", f"<body><main>{teasers}</main><div>{story}</div><main>{teasers}</main></body>"):
+        text = html.main_text(page)
+        assert text.count("Running text of the story goes on.") == 30 and "Headline" not in text and "Read" not in text
+
+
+def test_results_come_through_density(monkeypatch):
+    """With one density for all elements menus and adverts stay in, and links win over the story."""
+    links = "".join(f'<li><a href="/{i}">Some link text {i}</a></li>' for i in range(30))
+    page = f"<body><nav>Menu here</nav><div><ul>{links}</ul></div><div>{'<p>' + 'Running text of the story. ' * 9 + '</p>'}<p>{'More of it. ' * 9}</p></div><div class=ad>Buy now</div></body>"
+    right = html.main_text(page)
+    plain = html._densities
+
+    def flat(nodes):
+        plain(nodes)
+        for x in nodes:
+            x.density = 1.0 if x.chars else 0.0
+
+    monkeypatch.setattr(html, "_densities", flat)
+    assert right.startswith("Running") and "link" not in right and "Buy" not in right and html.main_text(page) != right
+
+
+def test_densities_equal_brute_force():
+    """Characters for each tag, adjusted for links, counted anew for every element of random trees."""
+    import xml.etree.ElementTree as ET
+
+    rng = random.Random(3)
+
+    def grow(depth):
+        tag = rng.choice(["div", "section", "b", "a", "span"] if depth else ["span", "a"])
+        inner = "".join(rng.choice(["some text ", "x", "", grow(depth - 1)]) for _ in range(rng.randint(1, 4))) if depth else "leaf text"
+        return f"<{tag}>{inner}</{tag}>"
+
+    def figures(e):
+        inner = "".join(e.itertext()).replace(" ", "")
+        below = [x for x in e.iter() if x is not e]
+        links, at = 0, [(e, e.tag == "a")]
+        while at:
+            x, inside = at.pop()
+            if inside:
+                links += len("".join(x.itertext()).replace(" ", ""))
+            else:
+                at += [(c, c.tag == "a") for c in x]
+        return len(inner), len(below), links, sum(x.tag == "a" for x in below)
+
+    for _ in range(60):
+        page = "<div>" + "".join(grow(3) for _ in range(3)) + "</div>"
+        nodes = html._order(html._tree(page))
+        html._densities(nodes)
+        elements = list(ET.fromstring(page).iter())
+        assert [x.name for x in nodes[1:]] == [e.tag for e in elements]
+        whole = figures(elements[0])
+        for x, e in zip(nodes[1:], elements, strict=True):
+            c, t, lc, lt = figures(e)
+            assert (x.chars, x.tags, x.link_chars, x.link_tags) == (c, t, lc, lt)
+            base = np.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + np.e)
+            want = c / max(1, t) * np.log(c / max(1, lc) * max(1, t) / max(1, lt) + 1) / np.log(base + 1) if c else 0
+            assert x.density == pytest.approx(want)
+
+
+@pytest.mark.parametrize("page", ["<p " * 100_000 + '"', "<b>" * 40_000 + "</i>" * 40_000, "<div><b><table>" + "<i>" * 40_000 + "</b>" * 40_000, "<i>" * 40_000 + "<hr>" * 40_000,
+                                  "<i>" * 40_000 + "<li></li>" * 40_000, "<script>" + "</script " * 100_000, '<p a="x>' * 60_000, "<!--" * 100_000, "<table><tr><td>" * 20_000 + "<li></li>" * 20_000])
+def test_long_broken_pages_take_no_long_time(page):
+    import time
+
+    start = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - start < 20  # seconds; a way back for each tag would take many minutes
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 6)], "page_id long, url string, html string, n_chars int")
     rows = html.extract(df).collect()
