@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import words
 from .minhash import classes, tune
-from .runtime import map_arrow, written
+from .runtime import map_arrow, remove_written, written
 
 LEAST_WORDS = 50
 GRAM = 15
@@ -73,21 +73,8 @@ def anchors(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray, np.nd
     return w, row, found, words.mix(key).view(np.int64)
 
 
-def _around(w: words.Words, row: np.ndarray, at: np.ndarray) -> pa.Array:
-    """16 bits of each of the EDGE words before and after the gram at each anchor, nearest first; 0 beyond the text."""
-    short = np.maximum(w.hash >> np.uint64(48), np.uint64(1)).astype(np.uint16)
-    low, high = w.first[row], w.first[row + 1]
-    out = np.zeros((len(at), 2 * EDGE), np.uint16)
-    for j in range(EDGE):
-        for column, p in ((j, at - 1 - j), (EDGE + j, at + GRAM + j)):
-            inside = (p >= low) & (p < high)
-            out[inside, column] = short[p[inside]]
-    offsets = np.arange(len(at) + 1, dtype=np.int32) * (4 * EDGE)
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
-
-
 def _sliding(own: DataFrame, full: bool) -> DataFrame:
-    """(uid, key) of the anchors, or with ``full`` also the text's version, the number of the word, and the words around."""
+    """(uid, key) of the anchors, or with ``full`` also the text's version and the number of the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,31 +84,82 @@ def _sliding(own: DataFrame, full: bool) -> DataFrame:
                 of = pa.array(row)
                 columns = [batch.column(0).slice(i, j - i).take(of), pa.array(key)]
                 if full:
-                    columns += [batch.column(1).slice(i, j - i).take(of), pa.array((at - w.first[row]).astype(np.int32)), _around(w, row, at)]
-                yield pa.RecordBatch.from_arrays(columns, ["uid", "key", "version", "w", "around"][: len(columns)])
+                    columns += [batch.column(1).slice(i, j - i).take(of), pa.array((at - w.first[row]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "key", "version", "w"][: len(columns)])
 
-    return map_arrow(own.select("uid", "version", "text"), run, "uid bigint, key bigint" + (", version bigint, w int, around binary" if full else ""))
+    return map_arrow(own.select("uid", "version", "text"), run, "uid bigint, key bigint" + (", version int, w int" if full else ""))
 
 
 def _runs(own: DataFrame) -> DataFrame:
-    """(uid, version, a, b, earlier): word ranges that a document with a smaller id holds too, maximal along one alignment."""
+    """(uid, version, earlier, shift, a, b): word ranges that a document with a smaller id holds too, as far as they go."""
     # Minima are combined before the shuffle; a paragraph of one document alone goes no further
     held = _sliding(own, False).groupBy("key").agg(F.min("uid").alias("earlier"), F.max("uid").alias("last")).where("earlier < last").drop("last")
     met = written(_sliding(own, True).join(held.hint("merge"), "key"), "paragraphs-met", release=True)
-    first = met.where("uid = earlier").groupBy("key").agg(F.min(F.struct("w", "version", "around")).alias("h"))
-    first = first.select("key", F.col("h.w").alias("w_first"), F.col("h.around").alias("around_first"))
-    pairs = met.where("earlier < uid").join(first.hint("merge"), "key").select("uid", "version", "earlier", "w", "w_first", "around", "around_first")
+    first = met.where("uid = earlier").groupBy("key").agg(F.min(F.struct("version", "w")).alias("h")).select("key", F.col("h.version").alias("held_as"), F.col("h.w").alias("w_held"))
+    pairs = met.where("earlier < uid").join(first.hint("merge"), "key")
+    parts = pairs.select("uid", "version", "earlier", "held_as", (F.col("w") - F.col("w_held")).alias("shift"), F.col("w").alias("a"), (F.col("w") + GRAM).alias("b"))
+    grams = _joined(parts, ["uid", "version", "earlier", "held_as", "shift"])
+
+    # runs that with the words around them, or with the next run, may reach LEAST_WORDS
+    by = Window.partitionBy("uid", "version", "earlier").orderBy("a", "b", "shift")
+    near = lambda f: F.coalesce(F.abs(f("a") - F.col("a")), F.lit(1 << 30)) <= LEAST_WORDS
+    around = near(lambda c: F.lag(c).over(by)) | near(lambda c: F.lead(c).over(by))
+    grams = grams.withColumn("near", around).where(F.col("near") | (F.col("b") - F.col("a") >= LEAST_WORDS - 2 * EDGE)).drop("near")
+    grams = written(grams, "runs-met", release=True)
+    return _widened(grams, own)
+
+
+def _widened(grams: DataFrame, own: DataFrame) -> DataFrame:
+    """Runs with the equal words before and after them, up to EDGE on either side."""
+    ends = F.explode(F.array(
+        F.struct(F.col("uid").alias("doc"), F.col("version").alias("as"), F.col("a").alias("at")), F.struct(F.col("uid").alias("doc"), F.col("version").alias("as"), F.col("b").alias("at")),
+        F.struct(F.col("earlier").alias("doc"), F.col("held_as").alias("as"), (F.col("a") - F.col("shift")).alias("at")),
+        F.struct(F.col("earlier").alias("doc"), F.col("held_as").alias("as"), (F.col("b") - F.col("shift")).alias("at")),
+    ))
+    # no more places than a text has words, however many documents ask for them
+    asked = grams.select(ends.alias("e")).select("e.*").distinct().groupBy("doc", "as").agg(F.collect_list("at").alias("at"))
+    joined = own.join(asked.hint("merge"), (F.col("uid") == F.col("doc")) & (F.col("version") == F.col("as"))).select("doc", "as", "at", "text")
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in words.slices(batch.column(3), SLICE):
+                part = batch.slice(i, j - i)
+                w = words.Words(part.column(3))
+                lists = part.column(2)
+                row = np.repeat(np.arange(j - i), np.asarray(lists.value_lengths()))
+                at = np.asarray(lists.flatten()) + w.first[row]
+                short = np.maximum(w.hash >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+                sides = []
+                for places in (at[:, None] - 1 - np.arange(EDGE), at[:, None] + np.arange(EDGE)):
+                    inside = (places >= w.first[row][:, None]) & (places < w.first[row + 1][:, None])
+                    sides.append(np.where(inside, short[np.clip(places, 0, max(0, len(short) - 1))], np.uint32(0)).astype(np.uint32))
+                of, steps = pa.array(row), pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * (4 * EDGE))
+                columns = [part.column(0).take(of), part.column(1).take(of), lists.flatten(), *(pa.Array.from_buffers(pa.binary(), len(at), [None, steps, pa.py_buffer(x.tobytes())]) for x in sides)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "as", "at", "before", "after"])
+
+    # copies of a row ask alike and get alike
+    seen = map_arrow(joined, looked, "doc bigint, as int, at int, before binary, after binary").groupBy("doc", "as", "at").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+    seen = written(seen, "words-around", release=True)
+
+    def beside(rows: DataFrame, doc: str, version: str, at: Column, side: str, name: str) -> DataFrame:
+        words_there = seen.select(F.col("doc").alias("__doc"), F.col("as").alias("__as"), F.col("at").alias("__at"), F.col(side).alias(name))
+        same = (F.col(doc) == F.col("__doc")) & (F.col(version) == F.col("__as")) & (at == F.col("__at"))
+        return rows.join(words_there.hint("merge"), same).drop("__doc", "__as", "__at")
+
+    rows = grams
+    for end, side in (("a", "before"), ("b", "after")):
+        rows = beside(rows, "uid", "version", F.col(end), side, f"{side}_mine")
+        rows = beside(rows, "earlier", "held_as", F.col(end) - F.col("shift"), side, f"{side}_theirs")
+    rows = rows.select("uid", "version", "earlier", "shift", "a", "b", "before_mine", "before_theirs", "after_mine", "after_theirs")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine, theirs = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, 2, EDGE) for c in (5, 6))
-            equal = np.cumprod((mine == theirs) & (mine > 0), axis=2).sum(axis=2)  # words in a row, before and after
-            w, at = np.asarray(batch.column(3)), np.asarray(batch.column(4))
-            ends = [w - at, w - equal[:, 0], w + GRAM + equal[:, 1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x.astype(np.int32)) for x in ends)], ["uid", "version", "earlier", "shift", "a", "b"])
+            one, two, three, four = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, EDGE) for c in range(6, 10))
+            in_a_row = lambda x, y: np.cumprod((x == y) & (x > 0), axis=1).sum(axis=1)
+            ends = [np.asarray(batch.column(4)) - in_a_row(one, two), np.asarray(batch.column(5)) + in_a_row(three, four)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(x.astype(np.int32)) for x in ends)], ["uid", "version", "earlier", "shift", "a", "b"])
 
-    parts = map_arrow(pairs, compared, "uid bigint, version bigint, earlier bigint, shift int, a int, b int")
-    return _joined(parts, ["uid", "version", "earlier", "shift"])
+    return _joined(map_arrow(rows, compared, "uid bigint, version int, earlier bigint, shift int, a int, b int"), ["uid", "version", "earlier", "shift"])
 
 
 def _joined(ranges: DataFrame, keys: list[str], *others: Column) -> DataFrame:
@@ -163,7 +201,7 @@ def _lines(own: DataFrame) -> DataFrame:
                 columns = [c.slice(i, j - i).take(of) for c in batch.columns[:2]] + [pa.array((one - w.first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(lines, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "w", "n", "text"])
 
-    return map_arrow(own.select("uid", "version", "text"), run, "doc bigint, version bigint, w int, n int, text string")
+    return map_arrow(own.select("uid", "version", "text"), run, "doc bigint, version int, w int, n int, text string")
 
 
 def _repeated_lines(own: DataFrame) -> DataFrame:
@@ -174,11 +212,13 @@ def _repeated_lines(own: DataFrame) -> DataFrame:
     label = written(classes(lines.select("uid", "text"), 0.8, bands, rows), "line-classes", release=True)
     named = lines.select("uid", "doc", "version", F.col("w").alias("a"), (F.col("w") + F.col("n")).alias("b")).join(label.hint("merge"), "uid")
     first = named.groupBy("label").agg(F.min("doc").alias("earlier"))
-    return named.join(first.hint("merge"), "label").where("earlier < doc").select("doc", "version", "a", "b", "earlier")
+    found = written(named.join(first.hint("merge"), "label").where("earlier < doc").select("doc", "version", "a", "b", "earlier"), "lines", release=True)
+    remove_written(lines)
+    return found
 
 
 def _version(text: Column) -> Column:
-    return F.xxhash64(text)
+    return F.hash(text)
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -189,8 +229,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     text's hash) tells which text the ranges belong to. Null and empty texts, and rows without a key, have no passages.
     """
     own = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("uid"), _version(F.col(text)).alias("version"), F.col(text).alias("text"))
-    by_line = written(_repeated_lines(own), "lines", release=True)
-    both = by_line.unionByName(written(_passages(_runs(own)), "runs", release=True))
+    both = _repeated_lines(own).unionByName(written(_passages(_runs(own)), "runs", release=True))
     merged = _joined(both, ["doc", "version"], F.min("earlier").alias("earlier"))
     return merged.groupBy("doc", "version").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.array_sort(F.collect_set("earlier")).alias("earlier"))
 
