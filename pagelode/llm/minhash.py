@@ -189,7 +189,8 @@ def classes(units: DataFrame, threshold: float = THRESHOLD, bands: int | None =
     """(uid, label) for every unit that is linked with another or a copy of one: the smallest uid of its class.
 
     ``units``: (uid long, text). Units link where the Jaccard similarity of their sets of ``k``-word shingles is at least
-    the threshold; units without a word link with nothing. A class is what links connect.
+    the threshold; units without a word link with nothing. A class is what links connect. Rows of one uid are one unit: where
+    their texts differ, each finds copies and candidates, and similarity is that of the text that sorts first.
     """
     if bands is None or rows is None:
         bands, rows = tune(threshold)
@@ -206,7 +207,7 @@ def classes(units: DataFrame, threshold: float = THRESHOLD, bands: int | None =
     pairs = written(pairs, "pairs")
     wanted = members.select("uid").distinct()
     # a merge join at every size: the wanted ids grow with the texts, so they are never broadcast
-    texts = written(units.join(wanted.hint("merge"), "uid", "left_semi").dropDuplicates(["uid"]), "texts-wanted", release=True)
+    texts = written(units.join(wanted.hint("merge"), "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text")), "texts-wanted", release=True)
     links = written(verified(pairs, texts, threshold, k), "links", release=True)
     label = components(links).withColumnRenamed("node", "uid")
 
@@ -231,7 +232,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: f
     """``docs`` with ``class_id`` (the smallest key of the class) and ``kept`` (whether the row's key is that).
 
     Texts link as :func:`classes` says. A text that is null or has no word, and a row without a key, is a class of its own.
-    Rows with one key and text are one document: all of them are kept or none. Columns of these names are replaced.
+    Rows with one key are one document, also where their texts differ (see :func:`classes`): all of them are kept or none.
+    Columns of these names are replaced. An empty table gives an empty table.
     """
     docs = docs.drop("class_id", "kept")
     found = classes(docs.select(F.col(key).alias("uid"), F.col(text).alias("text")), threshold)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import looked_up, written
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -25,9 +25,6 @@ CHANCE = 4.0
 MEAN = "mean_word_chars"
 #: Each rate with the count that it is taken over.
 RATES = {"symbols_per_word": "n_words", "dup_line_share": "n_lines", "repeat_word_share": "n_words"}
-#: So many rows of fences (some 150 bytes each) are broadcast at most; more are joined by salted keys.
-BROADCAST_ROWS, SALTS = 100_000, 32
-
 #: Columns that :func:`measured` adds.
 MEASURES = ["word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", MEAN, *RATES]
 
@@ -117,17 +114,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """
     measures = written(measured(docs.drop("kept"), text), "quality-measures")  # read twice: for the sketches and for the verdict
     limits = written(fences(measures, (lang, source)), "quality-fences")
-    same = F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source"))
-    added = [c for c in limits.columns if c not in ("__lang", "__source")]
-    if limits.count() <= BROADCAST_ROWS:
-        joined = measures.join(F.broadcast(limits), same, "left")
-    else:  # a group with a large part of all rows is dealt to SALTS tasks
-        copies = limits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = measures.withColumn("__dealt", F.floor(F.rand(8) * SALTS).cast("int"))
-        joined = dealt.join(copies, same & (F.col("__dealt") == F.col("__salt")), "left").drop("__dealt", "__salt")
+    joined = looked_up(measures, limits, {lang: "__lang", source: "__source"})
     inside = F.col(MEAN).between(F.col("low"), F.col("high"))
     for rate, over in RATES.items():
         count = F.greatest(F.col(over), F.lit(1))
         chance = CHANCE * F.sqrt(F.col("tail_" + rate) / count) + CHANCE * CHANCE / count
         inside &= F.col(rate) <= F.col("fence_" + rate) + chance
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__lang", "__source", *added)
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop(*limits.columns)

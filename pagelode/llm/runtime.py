@@ -18,8 +18,9 @@ from pyspark.sql.types import StructType
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that driver and executors share.
 
-    On a cluster it is the one that ``spark.checkpoint.dir`` names. Only where that is unset and no checkpoint
-    folder was set on the context (tests on one machine) is a temporary folder made and set.
+    On a cluster it is the one that ``spark.checkpoint.dir`` names, or that was set on the context. Only where neither is
+    there and all runs in one process (tests) is a temporary folder made and set; elsewhere executors would each write to
+    a disk of their own, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -27,11 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="pagelode-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+_WRITTEN: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what :func:`written` wrote within. Results are lazy and read those tables, so use them up inside."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > before:
+            _delete(spark, _WRITTEN.pop())
+
+
 def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and return that table.
 
@@ -42,6 +60,7 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagelode/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
@@ -50,12 +69,33 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
 
 def remove_written(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Small tables are broadcast up to so many rows; beyond, rows are dealt to SALTS times as many groups.
+SMALL_ROWS, SALTS = 100_000, 32
+
+
+def looked_up(rows: DataFrame, small: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """``rows`` with what ``small`` has for them (nulls equal nulls), else nulls. ``keys``: columns of rows and of small.
+
+    ``small`` has one row for each key and is counted first. Where it is too many to broadcast, a key that holds a large
+    part of the rows is split by a hash of the row.
+    """
+    same = F.lit(True)
+    for a, b in keys.items():
+        same &= F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))
+    if small.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(small), same, "left").drop(*keys.values())
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__dealt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, same & (F.col("__dealt") == F.col("__salt")), "left").drop(*keys.values(), "__dealt", "__salt")
 
 
 BATCH_ROWS = 1000

@@ -27,6 +27,63 @@ def test_matrix_has_its_margins_and_mean():
     assert abs(mean - 15) < 0.6
 
 
+@pytest.mark.parametrize(("good", "bad", "sample"), [(400_000_000, 700_000_000, 9_000), (3 * 10**12, 10**12, 10**6), (10**13, 10**12, 2 * 10**12), (10**9, 5, 10**9), (7, 10**10, 10**9)])
+def test_large_draws_are_hypergeometric(good, bad, sample):
+    """Mean and variance of many draws beyond the sizes that numpy takes, and their support."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    x = np.array([sharding._hypergeometric(rng, good, bad, sample) for _ in range(4000)], float)
+    n, p = good + bad, good / (good + bad)
+    sd = np.sqrt(sample * p * (1 - p) * (n - sample) / (n - 1))
+    if sd > 0.1:
+        assert abs(x.mean() - sample * p) < 4 * sd / np.sqrt(4000) and abs(x.std() / sd - 1) < 0.06
+    assert x.max() <= min(good, sample) and x.min() >= max(0, sample - bad)
+
+
+def test_large_draws_follow_the_law_at_small_sizes():
+    """The way for large sizes, used at a small one, against the exact chances."""
+    from math import comb
+
+    good, bad, sample, n = 12, 30, 15, 20_000
+    rng = np.random.Generator(np.random.PCG64(6))
+    p, most = sample / (good + bad), None
+    most = sharding._log_binomial(int((bad + 1) * p), bad, p)
+    got = Counter()
+    while got.total() < n:
+        x = int(rng.binomial(good, p))
+        if 0 <= sample - x <= bad and np.log(rng.random()) <= sharding._log_binomial(sample - x, bad, p) - most:
+            got[x] += 1
+    for k in range(good + 1):
+        chance = comb(good, k) * comb(bad, sample - k) / comb(good + bad, sample)
+        assert abs(got[k] / n - chance) < 5 * np.sqrt(chance / n) + 1e-4
+
+
+def _by_hand(rows, shards, seed, sources):
+    """The whole operator by sorting in Python: counts drawn from the matrix, local order, exchange, order in the shard."""
+    local, upto = {}, sharding.communication_matrix([sum(r[1] == i for r in rows) for i in range(sources)], sharding.shard_sizes(len(rows), shards), seed).cumsum(axis=1)
+    placed = []
+    for i in range(sources):
+        local = sorted((r for r in rows if r[1] == i), key=lambda r: (r[2], r[0]))
+        placed += [(int((upto[i] < k + 1).sum()), r[3], r[0]) for k, r in enumerate(local)]
+    placed.sort()
+    first = {}
+    return {row: (s, n - first.setdefault(s, n)) for n, (s, _, row) in enumerate(placed)}
+
+
+@pytest.mark.parametrize("sources", [1, 6])
+def test_shards_equal_brute_force(spark, monkeypatch, sources):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 16)
+    df = spark.range(300)
+    h = lambda k: F.xxhash64(F.lit(k), "id")
+    rows = [tuple(r) for r in df.select("id", F.pmod(h(4), F.lit(sources)).cast("int"), h(5), h(6), F.shiftrightunsigned(h(6), 32)).collect()]
+    want = _by_hand([(r[0], r[1], r[2], (r[4], r[3])) for r in rows], 7, 4, sources)
+    got = {r.id: r for r in sharding.shard(df, 7, 4, sources).collect()}
+    assert {i: r.shard for i, r in got.items()} == {i: v[0] for i, v in want.items()}
+    ranges = max(1, -(-300 // (7 * 16)))
+    for s in range(7):  # slots follow the third hash within the ranges, which follow one another
+        order = sorted((r for r in rows if got[r[0]].shard == s), key=lambda r: (r[4] * ranges >> 32, r[3]))
+        assert [got[r[0]].slot for r in order] == list(range(len(order)))
+
+
 @pytest.mark.parametrize(("n", "shards", "sources"), [(103, 16, 7), (5, 16, None), (0, 4, None), (1000, 1, 3)])
 def test_shards_are_even_and_gapless(spark, n, shards, sources):
     df = spark.range(n).withColumn("shard", F.lit("x"))
@@ -366,11 +423,11 @@ def _words(rng, n, sizes, mark=""):
     return " ".join("".join(rng.choices("abcdefghij", k=rng.choice(sizes))) + mark for _ in range(n))
 
 
-@pytest.mark.parametrize("broadcast", [quality.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("broadcast", [runtime.SMALL_ROWS, 0])
 def test_fences_follow_the_group(spark, monkeypatch, broadcast):
     """Place and width of the fences differ by group: what is usual in one is beyond the fence in another."""
     monkeypatch.setattr(quality, "LEAST_GROUP", 20)
-    monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(runtime, "SMALL_ROWS", broadcast)
     rng = random.Random(7)
     even, wide = [5, 6, 7], [2, 4, 6, 8, 10]
     rows = [(i, _words(rng, 80, even), "en", "s1") for i in range(60)] + [(100 + i, _words(rng, 80, wide, "##"), "en", "s2") for i in range(60)]
