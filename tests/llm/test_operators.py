@@ -484,19 +484,58 @@ def test_full_cache_changes_nothing(tokens, monkeypatch):
 # ---- mixing ----
 
 
-def test_shares_respect_limits():
-    assert mixing.shares(100, [1, 1, 2], [10, 100, 100]) == pytest.approx([10, 30, 60])
-    assert mixing.shares(100, [1, 0], [30, 500]) == [30, 0]
-    assert mixing.shares(0, [1], [5]) == [0] and mixing.shares(5, [], []) == []
+def _shares(amount, weights, limits):
+    """Round by round: what a full child can't take goes to the others by weight."""
+    out, left = [0.0] * len(weights), amount
+    open_ = {i for i, w in enumerate(weights) if w > 0 and limits[i] > 0}
+    while open_ and left > 1e-9:
+        total = sum(weights[i] for i in open_)
+        parts = {i: left * weights[i] / total for i in open_}
+        full = {i for i in open_ if out[i] + parts[i] >= limits[i] - 1e-12}
+        for i in full or open_:
+            left -= (limits[i] if full else out[i] + parts[i]) - out[i]
+            out[i] = limits[i] if full else out[i] + parts[i]
+        open_ -= full
+        if not full:
+            break
+    return out
+
+
+def _budgets(leaves, total, weights, default=1.0, prefix=()):
+    """By recursion over a tree of dictionaries."""
+    if len(prefix) == 3:
+        return {prefix: int(min(total, leaves[prefix]) + 1e-6)}
+    mine = [p for p in leaves if p[: len(prefix)] == prefix]
+    names = list(dict.fromkeys(p[: len(prefix) + 1] for p in mine))
+    useful = lambda p: all(weights.get(p[:k], default) > 0 for k in range(1, 4))
+    limits = [sum(leaves[p] for p in mine if p[: len(c)] == c and useful(p)) for c in names]
+    out = {}
+    for c, part in zip(names, _shares(total, [weights.get(c, default) for c in names], limits), strict=True):
+        out |= _budgets(leaves, part, weights, default, c)
+    return out
 
 
-def test_shortage_goes_to_siblings_first():
+def _made(spark, leaves, total, weights):
+    df = spark.createDataFrame([(*p, float(v)) for p, v in leaves.items()], "__domain string, __lang string, __source string, supply double")
+    return {tuple(r)[:3]: r.goal for r in mixing.budgets(df, total, weights).collect()}
+
+
+def test_shortage_goes_to_siblings_first(spark):
     leaves = {("a", "en", "s1"): 10.0, ("a", "en", "s2"): 500.0, ("a", "de", "s1"): 500.0, ("b", "en", "s1"): 500.0}
-    got = mixing.budgets(leaves, 400, {})
-    assert got == {("a", "en", "s1"): 10, ("a", "en", "s2"): 90, ("a", "de", "s1"): 100, ("b", "en", "s1"): 200}
+    assert _made(spark, leaves, 400, {}) == {("a", "en", "s1"): 10, ("a", "en", "s2"): 90, ("a", "de", "s1"): 100, ("b", "en", "s1"): 200}
     leaves = {("a", "en", "s1"): 10.0, ("a", "de", "s1"): 20.0, ("b", "en", "s1"): 500.0}
-    assert mixing.budgets(leaves, 200, {}) == {("a", "en", "s1"): 10, ("a", "de", "s1"): 20, ("b", "en", "s1"): 170}
-    assert mixing.budgets(leaves, 200, {("b",): 0.0}) == {("a", "en", "s1"): 10, ("a", "de", "s1"): 20, ("b", "en", "s1"): 0}
+    assert _made(spark, leaves, 200, {}) == {("a", "en", "s1"): 10, ("a", "de", "s1"): 20, ("b", "en", "s1"): 170}
+    assert _made(spark, leaves, 200, {("b",): 0.0}) == {("a", "en", "s1"): 10, ("a", "de", "s1"): 20, ("b", "en", "s1"): 0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_budgets_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    leaves = {(f"d{i}", rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3", None])): float(rng.choice([0, 5, 80, 900])) for i in range(4) for _ in range(6)}
+    weights = {("d0",): 4.0, ("d1",): 0.0 if seed else 2.0, ("d2", "en"): 3.0, ("d2", None): 0.5, ("d3", "de", "s1"): 7.0, ("d0", "en", "s2"): 0.0}
+    for total in (0, 50, 700, 10**6):
+        got, want = _made(spark, leaves, total, weights), _budgets(leaves, total, weights)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) <= 1 for p in want)
 
 
 def _brute_mix(rows, goal, epochs, seed, spark):
@@ -522,9 +561,10 @@ def _brute_mix(rows, goal, epochs, seed, spark):
     return out
 
 
-@pytest.mark.parametrize("share", [0.3, 1.0, 1.7])
-def test_mix_equals_brute_force(spark, monkeypatch, share):
+@pytest.mark.parametrize(("share", "small"), [(0.3, 0), (1.0, 100), (1.7, 100)])
+def test_mix_equals_brute_force(spark, monkeypatch, share, small):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 8)
+    monkeypatch.setattr(runtime, "SMALL_ROWS", small)
     rng = random.Random(11)
     rows = [(i, "w " * rng.randint(0, 9) if i % 17 else None, rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3"])) for i in range(300)]
     df = spark.createDataFrame(rows, DOCS).withColumn("epoch", F.lit("x"))
@@ -533,6 +573,6 @@ def test_mix_equals_brute_force(spark, monkeypatch, share):
     supply = Counter()
     for _, t, lang, s in rows:
         supply[("d", lang, s)] += len((t or "").split())
-    goal = mixing.budgets({p: 2.0 * n for p, n in supply.items()}, share * sum(supply.values()), weights)
+    goal = _budgets({p: 2.0 * n for p, n in supply.items()}, share * sum(supply.values()), weights)
     assert got == _brute_mix(rows, goal, 2, 5, spark)
     assert mixing.mix(df.limit(0), F.lit("d"), {}).collect() == []
