@@ -70,7 +70,12 @@ def anchors(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray, np.nd
     for j in range(GRAM):
         key = key * np.uint64(words.BASE) + w.hash[found + j]
     row = np.searchsorted(w.first, found, "right") - 1
-    return w, row, found, words.mix(key).view(np.int64)
+    # Where a text repeats a phrase shorter than a gram, the gram counts once for each time that it doesn't overlap itself
+    order = np.lexsort([found, key, row])
+    near = (np.diff(found[order]) < GRAM) & (np.diff(key[order]) == 0)
+    on = np.ones(len(found), bool)
+    on[order[1:][near]] = False
+    return w, row[on], found[on], words.mix(key[on]).view(np.int64)
 
 
 def _sliding(own: DataFrame, full: bool) -> DataFrame:
@@ -94,8 +99,10 @@ def _runs(own: DataFrame) -> DataFrame:
     """(uid, version, earlier, shift, a, b): word ranges that a document with a smaller id holds too, as far as they go."""
     # Minima are combined before the shuffle; a paragraph of one document alone goes no further
     held = _sliding(own, False).groupBy("key").agg(F.min("uid").alias("earlier"), F.max("uid").alias("last")).where("earlier < last").drop("last")
+    held = written(held, "paragraphs-held", release=True)  # a join of two plain tables, so that a key of very many rows can be split
     met = written(_sliding(own, True).join(held.hint("merge"), "key"), "paragraphs-met", release=True)
     first = met.where("uid = earlier").groupBy("key").agg(F.min(F.struct("version", "w")).alias("h")).select("key", F.col("h.version").alias("held_as"), F.col("h.w").alias("w_held"))
+    first = written(first, "paragraphs-first", release=True)
     pairs = met.where("earlier < uid").join(first.hint("merge"), "key")
     parts = pairs.select("uid", "version", "earlier", "held_as", (F.col("w") - F.col("w_held")).alias("shift"), F.col("w").alias("a"), (F.col("w") + GRAM).alias("b"))
     grams = _joined(parts, ["uid", "version", "earlier", "held_as", "shift"])
