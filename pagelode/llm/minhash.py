@@ -198,11 +198,13 @@ def classes(units: DataFrame, threshold: float = THRESHOLD, bands: int | None =
     marks = written(signed(units, bands, rows, k), "signatures")
     heads = written(marks.groupBy("f1", "f2").agg(F.min("uid").alias("uid"), F.max("uid").alias("last"), F.first("bands").alias("bands")), "texts", release=True)
     inside = heads.select("uid", F.explode("bands").alias("key"))
-    shared = inside.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # joins are of plain tables, so that a bucket of very many texts can be split
+    shared = written(inside.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets-shared", release=True)
     members = written(inside.join(shared, "key"), "buckets", release=True)
 
     worth = members.groupBy("uid").agg(F.sum(F.log2("n")).alias("worth"))
     centres = members.join(worth, "uid").groupBy("key").agg((-F.max(F.struct("worth", (-F.col("uid")).alias("u")))["u"]).alias("centre"))
+    centres = written(centres, "centres", release=True)
     pairs = members.join(centres, "key").where("uid <> centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     wanted = members.select("uid").distinct()
