@@ -6,11 +6,14 @@ language holds, for each order, n-gram and context hashes in sorted arrays. The
 each symbol wins; a text is rejected where even that is far above what texts of the language have, as measured on rows
 that were left out of the counts.
 
-The fit reads a bounded sample of labelled rows (``rows_per_lang``); everything else reads whole texts of all rows.
+The fit reads a bounded sample of labelled rows (``rows_per_lang``); everything else reads whole texts of all rows. Languages
+are held in blocks of ``BLOCK``, one model each; texts are scored by one block after another and keep the best so far, so
+there can be any number of languages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,18 +27,20 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 
 from . import words
 from .hashing import NONE, Table
-from .runtime import map_arrow, unit_hash
+from .runtime import map_arrow, unit_hash, written
 
 ORDER = 5
 DISCOUNT = 0.75
 ROWS_PER_LANG = 600
-MOST_LANGS = 256
+BLOCK = 256
 ASIDE = 0.2
 UNKNOWN = "und"
 SLICE = 1 << 20
 CACHE = 400_000
 #: A text is rejected only beyond this many times the largest deviation seen, and by at least this much for each symbol.
 REJECT_TIMES, REJECT_LEAST = 3.0, 1.0
+#: Symbols that count as evidence for the score at most, and how much each counts.
+EVIDENCE_SYMBOLS, EVIDENCE = 400, 0.5
 _START, _END = 0x110000, 0x110001
 _CACHES: dict[str, tuple] = {}
 
@@ -127,6 +132,8 @@ class Order:
 
 @dataclass
 class Model:
+    """A block of languages. ``name`` is a digest of all that its chances follow from; workers cache by it."""
+
     langs: list[str]
     alphabet: int
     orders: list[list[Order]] = field(default_factory=list)
@@ -229,30 +236,28 @@ def _best(model: Model, sums: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarr
     best = each.argmin(axis=1)
     lowest = each[np.arange(len(best)), best]
     # The sums as evidence, tempered since neighbouring symbols are not independent
-    evidence = -(each - lowest[:, None]) * np.minimum(symbols, 400)[:, None] * 0.5
+    evidence = -(each - lowest[:, None]) * np.minimum(symbols, EVIDENCE_SYMBOLS)[:, None] * EVIDENCE
     score = 1 / np.exp(np.maximum(evidence, -700)).sum(axis=1)
     away = lowest - model.mean[best] if model.mean is not None else np.zeros(len(best))
     limit = np.maximum(REJECT_LEAST, REJECT_TIMES * (model.spread[best] if model.spread is not None else 0) / np.sqrt(np.maximum(symbols, 1)))
     return best, lowest, score, away > limit
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_lang: int = ROWS_PER_LANG, seed: int = 3) -> Model:
-    """A model of the languages of ``docs``; rows with a null text or language are left out.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_lang: int = ROWS_PER_LANG, seed: int = 3) -> list[Model]:
+    """Models of the languages of ``docs``, in blocks; rows with a null text or language are left out.
 
     Of each language about ``rows_per_lang`` rows are taken by a hash of the key; a fifth of them measures what is normal,
     unless that fifth would be all. Texts of a language without a measured row are never rejected: nothing says what is
     normal there, and models of few rows find other clean texts of their language far from what they saw.
-    At most ``MOST_LANGS`` languages are allowed. Without any labelled row the model knows no language.
+    Without any labelled row there is no model, and no language is known.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = rows.groupBy("l").agg(F.count("*").alias("count"), F.max(unit_hash("k", seed=seed + 1)).alias("top")).orderBy("l").limit(MOST_LANGS + 1).collect()
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    rate = [(r["l"], min(1.0, rows_per_lang / r["count"]), r["top"] >= ASIDE) for r in counts]
+    counts = rows.groupBy("l").agg(F.count("*").alias("count"), F.max(unit_hash("k", seed=seed + 1)).alias("top")).collect()  # a row for each language
+    rate = sorted((r["l"], min(1.0, rows_per_lang / r["count"]), r["top"] >= ASIDE) for r in counts)
     if not rate:
-        return Model([], 1, name="none")
+        return []
     rates = docs.sparkSession.createDataFrame(rate, "l string, rate double, apart boolean")
-    taken = rows.join(F.broadcast(rates), "l").where(unit_hash("k", seed=seed) < F.col("rate"))
+    taken = rows.join(F.broadcast(rates), "l").where(unit_hash("k", seed=seed) < F.col("rate"))  # a row for each language
     taken = taken.select("l", "t", (F.col("apart") & (unit_hash("k", seed=seed + 1) < ASIDE)).alias("aside"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,39 +276,80 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         for name, c in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["l", "w", "n"])
 
-    table = map_arrow(taken, counted, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
-    langs = sorted(set(table.column("l").to_pylist()))
-    by_lang = {name: table.filter(pa.compute.equal(table.column("l"), name)).sort_by("w") for name in langs}
-    symbols = {c for t in by_lang.values() for w in t.column("w").to_pylist() for c in w}
-    model = Model(langs, len(symbols) + 2, name=f"{hash((tuple(langs), table.num_rows, seed))}")
-    for t in by_lang.values():
-        model.orders.append(_fit_language(t.column("w").to_pylist(), np.array(t.column("n").to_pylist(), float), model.alphabet))
-
-    normal = _mapped(taken.where("aside").select("l", "t"), model, "t", ["l"]).select("l", "lang_pred", "cross_entropy", "n_symbols").where("l = lang_pred and n_symbols > 0").toPandas()
-    model.mean, model.spread = np.full(len(langs), np.inf), np.zeros(len(langs))
-    for k, name in enumerate(langs):
-        own = normal[normal.l == name]
-        if len(own):
-            model.mean[k] = np.average(own.cross_entropy, weights=own.n_symbols)
-            model.spread[k] = max(0.5, float((np.abs(own.cross_entropy - model.mean[k]) * np.sqrt(own.n_symbols)).quantile(0.99)))
-    model.name += "+"
-    return model
-
-
-def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    table = map_arrow(taken, counted, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    names = [r[0] for r in rate]
+    blocks = [names[i : i + BLOCK] for i in range(0, len(names), BLOCK)]
+    if len(blocks) > 1:
+        table = written(table, "language-words")
+    models, symbols = [], set()
+    for block in blocks:
+        words_of = (table if len(blocks) == 1 else table.where(F.col("l").isin(block))).toArrow()  # bounded by the sample of a block
+        langs = sorted(set(words_of.column("l").to_pylist()))
+        digest = hashlib.blake2b(repr((seed, ORDER, DISCOUNT)).encode())
+        spelled = []
+        for name in langs:
+            t = words_of.filter(pa.compute.equal(words_of.column("l"), name)).sort_by("w")
+            spelled.append((t.column("w").to_pylist(), np.array(t.column("n").to_pylist(), float)))
+            symbols |= {c for w in spelled[-1][0] for c in w}
+            digest.update("\0".join([name, *spelled[-1][0]]).encode() + spelled[-1][1].tobytes())
+        models.append((langs, spelled, digest))
+    alphabet = len(symbols) + 2
+    made = []
+    for langs, spelled, digest in models:
+        if langs:
+            model = Model(langs, alphabet, name=f"{alphabet}-{digest.hexdigest()}")
+            model.orders = [_fit_language(w, n, alphabet) for w, n in spelled]
+            made.append(model)
+
+    known = {name: (m, k) for m in made for k, name in enumerate(m.langs)}
+    normal = predict(taken.where("aside").select("l", "t"), made, "t").select("l", "lang_pred", "cross_entropy", "n_symbols").where("l = lang_pred and n_symbols > 0").toPandas()
+    for m in made:
+        m.mean, m.spread = np.full(len(m.langs), np.inf), np.zeros(len(m.langs))
+    for name, own in normal.groupby("l"):
+        m, k = known[name]
+        m.mean[k] = np.average(own.cross_entropy, weights=own.n_symbols)
+        m.spread[k] = max(0.5, float((np.abs(own.cross_entropy - m.mean[k]) * np.sqrt(own.n_symbols)).quantile(0.99)))
+    return made
+
+
+def predict(docs: DataFrame, models: list[Model], text: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` without its text (unless ``keep_text``), with ``lang_pred``, ``score`` (0 to 1), ``cross_entropy``, ``n_symbols`` and ``rejected``.
 
     A null text, or one without a letter, gets the language "und", score 0 and no cross-entropy, and is rejected. Equal
     texts get equal results; ties go to the language that sorts first. Columns of these names are replaced.
     """
-    return _mapped(docs, model, text, [c for c in docs.columns if keep_text or c != text])
-
-
-def _mapped(docs: DataFrame, model: Model, text: str, others: list[str]) -> DataFrame:
-    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("cross_entropy", DoubleType()), StructField("n_symbols", LongType()), StructField("rejected", BooleanType())]
-    names = {f.name for f in added}
-    kept = [docs.schema[c] for c in others if c not in names]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that the fit reads
+    names = [f.name for f in _ADDED]
+    others = [c for c in docs.columns if (keep_text or c != text) and c not in names]
+    found = docs
+    for i, model in enumerate(models or [Model([], 1, name="none")]):
+        last = i + 1 >= len(models)
+        found = _mapped(found, model, text, others if last else list(dict.fromkeys([*others, text])), i > 0)
+    return found
+
+
+_ADDED = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("cross_entropy", DoubleType()), StructField("n_symbols", LongType()), StructField("rejected", BooleanType())]
+
+
+def _better(batch: pa.RecordBatch, columns: list[pa.Array]) -> list[pa.Array]:
+    """Of what earlier blocks found and what this one did, the lower cross-entropy; the score is that among all languages."""
+    was = [batch.column(f"__was_{f.name}") for f in _ADDED]
+    old, new = (np.asarray(c[2].fill_null(np.inf), dtype=float) for c in (was, columns))
+    a, b = np.asarray(was[1], dtype=float), np.asarray(columns[1], dtype=float)
+    some = np.isfinite(new) & np.isfinite(old)
+    weight = np.minimum(np.asarray(columns[3], dtype=float), EVIDENCE_SYMBOLS) * EVIDENCE
+    least = np.where(some, np.minimum(old, new), 0.0)
+    total = sum(np.exp(-np.minimum((np.where(some, h, 0.0) - least) * weight, 700)) / np.where(some, s, 1.0) for h, s in ((old, a), (new, b)))
+    score = np.where(some, 1 / total, np.maximum(a, b))
+    take = pa.array(new < old)
+    picked = [pa.compute.if_else(take, n, o) for n, o in zip(columns, was, strict=True)]
+    picked[1] = pa.array(score)
+    return picked
+
+
+def _mapped(docs: DataFrame, model: Model, text: str, others: list[str], again: bool) -> DataFrame:
+    """The columns ``others`` and the prediction by a model; with ``again`` the better of it and the one that is there."""
+    kept = [docs.schema[c] for c in others]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that the fit reads for a block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -323,7 +369,11 @@ def _mapped(docs: DataFrame, model: Model, text: str, others: list[str]) -> Data
                     [h if s else None for h, s in zip(lowest.tolist(), some, strict=True)], symbols, rejected | ~some,
                 ))
             columns = [pa.concat_arrays([pa.array(p[k], t) for p in parts]) if parts else pa.array([], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + columns, [f.name for f in kept + added])
-
-    wanted = list(dict.fromkeys([f.name for f in kept] + [text]))
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in wanted]), run, StructType(kept + added))
+            if again:
+                columns = _better(batch, columns)
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + columns, [f.name for f in kept + _ADDED])
+
+    wanted = [F.col(f"`{c}`") for c in dict.fromkeys([*others, text])]
+    if again:
+        wanted += [F.col(f.name).alias(f"__was_{f.name}") for f in _ADDED]
+    return map_arrow(docs.select(*wanted), run, StructType(kept + _ADDED))

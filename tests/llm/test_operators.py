@@ -165,6 +165,69 @@ def test_rare_languages_are_not_rejected(spark, n):
         assert all(r.lang_pred == "fi" and not r.rejected for r in got)
 
 
+def _brute_entropy(words, counts, text):
+    """Interpolated Kneser-Ney by dictionaries: mean negative log chance of the symbols of a text's runs."""
+    n, d = langid.ORDER, langid.DISCOUNT
+    pad = lambda w: ["<"] * (n - 1) + list(w) + [">"]
+    grams = [Counter() for _ in range(n + 1)]
+    for w, c in zip(words, counts, strict=True):
+        p = pad(w)
+        for i in range(n - 1, len(p)):
+            grams[n][tuple(p[i - n + 1 : i + 1])] += c
+    for k in range(n - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    totals, kinds = [Counter() for _ in range(n + 1)], [Counter() for _ in range(n + 1)]
+    for k in range(1, n + 1):
+        for g, c in grams[k].items():
+            totals[k][g[:-1]] += c
+            kinds[k][g[:-1]] += min(c, d)
+    alphabet = len({c for w in words for c in w}) + 2
+
+    def chance(g, k):
+        if k == 0:
+            return 1 / alphabet
+        t = totals[k][g[n - k : -1]]
+        low = chance(g, k - 1)
+        return low if not t else max(grams[k][g[n - k :]] - d, 0) / t + kinds[k][g[n - k : -1]] / t * low
+
+    logs = [np.log(chance(tuple(pad(w)[i - n + 1 : i + 1]), n)) for w in text.split() for i in range(n - 1, len(pad(w)))]
+    return -np.mean(logs)
+
+
+def test_cross_entropy_equals_brute_force():
+    words, counts = ["abc", "abd", "cab", "b", "abcab", "dd"], np.array([3.0, 1, 2, 5, 1, 1])
+    alphabet = len(set("".join(words))) + 2
+    model = langid.Model(["x"], alphabet, name="brute")
+    model.orders.append(langid._fit_language(words, counts, alphabet))
+    for text in ("abc", "abca dab bbb", "zzz abq", "cab cab d"):
+        sums, symbols = langid._scored(model, [text])
+        assert -sums[0, 0] / symbols[0] == pytest.approx(_brute_entropy(words, counts, text), rel=1e-5)
+
+
+def test_blocks_of_languages_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    kinds = {f"l{i}": ["".join(rng.choices("abcdefghijklmnop"[i : i + 9], k=5)) for _ in range(30)] for i in range(5)}
+    rows = [(i * 5 + k, " ".join(rng.choices(kinds[lang], k=40)), lang, "s") for i in range(12) for k, lang in enumerate(kinds)] + [(900, None, "l1", "s"), (901, "12 3", "l2", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = []
+    for block in (256, 2):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        models = langid.fit(docs)
+        assert len(models) == (1 if block > 5 else 3)
+        got.append({r.doc_id: (r.lang_pred, round(r.score, 9), r.cross_entropy and round(r.cross_entropy, 6), r.n_symbols, r.rejected, r.text) for r in langid.predict(docs, models, keep_text=True).collect()})
+    assert got[0] == got[1] and all(v[0] == r[2] for r in rows[:60] if (v := got[0][r[0]]))
+
+
+def test_models_of_other_counts_have_other_names(spark):
+    """Swapped labels: as many languages and words, other chances; workers must not mix up their caches."""
+    docs = _lang_docs(spark)
+    swapped = docs.withColumn("lang", F.when(F.col("lang") == "en", "de").otherwise("en"))
+    a, b = langid.fit(docs), langid.fit(swapped)
+    assert a[0].name != b[0].name and a[0].langs == b[0].langs
+    for models, right in ((a, docs), (b, swapped)):
+        assert langid.predict(right, models).where("lang <> lang_pred").count() == 0
+
+
 def test_language_without_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     model = langid.fit(empty)
