@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -154,22 +154,32 @@ def heal_urls(text: Column) -> Column:
     return F.when(marked, healed).otherwise(text)
 
 
+_BESIDE = dict.fromkeys("([{", "bracket") | dict.fromkeys(".,!?;:", "stop") | dict.fromkeys(")]}", "end")
+#: What a straight quote is, by the kinds of the characters before and after it; else the other of the last one.
+_TURNS = {(x, y): True for x in ("blank", "bracket") for y in ("letter", "bracket", "other")} | {("stop", "letter"): True}
+_TURNS |= {(x, y): False for x in ("stop", "end", "letter", "other") for y in ("blank", "end", "stop")}
+
+
+def _beside(c: str) -> str:
+    return "blank" if c.isspace() else "letter" if c.isalnum() else _BESIDE.get(c, "other")
+
+
 def curl_line(line: str) -> str:
     """Straight double quotes of a line to curly ones, by what stands beside them and else in turn."""
-    out, inside, last = [], False, len(line) - 1
-    for i, c in enumerate(line):
-        if c != '"':
-            out.append(c)
-            continue
-        before, after = line[i - 1] if i else " ", line[i + 1] if i < last else " "
-        opens = before.isspace() or before in "([{" or (before in ".:!?;," and i < last and after.isalnum())
-        closes = after.isspace() or after in ".,!?;)]}"
-        inside = opens if opens != closes else not inside
-        if inside:
-            out.append(" “" if i and before in ".:!?;," else "“")
+    pieces = line.split('"')
+    ends = len(pieces) - 1
+    made, opening = [pieces[0]], False
+    for i in range(ends):
+        before = _beside(pieces[i][-1:] or ('"' if i else " "))
+        after = _beside(pieces[i + 1][:1] or ('"' if i + 1 < ends else " "))
+        colon = (pieces[i + 1][:1] == ":") and after == "stop"
+        opening = _TURNS.get((before, "other" if colon else after), not opening)
+        if opening:
+            made.append(" “" if before == "stop" else "“")
         else:
-            out.append("” " if i < last and after.isalnum() else "”")
-    return "".join(out)
+            made.append("” " if after == "letter" else "”")
+        made.append(pieces[i + 1])
+    return "".join(made)
 
 
 def curl(text: str | None) -> str | None:
@@ -183,16 +193,13 @@ _PREFIXES = frozenset(rules.HYPHEN_PREFIXES)
 
 
 def _joined(m: re.Match) -> str:
+    """Names and stutters stay as they are, compounds keep their hyphen, other words become one."""
     head, tail = m.groups()
-    shouted = head.isupper()
-    if tail[0].isupper() and (not shouted or head[0].isupper()):
+    compound = head.lower() in _PREFIXES
+    stutter = len(head) < 4 and tail.lower().startswith(head.lower())
+    if tail[0].isupper() or (stutter and not compound):
         return m[0]
-    low = tail if shouted else tail.lower()
-    if head.lower() in _PREFIXES:
-        return f"{head}-{low}"
-    if len(head) < 4 and tail.lower().startswith(head.lower()):
-        return m[0]
-    return head + low
+    return head + "-" * compound + (tail if head.isupper() else tail.lower())
 
 
 def heal(text: str | None) -> str | None:
@@ -214,15 +221,18 @@ def heal_hyphens(texts: pd.Series) -> pd.Series:
     return _over(heal, texts)
 
 
-def display_fixes(text: Column) -> Column:
-    """Quotes, contractions and spacing for showing; null stays null."""
-    text = quotes_before(contractions(protect(text)))
-    text = punctuation(quotes_after(smart_quotes(text)))
-    return heal_urls(restore(text))
+STEPS = (
+    whitespace, spaced_out, watermarks, boilerplate, ellipsis, garbage, characters,
+    protect, contractions, quotes_before, smart_quotes, quotes_after, punctuation, restore, heal_urls, heal_hyphens, collapse,
+)
 
 
-def clean(text: Column) -> Column:
-    """The whole pipeline; null stays null."""
-    for step in (whitespace, spaced_out, watermarks, boilerplate, ellipsis, garbage, characters, display_fixes, heal_hyphens, collapse):
-        text = step(text)
-    return text
+def cleaned(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a column of texts taken through the whole pipeline; null stays null.
+
+    Each step is a projection of its own: steps that look at their input more than once are then not folded into one
+    expression, which would work out all that stands before them again each time.
+    """
+    for step in STEPS:
+        rows = rows.withColumn(column, step(F.col(column)))
+    return rows

@@ -88,8 +88,14 @@ def without_pdf(name: Column) -> Column:
     return F.regexp_replace(name, F.lit(r"\.pdf\z"), F.lit(""))
 
 
-def browser_link(path: Column, page: Column) -> Column:
-    return F.concat(F.lit("/file/"), F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("#page="), page.cast("string"))
+def browser_link(path: Column, page: Column, root: str | None = "") -> Column:
+    """A link to a page of a file below the served root, its path encoded as in URLs; null where nothing is served."""
+    if root is None:
+        return F.lit(None).cast("string")
+    url = F.url_encode(F.replace(path, F.lit("\\"), F.lit("/")))
+    for a, b in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("%21", "!"), ("%24", "$"), ("%26", "&"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%2B", "+"), ("%2C", ","), ("%3A", ":"), ("%3B", ";"), ("%3D", "="), ("%40", "@")):
+        url = F.replace(url, F.lit(a), F.lit(b))
+    return F.concat(F.lit("/file/"), url, F.lit("#page="), page.cast("string"))
 
 
 def _over(a: str, b: str, limit: float) -> bool:
@@ -110,6 +116,12 @@ def whole_alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_over(x or "", y or "", 0.85) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+@pandas_udf(BooleanType())
+def token_alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two tokens are equal or their similarity is over 0.8."""
+    return pd.Series([x == y or _over(x or "", y or "", 0.8) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
 @pandas_udf(BooleanType())
 def tokens_alike(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether every token of the first is over 0.8 like some token of the second."""

@@ -39,11 +39,46 @@ def duplicate_pairs(rows: DataFrame, key: str, column: str = "text", least: int
     return pairs.where(F.greatest("ratio_a", "ratio_b") >= ratio)
 
 
-def duplicate_report(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """A text for each pair: ten shared lines at most, long ones cut to 147 characters and three dots."""
-    cut = F.transform(F.slice(F.array_sort("lines"), F.lit(1), F.lit(10)), lambda s: F.when(F.length(s) > 150, F.concat(F.left(s, F.lit(147)), F.lit("..."))).otherwise(s))
-    head = F.format_string("%d <-> %d: %d shared", "file_a", "file_b", "shared")
-    return pairs.join(shared, ["file_a", "file_b"]).select("file_a", "file_b", F.concat_ws("\n", head, F.array_join(cut, "\n")).alias("report"))
+def by_overlap(pairs: DataFrame) -> DataFrame:
+    """Pairs with the largest shared part of either file first."""
+    return pairs.orderBy(F.greatest("ratio_a", "ratio_b").desc(), "file_a", "file_b")
+
+
+def shared_lines(rows: DataFrame, key: str, column: str = "text", least: int = LEAST_LINE, most: int = MOST_FILES) -> DataFrame:
+    """(file_a, file_b, line) of the long lines that pairs of files share, as :func:`duplicate_pairs` counts them."""
+    once = long_lines(rows, key, column, least).distinct()
+    df = once.groupBy("line").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).select("line")
+    files = once.join(df, "line", "left_semi").groupBy("line").agg(F.array_sort(F.collect_list("file_id")).alias("fs"))
+    a = files.select("line", "fs", F.posexplode("fs").alias("i", "file_a"))
+    return a.select("file_a", F.explode(F.slice("fs", F.col("i") + 2, F.size("fs"))).alias("file_b"), "line")
+
+
+def duplicate_report(pairs: DataFrame, shared: DataFrame, totals: DataFrame, paths: DataFrame, ratio: float = LEAST_RATIO) -> DataFrame:
+    """(ratio, file_a, file_b, report): a text for each pair, with at most ten of its shared lines, long ones cut to 147 characters.
+
+    ``totals``: (file_id, n) long lines of each file; ``paths``: (file_id, path). A pair shares a bounded number of lines with
+    one file of its size, so they are gathered for each pair.
+    """
+    cut = lambda s: F.when(F.length(s) > 150, F.concat(F.left(s, F.lit(147)), F.lit("..."))).otherwise(s)
+    lines = shared.groupBy("file_a", "file_b").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    rows = pairs.join(lines, ["file_a", "file_b"])
+    for side in "ab":
+        rows = rows.join(totals.select(F.col("file_id").alias(f"file_{side}"), F.col("n").alias(f"total_{side}")), f"file_{side}")
+        rows = rows.join(paths.select(F.col("file_id").alias(f"file_{side}"), F.col("path").alias(f"path_{side}")), f"file_{side}")
+    share = F.greatest("ratio_a", "ratio_b")
+    shown = F.transform(F.slice("lines", 1, 10), lambda s: F.concat(F.lit("  - "), cut(s), F.lit("\n")))
+    more = F.when(F.size("lines") > 10, F.concat(F.lit("  ... [and "), F.size("lines") - 10, F.lit(" more shared lines]\n"))).otherwise(F.lit(""))
+    file = lambda side: F.concat(F.lit(f"File {side.upper()}: "), f"path_{side}", F.lit(" ("), F.col("shared"), F.lit(" shared paragraphs out of "), F.col(f"total_{side}"), F.lit(" total)\n"))
+    head = F.format_string("Match: %.1f%% overlap\n", share * 100)
+    report = F.concat(head, file("a"), file("b"), F.lit("Offending Sentences (Shared Content):\n"), F.array_join(shown, ""), more, F.lit("-" * 80 + "\n"))
+    return rows.select(share.alias("ratio"), "file_a", "file_b", report.alias("report"))
+
+
+def write_report(reports: DataFrame, path: str, ratio: float = LEAST_RATIO) -> None:
+    """The reports as text files below ``path``, best pairs first over all files; a header stands before them."""
+    bar, header = "=" * 80, f"POTENTIAL DUPLICATES REPORT (Threshold > {ratio:.0%})"
+    first = reports.sparkSession.createDataFrame([(f"{bar}\n{header}\n{bar}\n", 2.0)], "report string, ratio double")
+    reports.select("report", "ratio").unionByName(first).orderBy(F.col("ratio").desc()).select("report").write.mode("overwrite").option("lineSep", "").text(path)
 
 
 # ---- titles ----
@@ -52,8 +87,8 @@ def duplicate_report(pairs: DataFrame, shared: DataFrame) -> DataFrame:
 def title_matches(works: DataFrame, local: DataFrame) -> DataFrame:
     """Works (title) with ``found`` and the rule that found them: 'exact', 'part', 'tokens' or null.
 
-    Equal normal forms and equal sorted tokens are joined by key. For a title as part of another, candidates share a token:
-    the rarest of the shorter title must be in the longer one.
+    Equal normal forms and equal sorted tokens are joined by key. For a title as part of another, candidates are those where
+    the first four letters of the shorter one are among the runs of four letters of the longer one.
     """
     norm = text.normalize_title(F.col("title"))
     key = F.array_join(F.array_sort(F.split(norm, " ")), " ")
@@ -76,17 +111,56 @@ def _parts(long: DataFrame, short: DataFrame, ln: str, sn: str) -> DataFrame:
     return short.where(F.col(sn) != "").select(sn, F.left(sn, F.lit(4)).alias("g")).join(grams, "g").where(F.contains(ln, F.col(sn))).select(ln, sn)
 
 
+WHOLE_RATIO, TOKEN_RATIO = 0.85, 0.8
+
+
+def _grams(name: str) -> Column:
+    """Distinct pairs of letters; a string of one letter is its own."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(name, i, F.lit(2))))
+
+
+def _candidates(a: DataFrame, b: DataFrame, ratio: float) -> DataFrame:
+    """(x, y) that may be alike by more than the ratio; ``a``: distinct strings x, ``b``: distinct strings y, none of them empty.
+
+    A ratio bounds the letters without a partner, each of which spoils two pairs of letters of x at most, and the lengths. So
+    x and y share one of the rarest pairs of x: of as many as can be spoilt, and one more.
+    """
+    spoilt = 4 * (1 - ratio) / (2 - ratio)  # for each letter of x
+    theirs = b.select("y", F.explode(_grams("y")).alias("g"))
+    rare = theirs.groupBy("g").agg(F.count("*").alias("df"))
+    mine = a.select("x", F.explode(_grams("x")).alias("g")).join(rare, "g", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    order = F.row_number().over(Window.partitionBy("x").orderBy("df", "g"))
+    picked = mine.withColumn("n", order).where((F.col("n") <= F.floor(F.length("x") * spoilt) + 1) & (F.col("df") > 0)).select("x", "g")
+    longest = (2 - ratio) / ratio
+    near = (F.length("y") <= F.length("x") * longest) & (F.length("x") <= F.length("y") * longest)
+    return picked.join(theirs, "g").where(near).select("x", "y").distinct()
+
+
 def fuzzy_title_matches(works: DataFrame, local: DataFrame) -> DataFrame:
     """(title, best, score): the most alike local title of each work that has one: whole titles over 0.85, or every token of the
-    work over 0.8 like some token of the local one. Titles that alike share two letters in a row, so candidates are joined
-    by those."""
+    work over 0.8 like some token of the local one.
+
+    Whole titles are compared where rare pairs of letters and lengths allow. For tokens, the vocabularies are compared so;
+    then titles meet by the work's token whose like tokens stand in the fewest local titles.
+    """
     norm = text.normalize_title(F.col("title"))
-    w = works.select("title", norm.alias("n")).where("n <> ''").distinct()
-    loc = local.select(F.col("title").alias("local_title"), norm.alias("ln")).where("ln <> ''").distinct()
-    two = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    pairs = w.select("title", "n", F.explode(two("n")).alias("g")).join(loc.select("local_title", "ln", F.explode(two("ln")).alias("g")), "g").drop("g").distinct()
-    scored = pairs.where(text.whole_alike("n", "ln") | text.tokens_alike("n", "ln")).withColumn("score", text.similarity("n", "ln"))
-    return scored.groupBy("title").agg(F.max(F.struct("score", "local_title")).alias("b")).select("title", F.col("b.local_title").alias("best"), F.col("b.score").alias("score"))
+    w = works.select("title", norm.alias("x")).where("x <> ''").distinct()
+    loc = local.select(F.col("title").alias("local_title"), norm.alias("y")).where("y <> ''").distinct()
+    xs, ys = w.select("x").distinct(), loc.select("y").distinct()
+    whole = _candidates(xs, ys, WHOLE_RATIO).where(text.whole_alike("x", "y"))
+
+    mine, theirs = xs.select("x", F.explode(F.array_distinct(F.split("x", " "))).alias("t")), ys.select("y", F.explode(F.array_distinct(F.split("y", " "))).alias("u"))
+    vocabulary = _candidates(mine.select(F.col("t").alias("x")).distinct(), theirs.select(F.col("u").alias("y")).distinct(), TOKEN_RATIO)
+    like = vocabulary.where(text.token_alike("x", "y")).select(F.col("x").alias("t"), F.col("y").alias("u"))
+    often = like.join(theirs.groupBy("u").agg(F.count("*").alias("df")), "u").groupBy("t").agg(F.sum("df").alias("df"))
+    rarest = mine.join(often, "t", "left").groupBy("x").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("t"))).alias("m")).where("m.df > 0").select("x", F.col("m.t").alias("t"))
+    met = rarest.join(like, "t").join(theirs, "u").select("x", "y").distinct()
+    by_token = met.where(text.tokens_alike("x", "y"))
+
+    scored = whole.unionByName(by_token).distinct().withColumn("score", text.similarity("x", "y"))
+    rows = w.join(scored, "x").join(loc, "y")
+    return rows.groupBy("title").agg(F.max(F.struct("score", "local_title")).alias("b")).select("title", F.col("b.local_title").alias("best"), F.col("b.score").alias("score"))
 
 
 # ---- folders and catalogue ----
@@ -147,7 +221,16 @@ def embed_pages(hits: DataFrame, per: int = 3) -> DataFrame:
 def match_block(folder: Column, name: Column, i: Column, total: Column, page: Column, chapter: Column, snippet: Column) -> Column:
     head = F.concat(F.lit("**["), folder, F.lit("] "), name, F.lit(" ("), i.cast("string"), F.lit("/"), total.cast("string"), F.lit(")**"))
     place = F.concat(F.lit("Page "), page.cast("string"), F.coalesce(F.concat(F.lit(" - "), chapter), F.lit("")))
-    return F.concat_ws("\n", head, place, F.regexp_replace(snippet, F.lit("(?dm)^"), F.lit("> ")))
+    quoted = F.concat(F.lit("> "), F.replace(snippet, F.lit("\n"), F.lit("\n> ")))
+    return F.concat_ws("\n", head, place, quoted)
+
+
+def catalogue_text(listed: DataFrame, root: str) -> DataFrame:
+    """(n, block): the catalogue as text blocks in the natural order of folders, after a block that names the root."""
+    lines = F.array_join(F.transform("entries", lambda e: F.concat(F.lit("  - "), e, F.lit("\n"))), "")
+    blocks = listed.select(text.natural_key(F.col("folder")).alias("k"), F.concat(F.lit("["), F.col("folder"), F.lit("]\n"), lines, F.lit("\n")).alias("block"))
+    first = listed.sparkSession.createDataFrame([([], f"Listing works in: {root}\n\n")], "k array<string>, block string")
+    return blocks.unionByName(first).orderBy("k").select("block")
 
 
 def result_json(found: DataFrame, *columns: str) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import cleaning, rules, text
 from ..operators import analysis, index, maintain, ocr, query, search, structure
 from ..sources import corpus
 from ..sources import files as file_sources
+from . import cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -203,9 +204,26 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return found.select("file_id", "filename", "match_count", F.explode("matches").alias("m")).select("file_id", "filename", "match_count", "m.*")
 
 
-@_query()
+@_query(f"SELECT CAST(i AS INT) AS i, snippet FROM {cases.values([(i, e) for i, (_, _, e) in enumerate(cases.SNIPPETS)], 'i, snippet')}")
+def snippet_cases(spark: SparkSession, d: str) -> DataFrame:
+    """On-demand snippets of pages of their own, each asked for by its term."""
+    out = None
+    for i, (page, term, _) in enumerate(cases.SNIPPETS):
+        one = spark.createDataFrame([(i, 1, page)], corpus.PAGES)
+        made = search.snippet_for_page(one, i, 1, term).select(F.col("file_id").cast("int").alias("i"), "snippet")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@_query(f"{_BASE}, n AS (SELECT * FROM pages_v WHERE file_id=1 AND page_num=5) SELECT file_id, page_num, true AS marked, true AS inside FROM n WHERE regexp_matches(text, '(?i)\\b(the|of)\\b')")
 def snippet_on_demand(spark: SparkSession, d: str) -> DataFrame:
-    return search.snippet_for_page(corpus.pages(spark, d), 1, 5, "the of")
+    """One page's snippet: it marks a term, and without marks it stands in the page or the pages beside it."""
+    p = corpus.pages(spark, d)
+    made = search.snippet_for_page(p, 1, 5, "the of")
+    near = p.where("file_id = 1 and page_num between 4 and 6").groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))), lambda r: r["text"]), " ").alias("around"))
+    flat = lambda c: F.regexp_replace(F.replace(F.replace(c, F.lit("<b>"), F.lit("")), F.lit("</b>"), F.lit("")), F.lit(r"\s+"), F.lit(" "))
+    around = flat(text.escape_html(F.col("around")))
+    return made.join(near, "file_id").select("file_id", "page_num", F.regexp_like("snippet", F.lit("(?i)<b>(the|of)</b>")).alias("marked"), F.contains(around, flat(F.col("snippet"))).alias("inside"))
 
 
 @_query(f"SELECT file_id, match_count FROM ({_books_sql(_has('the', 'thing'))}) ORDER BY match_count DESC, {_NUMBER}, file_id LIMIT 10")
@@ -232,6 +250,11 @@ def line_freq_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return structure.fuzzy_lines(corpus.pages(spark, d))
 
 
+@_query(f"SELECT CAST(page_num AS INT) AS page_num, text FROM {cases.values([(n, e) for n, _, e in cases.HEADERS], 'page_num, text')}")
+def header_footer_cases(spark: SparkSession, d: str) -> DataFrame:
+    return structure.strip_headers(spark.createDataFrame([(1, n, t) for n, t, _ in cases.HEADERS], corpus.PAGES)).select("page_num", "text")
+
+
 @_query()
 def header_footer_strip(spark: SparkSession, d: str) -> DataFrame:
     return structure.strip_headers(corpus.pages(spark, d))
@@ -283,9 +306,22 @@ def page_sample(spark: SparkSession, d: str) -> DataFrame:
     return ocr.sampled(corpus.pages(spark, d)).select("file_id", "page_num")
 
 
-@_query(_SAMPLE + " SELECT file_id, count(*) AS n_pages, CAST(sum(length(t)) AS BIGINT) AS total_chars, CAST(max(length(t)) AS INT) AS max_chars FROM s GROUP BY 1")
+_WORDS_OF = "regexp_extract_all(lower(regexp_replace(t, '[^\\x00-\\x7F]', '#', 'g')), '\\b[a-z]+\\b')"
+
+
+@_query(_SAMPLE + f""" SELECT file_id, count(*) AS n_pages, CAST(sum(length(t)) AS BIGINT) AS total_chars, CAST(max(length(t)) AS INT) AS max_chars, CAST(sum(len({_WORDS_OF})) AS BIGINT) AS n_words,
+  CAST(sum(len(list_filter({_WORDS_OF}, lambda x: x IN ({",".join(f"'{w}'" for w in rules.STOP_WORDS)})))) AS BIGINT) AS n_common FROM (SELECT file_id, regexp_replace(t, '[^\\x00-\\x7F]+', ' ', 'g') AS t0, t FROM s) GROUP BY 1""")
 def ocr_features(spark: SparkSession, d: str) -> DataFrame:
-    return ocr.features(corpus.pages(spark, d)).select("file_id", "n_pages", "total_chars", "max_chars")
+    """Letters outside ASCII stand for no word on either side, so that word edges agree."""
+    plain = corpus.pages(spark, d)
+    found = ocr.features(plain).select("file_id", "n_pages", "total_chars", "max_chars")
+    words = ocr.features(plain.withColumn("text", F.regexp_replace("text", F.lit(r"[^\x00-\x7F]"), F.lit("#")))).select("file_id", "n_words", "n_common")
+    return found.join(words, "file_id")
+
+
+@_query(f"SELECT CAST(file_id AS BIGINT) AS file_id, status FROM {cases.values([(i, e) for i, (_, e) in enumerate(cases.OCR)], 'file_id, status')}")
+def ocr_status_cases(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.status(ocr.features(spark.createDataFrame([(i, 1, t) for i, (t, _) in enumerate(cases.OCR)], corpus.PAGES)))
 
 
 @_query()
@@ -342,7 +378,7 @@ _step("digit_token", text.digits_to_token, "regexp_replace(text, '[0-9]+', '<NUM
 _step("html_escape", text.escape_html, "replace(replace(replace(text,'&','&amp;'),'<','&lt;'),'>','&gt;')")
 _step("truncate_label", lambda t: text.truncate(t, 100), "CASE WHEN length(text)>100 THEN left(text,99)||'…' ELSE text END")
 _step("markdown_render", lambda t: text.to_markdown(text.escape_html(t)), r"regexp_replace(text, '([\\*_~`>#])', '\\\1', 'g')")
-_step("highlight_terms", lambda t: F.regexp_replace(t, F.lit(r"(?i)\b(thing|of)\b"), F.lit("<b>$1</b>")), r"regexp_replace(text, '(?i)\b(thing|of)\b', '<b>\1</b>', 'g')")
+_step("highlight_terms", lambda t: search.highlighted(t, ["thing", "of"]), r"regexp_replace(regexp_replace(text, '(?i)\b(thing)\b', '<b>\1</b>', 'g'), '(?i)\b(of)\b', '<b>\1</b>', 'g')")
 _step("strip_replacement_char", lambda t: F.replace(t, F.lit("�"), F.lit("")), "replace(text, '�', '')")
 
 
@@ -353,15 +389,38 @@ def pagenum_line(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def clean_full(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.table(spark, d, "documents").select("doc_id", cleaning.clean(F.col("text")).alias("text"))
+    return cleaning.cleaned(corpus.table(spark, d, "documents").select("doc_id", "text"), "text")
+
+
+@_query(f"SELECT CAST(i AS INT) AS i, cleaned FROM {cases.values([(i, e) for i, (_, e) in enumerate(cases.CLEAN)], 'i, cleaned')}")
+def clean_cases(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases.CLEAN)], "i int, text string")
+    return cleaning.cleaned(rows, "text").select("i", F.col("text").alias("cleaned"))
+
+
+@_query(f"SELECT CAST(i AS INT) AS i, step, made FROM {cases.values([(i, n, e) for i, (n, _, e) in enumerate(cases.STEPS)], 'i, step, made')}")
+def clean_step_cases(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, n, t) for i, (n, t, _) in enumerate(cases.STEPS)], "i int, step string, text string")
+    out = None
+    for name in dict.fromkeys(n for n, _, _ in cases.STEPS):
+        one = rows.where(F.col("step") == name).select("i", "step", getattr(cleaning, name)(F.col("text")).alias("made"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query(f"SELECT CAST(i AS INT) AS i, merged, CAST(second_at AS INT) AS second_at FROM {cases.values([(i, m, a) for i, (_, _, m, a) in enumerate(cases.MERGES)], 'i, merged, second_at')}")
+def page_merge_cases(spark: SparkSession, d: str) -> DataFrame:
+    return search.merged(spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(cases.MERGES)], "i int, first string, second string"), "first", "second").select("i", "merged", "second_at")
 
 
-@_query("SELECT a.item_id AS item_a, b.item_id AS item_b FROM benchmark a JOIN benchmark b ON b.item_id=a.item_id+1 WHERE contains(b.text, left(a.text, 50)) OR contains(right(a.text, 400), left(b.text, 50))")
+@_query(rf"""WITH {_PAGES}, p AS (SELECT a.file_id, a.page_num, a.text AS x, b.text AS y FROM pages_v a JOIN pages_v b ON b.file_id=a.file_id AND b.page_num=a.page_num+1 WHERE a.text <> '' AND b.text <> '' AND NOT regexp_matches(a.text || ' ' || b.text, '[A-Za-z]-\s')),
+  q AS (SELECT *, instr(right(x, 400), left(y, 50)) AS i FROM p) SELECT file_id, page_num, md5(CASE WHEN i > 0 THEN left(x, length(x) - least(length(x), 400) + i - 1) || y ELSE x || ' ' || y END) AS merged_md5 FROM q""")
 def page_merge_probe(spark: SparkSession, d: str) -> DataFrame:
-    b = corpus.table(spark, d, "benchmark")
-    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("item_b"), F.col("text").alias("after"))
-    hit = F.contains("after", F.left("text", F.lit(50))) | F.contains(F.right("text", F.lit(400)), F.left("after", F.lit(50)))
-    return b.join(nxt, "item_id").where(hit).select(F.col("item_id").alias("item_a"), "item_b")
+    """Each page with the one after it, where no word is broken at a hyphen."""
+    p = corpus.pages(spark, d)
+    after = p.select("file_id", (F.col("page_num") - 1).alias("page_num"), F.col("text").alias("after"))
+    pairs = p.join(after, ["file_id", "page_num"]).where("text <> '' and after <> ''").where(~F.regexp_like(F.concat_ws(" ", "text", "after"), F.lit(r"[A-Za-z]-\s")))
+    return search.merged(pairs, "text", "after").select("file_id", "page_num", F.md5("merged").alias("merged_md5"))
 
 
 # ---- duplicates and titles ----
@@ -375,6 +434,21 @@ def duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return analysis.duplicate_pairs(corpus.table(spark, d, "documents"), "doc_id")
 
 
+@_query("""WITH l AS (SELECT doc_id AS f, unnest(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' '||chr(9)||chr(13)||chr(11)||chr(12)))) AS line FROM documents),
+  k AS (SELECT f, line FROM l WHERE length(line)>=40), n AS (SELECT f, count(*) AS n FROM k GROUP BY 1), o AS (SELECT DISTINCT f, line FROM k),
+  g AS (SELECT line FROM o GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5), p AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS shared, list_sort(list(a.line)) AS ls FROM o a JOIN o b ON a.line=b.line AND a.f<b.f WHERE a.line IN (SELECT line FROM g) GROUP BY 1,2),
+  r AS (SELECT p.*, x.n AS na, y.n AS nb, greatest(shared/x.n::DOUBLE, shared/y.n::DOUBLE) AS ratio FROM p JOIN n x ON x.f=file_a JOIN n y ON y.f=file_b)
+  SELECT file_a, file_b, ratio, md5(concat('Match: ', format('{:.1f}', ratio*100), '% overlap', chr(10), 'File A: d', file_a, ' (', shared, ' shared paragraphs out of ', na, ' total)', chr(10), 'File B: d', file_b, ' (', shared, ' shared paragraphs out of ', nb, ' total)', chr(10),
+    'Offending Sentences (Shared Content):', chr(10), array_to_string(list_transform(ls[1:10], lambda s: '  - ' || CASE WHEN length(s)>150 THEN left(s,147)||'...' ELSE s END || chr(10)), ''),
+    CASE WHEN len(ls)>10 THEN '  ... [and ' || (len(ls)-10) || ' more shared lines]' || chr(10) ELSE '' END, repeat('-', 80), chr(10))) AS report_md5 FROM r WHERE ratio>=0.2""")
+def duplicate_reports(spark: SparkSession, d: str) -> DataFrame:
+    docs = corpus.table(spark, d, "documents")
+    totals = analysis.long_lines(docs, "doc_id").groupBy("file_id").agg(F.count("*").alias("n"))
+    paths = docs.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("d"), F.col("doc_id")).alias("path"))
+    made = analysis.duplicate_report(analysis.duplicate_pairs(docs, "doc_id"), analysis.shared_lines(docs, "doc_id"), totals, paths)
+    return made.select("file_a", "file_b", "ratio", F.md5("report").alias("report_md5"))
+
+
 _NORM = r"trim(regexp_replace(translate(regexp_replace(lower({0}), '\.(pdf|epub|mobi|azw3|txt|docx?|cbz|cbr)$', ''), '''’‘`', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
@@ -384,30 +458,39 @@ def title_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = corpus.table(spark, d, "part")
-    works = p.where("p_partkey % 3 = 0").select(F.col("p_name").alias("title"))
-    local = p.where("p_partkey % 3 = 1").select(F.concat(F.upper("p_name"), F.lit(".pdf")).alias("title"))
-    return works, local
+    """Works are all parts' names; their files have names in capitals, in another order, with a word more, or with other letters."""
+    p, k = corpus.table(spark, d, "part"), F.col("p_partkey") % 4
+    words = F.array_join(F.reverse(F.split(F.lower("p_name"), " ")), "_")
+    name = F.when(k == 0, F.upper("p_name")).when(k == 1, words).when(k == 2, F.concat(F.lit("Volume of "), F.col("p_name"))).otherwise(F.translate(F.lower("p_name"), "aeiou", "uoiea"))
+    return p.select(F.col("p_name").alias("title")), p.select(F.concat(name, F.lit(".pdf")).alias("title"))
+
 
+_LOCAL = f"""(SELECT DISTINCT {_NORM.format("t")} AS n FROM (SELECT CASE p_partkey%4 WHEN 0 THEN upper(p_name) WHEN 1 THEN array_to_string(list_reverse(string_split(lower(p_name), ' ')), '_') WHEN 2 THEN 'Volume of ' || p_name
+  ELSE translate(lower(p_name), 'aeiou', 'uoiea') END || '.pdf' AS t FROM part))"""
+_MATCHED = f"""WITH w AS (SELECT title, {_NORM.format('title')} AS n FROM (SELECT DISTINCT p_name AS title FROM part)), l AS {_LOCAL}, k AS (SELECT DISTINCT list_sort(string_split(n,' ')) AS k FROM l),
+  m AS (SELECT title, CASE WHEN n IN (SELECT n FROM l) THEN 'exact' WHEN EXISTS (SELECT 1 FROM l WHERE contains(l.n,w.n) OR contains(w.n,l.n)) THEN 'part' WHEN list_sort(string_split(w.n,' ')) IN (SELECT k FROM k) THEN 'tokens' END AS rule FROM w)"""
 
-@_query(f"""WITH w AS (SELECT DISTINCT p_name AS title, {_NORM.format('p_name')} AS n FROM part WHERE p_partkey%3=0), l AS (SELECT DISTINCT {_NORM.format("upper(p_name) || '.pdf'")} AS n FROM part WHERE p_partkey%3=1)
-  SELECT title, rule IS NOT NULL AS found, rule FROM (SELECT title, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.n=w.n) THEN 'exact' WHEN EXISTS (SELECT 1 FROM l WHERE contains(l.n,w.n) OR contains(w.n,l.n)) THEN 'part'
-  WHEN EXISTS (SELECT 1 FROM l WHERE list_sort(string_split(l.n,' '))=list_sort(string_split(w.n,' '))) THEN 'tokens' END AS rule FROM w)""")
+
+@_query(_MATCHED + " SELECT title, rule IS NOT NULL AS found, rule FROM m")
 def title_match_exact(spark: SparkSession, d: str) -> DataFrame:
     return analysis.title_matches(*_titles(spark, d))
 
 
-@_query(f"""WITH w AS (SELECT DISTINCT p_name AS title, {_NORM.format('p_name')} AS n FROM part WHERE p_partkey%3=0), l AS (SELECT DISTINCT {_NORM.format("upper(p_name) || '.pdf'")} AS n FROM part WHERE p_partkey%3=1)
-  SELECT EXISTS (SELECT 1 FROM l WHERE contains(l.n,w.n) OR contains(w.n,l.n) OR list_sort(string_split(l.n,' '))=list_sort(string_split(w.n,' '))) AS found, count(*) AS n FROM w GROUP BY 1""")
+@_query(_MATCHED + " SELECT rule IS NOT NULL AS found, count(*) AS n FROM m GROUP BY 1")
 def title_reconcile_counts(spark: SparkSession, d: str) -> DataFrame:
     return analysis.title_matches(*_titles(spark, d)).groupBy("found").agg(F.count("*").alias("n"))
 
 
-@_query()
+@_query(f"SELECT title, best FROM {cases.values([(t, b) for t, b, _ in cases.TITLES if b], 'title, best')}")
 def title_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    works = corpus.table(spark, d, "benchmark").select(F.left("text", F.lit(40)).alias("title"))
-    local = corpus.table(spark, d, "documents").select(F.left("text", F.lit(40)).alias("title"))
-    return analysis.fuzzy_title_matches(works, local)
+    works = spark.createDataFrame([(t,) for t, _, _ in cases.TITLES], "title string")
+    return analysis.fuzzy_title_matches(works, spark.createDataFrame([(t,) for t in cases.LOCAL_TITLES], "title string")).select("title", "best")
+
+
+@_query()
+def title_match_fuzzy_parts(spark: SparkSession, d: str) -> DataFrame:
+    """All parts' names against files whose names have letters changed; tests hold smaller tables against all pairs."""
+    return analysis.fuzzy_title_matches(*_titles(spark, d))
 
 
 # ---- folders, parameters, chat ----
@@ -469,20 +552,30 @@ def embed_pagination(spark: SparkSession, d: str) -> DataFrame:
     return analysis.embed_pages(search.hits(corpus.pages(spark, d), query.parse("idiot")))
 
 
-@_query(f"""WITH {_PAGES}, {_FILES} SELECT file_id, page_num, concat('**[', CASE WHEN contains(relative_path,'/') THEN regexp_extract(relative_path,'^(.*)/[^/]*$',1) ELSE '(Root)' END, '] ', left(filename, length(filename)-4), ' (', page_num, '/50)**', chr(10), 'Page ', page_num, chr(10), '> ', left(text, 5)) AS block
-  FROM pages_v JOIN files_v ON id=file_id WHERE page_num<=3""")
+@_query(f"""WITH {_PAGES}, {_FILES} SELECT file_id, page_num, md5(concat('**[', CASE WHEN contains(relative_path,'/') THEN regexp_extract(relative_path,'^(.*)/[^/]*$',1) ELSE '(Root)' END, '] ', left(filename, length(filename)-4), ' (', page_num, '/50)**', chr(10), 'Page ', page_num, chr(10), '> ', replace(text, chr(10), chr(10) || '> '))) AS block_md5
+  FROM pages_v JOIN files_v ON id=file_id""")
 def match_blocks(spark: SparkSession, d: str) -> DataFrame:
     f = corpus.files(spark, d).select(F.col("id").alias("file_id"), "filename", "relative_path")
-    rows = corpus.pages(spark, d).where("page_num <= 3").join(f, "file_id")
-    block = analysis.match_block(text.folder_of(F.col("relative_path")), text.without_pdf(F.col("filename")), F.col("page_num"), F.lit(50), F.col("page_num"), F.lit(None).cast("string"), F.left("text", F.lit(5)))
-    return rows.select("file_id", "page_num", block.alias("block"))
+    block = analysis.match_block(text.folder_of(F.col("relative_path")), text.without_pdf(F.col("filename")), F.col("page_num"), F.lit(50), F.col("page_num"), F.lit(None).cast("string"), F.col("text"))
+    return corpus.pages(spark, d).join(f, "file_id").select("file_id", "page_num", F.md5(block).alias("block_md5"))
 
 
-@_query(f"WITH {_FILES} SELECT id, concat('/file/', replace(replace(relative_path,' ','+'),'%2F','/'), '#page=7') AS link FROM files_v")
+@_query(f"WITH {_FILES} SELECT id, concat('/file/', replace(relative_path,' ','%20'), '#page=7') AS link FROM files_v")
 def browser_links(spark: SparkSession, d: str) -> DataFrame:
     return corpus.files(spark, d).select("id", text.browser_link(F.col("relative_path"), F.lit(7)).alias("link"))
 
 
+@_query(f"SELECT path, link, CAST(NULL AS VARCHAR) AS unserved FROM {cases.values(cases.LINKS, 'path, link')}")
+def browser_link_cases(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(p,) for p, _ in cases.LINKS], "path string")
+    return rows.select("path", text.browser_link(F.col("path"), F.lit(7)).alias("link"), text.browser_link(F.col("path"), F.lit(7), None).alias("unserved"))
+
+
+@_query(f"SELECT path, inside FROM {cases.values(cases.CONTAINED, 'path, inside')}")
+def path_containment(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p, _ in cases.CONTAINED], "path string").select("path", file_sources.contained(F.col("path"), "/data/files").alias("inside"))
+
+
 # ---- maintenance: the second state of the library is made by moving, touching, dropping and adding some volumes ----
 
 _LISTING = """listing AS (SELECT CASE WHEN id%6=1 THEN concat('moved/', filename) ELSE relative_path END AS relative_path, filename, last_modified + CASE WHEN id%4=0 THEN 100 ELSE 0 END AS last_modified, file_hash FROM files_v WHERE id%5<>2
@@ -591,10 +684,15 @@ def ignore_filter(spark: SparkSession, d: str) -> DataFrame:
     return file_sources.not_ignored(corpus.files(spark, d), file_sources.ignore_rules(lines)).select("id", "relative_path")
 
 
-@_query("SELECT n_name AS title FROM nation UNION ALL SELECT r_name FROM region")
+@_query("SELECT n_name AS title FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT trim(r_name) FROM region")
 def text_list_source(spark: SparkSession, d: str) -> DataFrame:
-    lists = corpus.table(spark, d, "nation").select(F.concat(F.lit("1\ten\t"), F.col("n_name"), F.lit("\tx")).alias("value"))
-    return file_sources.text_list(lists.unionByName(corpus.table(spark, d, "region").select(F.concat(F.lit("  "), F.col("r_name")).alias("value"))))
+    """Two lists: in a tabular one, only lines with a code count; in a plain one, every line does."""
+    n, r = corpus.table(spark, d, "nation"), corpus.table(spark, d, "region")
+    code = F.when(F.col("n_nationkey") % 2 == 0, F.lit("YR")).otherwise(F.lit("en"))
+    coded = n.select(F.concat(F.lit("1\t"), code, F.lit("\t"), F.col("n_name"), F.lit("\tx")).alias("value"))
+    mixed = coded.unionByName(r.select(F.col("r_name").alias("value")))  # plain lines of a tabular list are no titles
+    plain = r.select(F.concat(F.lit("  "), F.col("r_name")).alias("value")).unionByName(spark.createDataFrame([("",), (" ",)], "value string"))
+    return file_sources.text_list(mixed).unionByName(file_sources.text_list(plain))
 
 
 # ---- figures ----

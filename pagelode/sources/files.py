@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TSV_CODES = ("en", "ru", "de", "fr", "es", "it")
+# fixed values: codes of the second field of a tabular list
+LIST_CODES = ("ON", "OJR", "NA", "JRA", "YR", "GB")
 
 
 def scan(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
-    """PDF files below ``root``: (relative_path, filename, last_modified, length). Names and folders that start with a dot, and
-    names that start with a tilde, are left out. The content isn't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*").load(root)
-    path = F.regexp_replace("path", F.lit("^[a-z]+:/*(?=/)"), F.lit(""))
-    rel = relative_path(path, F.lit(base or root))
-    name = F.regexp_extract(rel, "([^/]+)$", 1)
-    return found.select(rel.alias("relative_path"), name.alias("filename"), F.col("modificationTime").cast("double").alias("last_modified"), "length").where(
-        F.endswith(F.lower("relative_path"), F.lit(".pdf")) & ~F.regexp_like("relative_path", F.lit(r"(^|/)\.")) & ~F.startswith("filename", F.lit("~"))
-    )
+    """PDF files below ``root`` (or that file itself): (relative_path, filename, last_modified, length). Names and folders that
+    start with a dot, and names that start with a tilde, are left out; the content isn't read. The driver lists the folders,
+    as it does for a table's files: Spark's readers hide names that start with an underscore, which belong here.
+    """
+    listing = _listed(spark, root)
+    rel = relative_path(F.regexp_replace("path", F.lit("^[a-z]+:/*(?=/)"), F.lit("")), F.lit(base or root))
+    found = listing.select(rel.alias("relative_path"), F.regexp_extract(rel, "([^/]+)$", 1).alias("filename"), "last_modified", "length")
+    inside = F.col("relative_path") if base is None else relative_path(F.col("relative_path"), F.lit(root.removeprefix(base).strip("/")))
+    return found.where(F.endswith(F.lower("filename"), F.lit(".pdf")) & ~F.regexp_like(inside, F.lit(r"(^|/)\.")) & ~F.startswith("filename", F.lit("~")))
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, last_modified, length) of all files below a path. Links are followed; a folder met again under its real name
+    is not entered twice."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    start = jvm.org.apache.hadoop.fs.Path(root)
+    fs = start.getFileSystem(conf)
+    files, todo, seen = [], [start] if fs.exists(start) else [], set()
+    while todo:
+        folder = todo.pop()
+        real = os.path.realpath(folder.toUri().getPath()) if fs.getScheme() == "file" else folder.toString()
+        if real in seen:
+            continue
+        seen.add(real)
+        for status in fs.listStatus(folder):
+            path = status.getPath()
+            if not status.isDirectory():
+                files.append((path.toString(), status.getModificationTime() / 1000.0, status.getLen()))
+            elif not path.getName().startswith("."):
+                todo.append(path)
+    return spark.createDataFrame(files, "path string, last_modified double, length bigint")
+
+
+def contained(path: Column, root: str) -> Column:
+    """Whether a path is the root or below it; dots and double slashes are resolved first."""
+    clean = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/(?:\\.?/)+|/\\.$"), F.lit("/"))
+    for _ in range(8):  # a name and the step up after it cancel each other, inmost first
+        clean = F.regexp_replace(clean, F.lit(r"/(?!\.\./)[^/]+/\.\.(?=/|$)"), F.lit(""))
+    clean = F.rtrim(clean, F.lit("/"))
+    top = "/" + root.strip("/")
+    return ((clean == top) | F.startswith(clean, F.lit(top + "/"))) & ~F.regexp_like(clean, F.lit(r"(^|/)\.\.(/|$)"))
 
 
 def hashed(spark: SparkSession, root: str) -> DataFrame:
@@ -47,10 +83,14 @@ def not_ignored(files: DataFrame, rules: DataFrame, path: str = "relative_path")
 
 
 def text_list(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Titles of a list: the third field where the second of three or more tab-separated ones is a known code, else the line."""
+    """Titles of a list. If any line is tabular (its second field of three or more is one of the codes), only the third fields
+    of such lines are titles; else every line is one. Empty titles are left out."""
     f = F.split(F.col(column), "\t")
-    title = F.when((F.size(f) >= 3) & F.get(f, 1).isin(*TSV_CODES), F.get(f, 2)).otherwise(F.col(column))
-    return lines.select(F.trim(title).alias("title")).where("title <> ''")
+    coded = F.coalesce((F.size(f) >= 3) & F.trim(F.get(f, 1)).isin(*LIST_CODES), F.lit(False))
+    marked = lines.select(F.btrim(F.col(column), F.lit(" \t\r\n")).alias("line"), coded.alias("coded"), F.btrim(F.get(f, 2), F.lit(" \t\r\n")).alias("field"))
+    tabular = marked.agg(F.coalesce(F.bool_or("coded"), F.lit(False)).alias("tabular"))  # one row
+    title = F.when(~F.col("tabular"), F.col("line")).when(F.col("coded"), F.col("field"))
+    return marked.join(F.broadcast(tabular)).select(title.alias("title")).where("title <> ''")
 
 
 def query_list(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -108,3 +108,35 @@ def test_compare_and_percentiles(spark):
     row = analysis.latencies(runs, "k", "v").first()
     assert (row.n, row.p50, row.p95) == (100, 50.5, 95.05)
     assert analysis.compared(runs.limit(1), runs.limit(1).withColumn("v", F.lit(3.0)), "k", "v").first().percent == 200.0
+
+
+def test_fuzzy_titles_equal_all_pairs(spark):
+    """Blocks lose nothing: the same best scores as when every work is held against every local title."""
+    import difflib
+    import random
+
+    from pagelode.operators import analysis
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefg", k=rng.randint(1, 9)))
+    works = [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(60)]
+
+    def changed(t):
+        t = list(t)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(t))
+            t[i : i + 1] = rng.choice([[], ["h"], ["a", t[i]]])
+        parts = "".join(t).split()
+        rng.shuffle(parts)
+        return " ".join(parts) or "x"
+
+    local = [changed(rng.choice(works)) if rng.random() < 0.7 else word() for _ in range(80)]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = {}
+    for w in set(works):
+        scores = [ratio(w, x) for x in set(local) if ratio(w, x) > 0.85 or all(any(t == u or ratio(t, u) > 0.8 for u in x.split()) for t in w.split())]
+        if scores:
+            want[w] = round(max(scores), 12)
+    frames = [spark.createDataFrame([(t,) for t in rows], "title string") for rows in (works, local)]
+    got = {r.title: round(r.score, 12) for r in analysis.fuzzy_title_matches(*frames).collect()}
+    assert got == want and len(want) > 20

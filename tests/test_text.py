@@ -31,13 +31,13 @@ CLEAN = {
 
 
 def test_clean(spark):
-    rows = spark.createDataFrame(list(enumerate(CLEAN)), "i int, t string").select("i", cleaning.clean(F.col("t")).alias("c")).collect()
-    got = {r.i: r.c for r in rows}
+    rows = cleaning.cleaned(spark.createDataFrame(list(enumerate(CLEAN)), "i int, t string"), "t").collect()
+    got = {r.i: r.t for r in rows}
     assert got == dict(enumerate(CLEAN.values()))
 
 
 def test_clean_null(spark):
-    assert spark.createDataFrame([(None,)], "t string").select(cleaning.clean(F.col("t")).alias("c")).first().c is None
+    assert cleaning.cleaned(spark.createDataFrame([(None,)], "t string"), "t").first().t is None
 
 
 def test_natural_order(spark):
