@@ -69,6 +69,41 @@ ABBREVIATIONS = [
     r"(?<!\b(?:e\.g|i\.e))", r"(?<!\bpp)", r"(?<!\b[pA-Z])",
 ]
 SENTENCE_END = "(?:(?:" + "".join(ABBREVIATIONS) + r"\.|[!?…]|\.{3})\s*(?:['\"](?=\s|$))?\s*(?=$|(?:['\"]\s*)*[A-Z0-9(])|\n{2,})"
+# Spacing and quotes for showing: pattern and replacement, in their order
+PROTECTED_URL = r"(?iU)(?:https?://|www\.)[^\s\[\](){}]+"
+PROTECTED_ABBREVIATION = r"(?iU)\b(?:e\.g|i\.e)\b"
+PROTECTED_REFERENCE = r"(?i)&[a-z0-9#]{2,10};"
+MISREAD_WORDS = [(r"(?U)\bfne\b", "fine"), (r"(?U)\bstus\b", "stuff")]
+GLUED_CONTRACTION = (r"'\s*(s|t|ve|ll|re|m|d)([a-z])", "$1'$2 $3")
+APOSTROPHES = [
+    (r"(?U)([sS])'(?![sS])(\w)", "$1' $2"),
+    (r"(?iU)(\w)'\s+(t|d|m|ll|re|ve|s)\b", "$1'$2"),
+    (r"(?iU)\b([a-z]+)\s+'(s|t|d|m|ll|re|ve)\b", "$1'$2"),
+    (r"(?dU)([\w.,!?;:]) '(?!')(?=\s+[a-zA-Z]|\s+['\"]|\s*$|[A-Z])", "$1'"),
+]
+QUOTES_BEFORE = [
+    (r"(?U)((?:^|(?<=\s))[‘“'\"])\s+(?=\w)", "$1"),
+    (r"(?dU)(?<=\S)\s+(['\"”’])(?=\s|[.,!?;]|$)", "$1"),
+    (r"(?U)(?<=[^\w\s])'(?=[A-Za-z])", " '"),
+]
+QUOTES_AFTER = [
+    (r"(?U)([,:;])'(?=\w)", "$1' "),
+    (r"(?U)([.!?])'(?=\w)", "$1' "),
+    (r"(?iU)(?<=[a-zA-Z]{3})(')(?=[a-zA-Z]{2,})(?!(?:re|ve|ll|em)\b)", "$1 "),
+    (r'(?U)([.,])\s+"(?:\s+)?(?=[a-z])', '$1 "'),
+    (r'(?U)(?<=[^\s"])(")(?=\w)', "$1 "),
+    (r'(?U)([.,!?-])""\s*', '$1" "'),
+    (r"(?U)([.,!?-])''\s*", "$1' '"),
+]
+PUNCTUATION = [
+    (r"(?U)([a-zA-Z]{3,})(['\"“”‘’])\.\s*([A-Z])", "$1. $2$3"),
+    (r'([.!?])"([A-Z])', '$1" $2'),
+    (r"\.\.\.(?=[A-Z])", "... "),
+    (r"(?U)\s+([:,.!?;])", "$1"),
+    (r"(?U)(?<!\b[A-Za-z])([:,.!?;])(?=[A-Za-z])", "$1 "),
+    (r"(?U)([.!?])\s+(['\"“”‘’])(?!\w)", "$1$2"),
+]
+SPLIT_URLS = [(r"(?iU)((?:https?://|www\.))\s+([a-z0-9])", "$1$2"), (r"(?iU)((?:https?://|www\.)[^\s]*?[.,:;!?])\s+([a-z0-9])", "$1$2")]
 # ---- end of the fixed values --------------------------------------------------------------------------------------------
 
 CONTRACTIONS = sorted({*CONTRACTION_S_WORDS, *CONTRACTION_T_WORDS, *CONTRACTION_VE_WORDS, *CONTRACTION_LL_WORDS, *CONTRACTION_RE_WORDS, *CONTRACTION_M_WORDS, *CONTRACTION_D_WORDS}, key=lambda w: (-len(w), w))

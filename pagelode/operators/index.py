@@ -21,15 +21,26 @@ def document_frequency(pages: DataFrame) -> DataFrame:
     return one.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
+def _exploded(pages: DataFrame) -> DataFrame:
+    return with_tokens(pages.where(F.col("text").isNotNull())).select("file_id", "page_num", F.posexplode("tokens").alias("pos", "token"))
+
+
 def postings(pages: DataFrame) -> DataFrame:
-    """(token, file_id, page_num, positions). A page's tokens are grouped within the page, so nothing is shuffled."""
-    toks = with_tokens(pages.where(F.col("text").isNotNull())).select("file_id", "page_num", F.posexplode("tokens").alias("pos", "token"))
-    return toks.groupBy("token", "file_id", "page_num").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(token, file_id, page_num, positions) by one shuffle of all tokens."""
+    return _exploded(pages).groupBy("token", "file_id", "page_num").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def sorted_postings(pages: DataFrame, parts: int) -> DataFrame:
+    """Postings in ranges of tokens, sorted, so that a token or prefix reads few row groups. The ranges serve the grouping as
+    well, so there is one shuffle; a frequent token is cut by its files."""
+    ranged = _exploded(pages).repartitionByRange(parts, "token", "file_id")
+    grouped = ranged.groupBy("token", "file_id", "page_num").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return grouped.sortWithinPartitions("token", "file_id", "page_num")
 
 
 def write_postings(pages: DataFrame, path: str, parts: int) -> None:
-    """Postings in ranges of tokens, sorted, so that a token or prefix reads few row groups. Running it again compacts."""
-    postings(pages).repartitionByRange(parts, "token", "file_id").sortWithinPartitions("token", "file_id", "page_num").write.mode("overwrite").parquet(path)
+    """Running it again compacts."""
+    sorted_postings(pages, parts).write.mode("overwrite").parquet(path)
 
 
 def matching_pages(posts: DataFrame, tree: object) -> DataFrame:

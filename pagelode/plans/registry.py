@@ -117,8 +117,14 @@ for _name, (_text, _hits) in _SEARCHES.items():
     _query(_books_sql(_hits), _name)(lambda spark, d, t=_text: _books(spark, d, t))
 
 
+def stored_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The library's index, written once."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return corpus.stored(spark, f"{d}/documents.parquet", "postings", lambda: index.sorted_postings(corpus.pages(spark, d), parts))
+
+
 def _postings_books(spark: SparkSession, d: str, t: str) -> DataFrame:
-    found = index.matching_pages(index.postings(corpus.pages(spark, d)), query.parse(t).tree)
+    found = index.matching_pages(stored_postings(spark, d), query.parse(t).tree)
     return search.books(found, corpus.files(spark, d))
 
 
@@ -126,6 +132,16 @@ for _name in ("search_and", "search_phrase", "search_prefix", "search_grouped_or
     _query(_SQL[_name], f"postings_{_name}")(lambda spark, d, t=_SEARCHES[_name][0]: _postings_books(spark, d, t))
 
 
+_QUERIES_WITH_ERRORS = ['the thing', '"unbalanced', '(thing', 'nope:thing', '   ', 'thing OR', '((a)', 'a AND', '*', 'text:']
+
+
+@_query("SELECT * FROM " + cases.values([(q, q in ('"unbalanced', '(thing', '((a)', 'text:', '*'), q.strip() == "") for q in _QUERIES_WITH_ERRORS], "query, failed, blank"))
+def search_errors(spark: SparkSession, d: str) -> DataFrame:
+    """A malformed query is told from one without matches: each query with whether it failed, and whether it asked for nothing."""
+    rows = [(q, (p := query.parse(q)).error is not None, p.error is None and p.empty) for q in _QUERIES_WITH_ERRORS]
+    return spark.createDataFrame(rows, "query string, failed boolean, blank boolean")
+
+
 # ---- folders, order, paging ----
 
 
@@ -232,6 +248,25 @@ def result_json(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.from_json("document", "file_id bigint, filename string, match_count bigint").alias("j")).select("j.file_id", "j.match_count")
 
 
+@_query(f"""SELECT CAST(NULL AS VARCHAR) AS error, count(*) AS total_books, CAST(coalesce(sum(match_count),0) AS BIGINT) AS total_pages, count(*) > 8 AS has_more,
+  (SELECT string_agg(file_id, ',' ORDER BY match_count DESC, {_NUMBER}, file_id) FROM (SELECT * FROM ({_AND_BOOKS}) ORDER BY match_count DESC, {_NUMBER}, file_id LIMIT 5 OFFSET 3)) AS books FROM ({_AND_BOOKS})
+  UNION ALL SELECT '{query.SYNTAX}', 0, 0, false, ''""")
+def search_response(spark: SparkSession, d: str) -> DataFrame:
+    """A page of results with its totals, and a query that can't be read."""
+    library = corpus.pages(spark, d), corpus.files(spark, d), corpus.chapters(spark, d)
+    found = search.response(*library, "the of", 5, 3, sort_by="relevance").unionByName(search.response(*library, "(the of", 5, 3))
+    return found.select("error", "total_books", "total_pages", "has_more", F.array_join(F.transform("results", lambda r: r["file_id"].cast("string")), ",").alias("books"))
+
+
+@_query(f"{_BASE}, hits AS ({_has('the', 'of')}) SELECT file_id, page_num, page_num % 2 = 0 AS saved, true AS filled FROM hits WHERE file_id <= 3")
+def snippet_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Every other hit has its snippet saved; the others are made now."""
+    p = corpus.pages(spark, d)
+    hit = search.hits(p.where("file_id <= 3"), query.parse("the of"))
+    saved = hit.withColumn("snippet", F.when(F.col("page_num") % 2 == 0, F.lit("saved")))
+    return search.backfilled(saved, p, "the of").select("file_id", "page_num", (F.col("snippet") == "saved").alias("saved"), F.col("snippet").isNotNull().alias("filled"))
+
+
 # ---- structure ----
 
 _EDGES = r"""solid AS (SELECT file_id, page_num, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda s: s <> '') AS s FROM pages_v),
@@ -732,8 +767,7 @@ def batched_queries(spark: SparkSession, d: str) -> DataFrame:
     """Two-word queries made of the first words of each item, all answered by one join of the postings."""
     words = F.array_distinct(F.slice(text.tokens(F.left("text", F.lit(30))), F.lit(1), F.lit(2)))
     asked = corpus.table(spark, d, "benchmark").select("item_id", words.alias("t")).select("item_id", F.size("t").alias("need"), F.explode("t").alias("token"))
-    posts = index.with_tokens(corpus.pages(spark, d)).select("file_id", "page_num", F.explode(F.array_distinct("tokens")).alias("token"))
-    met = posts.join(asked, "token").groupBy("item_id", "need", "file_id", "page_num").agg(F.count("*").alias("k"))
+    met = stored_postings(spark, d).select("token", "file_id", "page_num").join(asked, "token").groupBy("item_id", "need", "file_id", "page_num").agg(F.count("*").alias("k"))
     return met.where("k = need").groupBy("item_id").agg(F.count("*").alias("n_pages"))
 
 

@@ -1,7 +1,15 @@
-"""Adapters that read the driver's tables as a library of files, pages and chapters."""
+"""Adapters that read the driver's tables as a library of files, pages and chapters.
+
+A library is taken in once: its numbered pages (and what is made of them, such as postings) are written to the shared folder
+and read from there by every query of the session. Without a folder that all executors share they are made anew each time.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -15,12 +23,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FOLDERS: dict[str, str | None] = {}
+
+
+def _folder(spark: SparkSession) -> str | None:
+    """The folder of what the session takes in: below the checkpoint folder, or a temporary one where all runs in one process."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if named or current.isDefined():
+            _FOLDERS[app] = f"{(named or current.get()).rstrip('/')}/library-{app}"
+        else:
+            master = spark.sparkContext.master
+            alone = master.startswith("local") and not master.startswith("local-cluster")
+            _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="pagelode-library-") if alone else None
+    return _FOLDERS[app]
+
+
+def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` makes of a source's files, written on the first use and read afterwards; made anew if the files change."""
+    folder = _folder(spark)
+    if folder is None:
+        return make()
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(conf)
+    found = [fs.getFileStatus(path)]
+    if found[0].isDirectory():
+        found += list(fs.listStatus(path))
+    state = "|".join(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in found)
+    at = f"{folder}/{name}-{hashlib.sha256(state.encode()).hexdigest()[:24]}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        made = make()
+        made.write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volumes: each source of ``documents`` is a file, its documents are the pages in the order of their ids."""
     number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return table(spark, sf_dir, "documents").select((F.substring("source", 4, 10).cast("long") + 1).alias("file_id"), number.alias("page_num"), "text")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, f"{sf_dir}/documents.parquet", "pages", lambda: numbered(spark, sf_dir))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.substring("source", 4, 10)
     name = F.concat(F.lit("Volume "), n, F.lit(".pdf"))
