@@ -1,11 +1,13 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
-Unit vectors are turned onto their principal axes, so that the leading dimensions hold most of every product. The vectors of
-a label are cut into blocks of about ``BLOCK`` by a hash, and each pair of blocks is a tile. For labels of more than
-``GRID_ROWS`` vectors, cells on the two leading axes come before the blocks: vectors with a cosine of ``threshold`` differ by
-at most sqrt(2 - 2 threshold) on any axis, so only neighbouring cells make tiles. In a tile, products are accumulated ``STEP``
-dimensions at a time; what is still to come is at most the product of the two suffix norms, and pairs that can't reach the
-threshold are dropped. The pairs left are computed in double precision from the vectors as given.
+Unit vectors are turned onto their principal axes, so that the leading dimensions hold most of every product. Vectors with a
+cosine of ``threshold`` differ by at most sqrt(2 - 2 threshold) on any axis. So for labels of more than ``GRID_ROWS`` vectors,
+cells of that width on the ``CELL_AXES`` leading axes come first, and a cell of more than ``BLOCK`` vectors is parted into
+such cells on the ``PART_AXES`` axes after them; only neighbouring ones make tiles, which are pairs of blocks of about
+``BLOCK`` vectors. A vector is copied once for each block near it on all these axes, not for each block of its label. In a
+tile, products are accumulated ``STEP`` dimensions at a time; what is still to come is at most the product of the two suffix
+norms, and pairs that can't reach the threshold are dropped. The pairs left are computed in double precision from the vectors
+as given.
 
 A tile returns the number of links of each vector and, for each vector with links, the smallest vector that its links reach
 within the tile. So its output grows with its vectors, not with their pairs. Equal vectors are compared once for all copies.
@@ -14,6 +16,7 @@ within the tile. So its output grows with its vectors, not with their pairs. Equ
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from .runtime import map_arrow, written
 THRESHOLD = 0.93
 BLOCK = 2048
 GRID_ROWS = 16 * BLOCK
+CELL_AXES, PART_AXES = 4, 3
 STEP = 16
 SLACK = 1e-9
 
@@ -158,38 +162,46 @@ def link(vectors: DataFrame, node: str = "vec_id", vector: str = "embedding", la
     shared = vectors.sparkSession.sparkContext.broadcast(axes)  # dimensions squared
     width = float(np.sqrt(2 - 2 * threshold)) + 1e-9
 
+    axes_used = CELL_AXES + PART_AXES
+
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            cells = np.zeros((batch.num_rows, axes_used), np.int32)
             for d, rows, x in _matrices(batch.column("vector")):
-                cell = np.floor((_units(x) @ shared.value[d][:, :2]) / width).astype(np.int64)
-                a[rows] = cell[:, 0]
-                b[rows] = cell[:, min(1, d - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b)], [*batch.schema.names, "a", "b"])
+                turned = _units(x) @ shared.value[d][:, :axes_used]
+                cells[rows, : turned.shape[1]] = np.floor(turned / width)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * axes_used), pa.array(cells.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "at"])
 
-    placed = map_arrow(distinct, leading, "label " + dict(distinct.dtypes)["label"] + ", vector array<double>, node bigint, copies bigint, a bigint, b bigint")
+    placed = map_arrow(distinct, leading, "label " + dict(distinct.dtypes)["label"] + ", vector array<double>, node bigint, copies bigint, at array<int>")
     placed = written(placed.withColumn("d", F.size("vector")), "vectors-placed")
     sizes = placed.groupBy("label", "d").agg((F.count("*") > GRID_ROWS).alias("grid"))
-    cell = [F.when(F.col("grid"), F.col(c)).otherwise(0).alias(c) for c in "ab"]
-    placed = placed.join(sizes, ["label", "d"]).select("label", "d", "vector", "node", "copies", *cell)
-    cells = placed.groupBy("label", "d", "a", "b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cell = F.when(F.col("grid"), F.slice("at", 1, CELL_AXES)).otherwise(F.array_repeat(F.lit(0), CELL_AXES)).alias("cell")
+    placed = placed.join(sizes, ["label", "d"]).select("label", "d", "vector", "node", "copies", cell, F.slice("at", CELL_AXES + 1, PART_AXES).alias("part"), "grid")
+    full = placed.groupBy("label", "d", "cell").agg((F.first("grid") & (F.count("*") > BLOCK)).alias("parted"))
+    whole = F.array_repeat(F.lit(0), PART_AXES)
+    placed = placed.join(full, ["label", "d", "cell"]).withColumn("part", F.when(F.col("parted"), F.col("part")).otherwise(whole)).drop("grid")
+    placed = written(placed, "vectors-dealt")
+    cells = placed.groupBy("label", "d", "cell", "part", "parted").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cells = written(cells, "vector-cells")
 
-    # half of the neighbours of each cell, and the pairs of blocks of the two cells
-    beside = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
-    others = cells.select("label", "d", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("blocks").alias("blocks2"))
-    tiles = cells.withColumn("o", beside).withColumn("a2", F.col("a") + F.col("o.x")).withColumn("b2", F.col("b") + F.col("o.y")).join(others, ["label", "d", "a2", "b2"])
-    own = (F.col("o.x") == 0) & (F.col("o.y") == 0)
-    tiles = tiles.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("q", F.explode(F.sequence(F.when(own, F.col("p")).otherwise(0), F.col("blocks2") - 1)))
-    keys = ["label", "d", "a", "b", "p", "a2", "b2", "q"]
-    tile = F.struct(*keys).alias("tile")
-    single = own & (F.col("p") == F.col("q"))
-    ends = F.explode(F.when(single, F.array(F.struct("a", "b", F.col("p").alias("block"), F.lit(0).alias("side")))).otherwise(
-        F.array(F.struct("a", "b", F.col("p").alias("block"), F.lit(-1).alias("side")), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("q").alias("block"), F.lit(1).alias("side")))
-    ))
+    # half of the neighbours of each cell, of those the parts that are neighbours too, and the pairs of their blocks
+    steps = [o for o in product((-1, 0, 1), repeat=CELL_AXES) if o >= (0,) * CELL_AXES]
+    beside = F.explode(F.array(*[F.array(*map(F.lit, o)) for o in steps])).alias("step")
+    others = cells.select("label", "d", F.col("cell").alias("cell2"), F.col("part").alias("part2"), F.col("parted").alias("parted2"), F.col("blocks").alias("blocks2"))
+    tiles = cells.select("*", beside).withColumn("cell2", F.zip_with("cell", "step", lambda x, y: x + y)).join(others, ["label", "d", "cell2"])
+    near = F.forall(F.zip_with("part", "part2", lambda x, y: F.abs(x - y)), lambda x: x <= 1) | ~F.col("parted") | ~F.col("parted2")
+    own = F.col("cell") == F.col("cell2")
+    tiles = tiles.where(near & (~own | (F.col("part") <= F.col("part2"))))
+    same = own & (F.col("part") == F.col("part2"))
+    tiles = tiles.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("q", F.explode(F.sequence(F.when(same, F.col("p")).otherwise(0), F.col("blocks2") - 1)))
+    tile = F.struct("label", "d", "cell", "part", "p", "cell2", "part2", "q").alias("tile")
+    end = lambda cell, part, block, side: F.struct(F.col(cell).alias("cell"), F.col(part).alias("part"), F.col(block).alias("block"), F.lit(side).alias("side"))
+    ends = F.explode(F.when(same & (F.col("p") == F.col("q")), F.array(end("cell", "part", "p", 0))).otherwise(F.array(end("cell", "part", "p", -1), end("cell2", "part2", "q", 1))))
     members = tiles.select("label", "d", tile, ends.alias("e")).select("label", "d", "tile", "e.*")
-    blocks = placed.join(cells, ["label", "d", "a", "b"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    dealt = blocks.join(members, ["label", "d", "a", "b", "block"]).select("tile", "side", "node", "copies", "vector")
+    keys = ["label", "d", "cell", "part"]
+    blocks = placed.join(cells.drop("parted"), keys).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks", "parted")
+    dealt = blocks.join(members, [*keys, "block"]).select("tile", "side", "node", "copies", "vector")
     found = written(dealt.groupBy("tile").applyInArrow(lambda t: _tile(t, shared.value, threshold), "node bigint, least bigint, n bigint"), "vector-links")
 
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))

@@ -316,10 +316,10 @@ def _brute(rows):
     return {ids[i]: (n[i], ids[label[i]]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("grid", [0, 10**9])
-def test_links_equal_brute_force(spark, monkeypatch, grid):
-    monkeypatch.setattr(embeddings, "BLOCK", 16)
+@pytest.mark.parametrize(("grid", "block"), [(0, 1), (0, 16), (10**9, 16)])
+def test_links_equal_brute_force(spark, monkeypatch, grid, block):
     monkeypatch.setattr(embeddings, "GRID_ROWS", grid)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
     rng = np.random.Generator(np.random.PCG64(2))
     rows = []
     for i in range(160):
