@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions import text
 
@@ -258,3 +263,55 @@ def compared(base: DataFrame, now: DataFrame, key: str, value: str) -> DataFrame
 
 def averaged(runs: DataFrame, key: str, value: str) -> DataFrame:
     return runs.groupBy(key).agg(F.avg(value).alias("mean"))
+
+
+def write_runs(runs: DataFrame, path: str) -> None:
+    """Results of benchmark runs (run, document: JSON), a line for each."""
+    runs.select("run", "document").write.mode("overwrite").json(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("run bigint, document string").json(path)
+
+
+LEAF = StructType([StructField("path", ArrayType(StringType())), StructField("number", DoubleType()), StructField("other", StringType())])
+
+
+def _leaves(value: object, path: list[str]) -> list[dict]:
+    if isinstance(value, dict):
+        return [leaf for k, v in value.items() for leaf in _leaves(v, [*path, f".{k}"])]
+    if isinstance(value, list):
+        return [{"path": [*path, f"#{len(value)}"], "number": None, "other": None}] + [leaf for i, v in enumerate(value) for leaf in _leaves(v, [*path, f"[{i}"])]
+    number = float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+    return [{"path": path, "number": number, "other": None if number is not None else json.dumps(value)}]
+
+
+def leaves(runs: DataFrame) -> DataFrame:
+    """(run, path, number, other): numbers and other values of nested results, with the names and places that lead to them."""
+
+    @pandas_udf(ArrayType(LEAF))
+    def taken(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda d: _leaves(json.loads(d), []), na_action="ignore")
+
+    return runs.select("run", F.explode(taken("document")).alias("l")).select("run", "l.*")
+
+
+def averaged_runs(runs: DataFrame, meta: tuple[str, ...] = ("timestamp", "db")) -> DataFrame:
+    """(path, value): each number averaged over the runs that have it, and other values of the first run.
+
+    The fields ``meta`` are the first run's. A list is averaged place by place if it has one length in all runs, else the first
+    run's stands.
+    """
+    rows = leaves(runs)
+    first = rows.agg(F.min("run").alias("first"))  # one row
+    rows = rows.join(F.broadcast(first))
+    size = F.startswith(F.element_at("path", -1), F.lit("#"))
+    uneven = rows.where(size).groupBy(F.slice("path", F.lit(1), F.size("path") - 1).alias("list")).agg(F.countDistinct(F.element_at("path", -1)).alias("n")).where("n > 1").select("list")
+    rows = rows.where(~size)
+    heads = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i))
+    inside = rows.select("path", F.explode(heads).alias("list")).distinct().join(uneven, "list", "left_semi").select("path").distinct().withColumn("uneven", F.lit(True))
+    rows = rows.join(inside, "path", "left")
+    alone = F.coalesce("uneven", F.lit(False)) | F.get("path", F.lit(0)).isin(*["." + m for m in meta])
+    figures = rows.groupBy("path").agg(F.avg("number").alias("mean"), F.min_by(F.coalesce(F.col("number").cast("string"), F.col("other")), "run").alias("value"), F.max(alone).alias("alone"), F.min("run").alias("least"), F.first("first").alias("first"))
+    own = F.col("alone") & (F.col("least") > F.col("first"))
+    return figures.where(~own).select(F.array_join("path", "").alias("path"), F.when(F.col("alone") | F.col("mean").isNull(), F.col("value")).otherwise(F.col("mean").cast("string")).alias("value"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def changes(listing: DataFrame, files: DataFrame) -> DataFrame:
@@ -83,3 +84,24 @@ def normalized_paths(files: DataFrame) -> DataFrame:
 def todo_lists(statuses: DataFrame) -> DataFrame:
     """(path, reason) of files whose text is missing or to be read again."""
     return statuses.where(F.col("status").isin("missing", "redo")).select("path", F.col("status").alias("reason"))
+
+
+def migrated(table: DataFrame, schema: StructType, defaults: dict[str, object] | None = None) -> DataFrame:
+    """A table of an earlier version in the columns of ``schema``: missing ones get their default or null, others go."""
+    made: list[Column] = []
+    for f in schema.fields:
+        value = F.col(f"`{f.name}`") if f.name in table.columns else F.lit((defaults or {}).get(f.name))
+        made.append(value.cast(f.dataType).alias(f.name))
+    return table.select(*made)
+
+
+def outcomes(listing: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(relative_path, status, pages) of listed files. ``extracted``: (relative_path, error, encrypted, ocr_status, pages).
+
+    A file that raised an error, is encrypted or didn't come back has 'failed'; one whose text is to be read by OCR has
+    'needs_ocr_missing' or 'needs_ocr_redo'; the others are 'indexed'. Only these keep their pages.
+    """
+    rows = listing.select("relative_path").join(extracted, "relative_path", "left")
+    failed = F.col("error").isNotNull() | F.coalesce("encrypted", F.lit(False)) | F.col("pages").isNull()
+    status = F.when(failed, F.lit("failed")).when(F.col("ocr_status").isNotNull(), F.concat(F.lit("needs_ocr_"), F.col("ocr_status"))).otherwise(F.lit("indexed"))
+    return rows.select("relative_path", status.alias("status"), F.when(status == "indexed", F.col("pages")).alias("pages"))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cleaning, rules, text
 from ..operators import analysis, index, maintain, ocr, query, search, structure
@@ -713,10 +714,30 @@ def relative_paths(spark: SparkSession, d: str) -> DataFrame:
     return corpus.table(spark, d, "pages").select("url", file_sources.relative_path(F.col("url"), F.lit("https:/")).alias("rel"))
 
 
-@_query(f"WITH {_FILES} SELECT id, relative_path FROM files_v WHERE NOT (relative_path LIKE 'shelf2/%' OR filename = 'Volume 4.pdf' OR contains('/'||relative_path, '/set0/'))")
+@_query(f"""WITH {_FILES} SELECT id, relative_path FROM files_v WHERE NOT CASE WHEN relative_path LIKE 'shelf1/set1/%' THEN filename = 'Volume 7.pdf' WHEN relative_path LIKE 'shelf0/%' THEN relative_path LIKE 'shelf0/set1/%'
+  ELSE relative_path LIKE 'shelf2/%' OR filename = 'Volume 4.pdf' OR contains('/'||relative_path, '/set0/') END""")
 def ignore_filter(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.createDataFrame([("# kept out",), ("shelf2/",), (" Volume 4.pdf",), ("set0",), ("",)], "value string")
-    return file_sources.not_ignored(corpus.files(spark, d), file_sources.ignore_rules(lines)).select("id", "relative_path")
+    """Three ignore files: at the top, in a folder, and in a folder below another; the nearest one counts alone."""
+    lines = [("", "# kept out"), ("", "shelf2"), ("", " Volume 4.pdf"), ("", "set0"), ("", ""), ("shelf1/set1", "Volume 7.pdf"), ("shelf0", "set1"), ("shelf0", "set0/")]
+    rules = file_sources.ignore_rules(spark.createDataFrame(lines, "root string, value string"), folder=F.col("root"))
+    return file_sources.not_ignored(corpus.files(spark, d), rules).select("id", "relative_path")
+
+
+@_query("SELECT n_nationkey AS id, n_name AS filename, CAST(NULL AS VARCHAR) AS file_hash, CAST(1 AS INT) AS level FROM nation")
+def schema_migration(spark: SparkSession, d: str) -> DataFrame:
+    """A table of an earlier version, without hash and level and with a column that is no more, in the present columns."""
+    old = corpus.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("filename"), "n_regionkey")
+    new = T.StructType([T.StructField("id", T.LongType()), T.StructField("filename", T.StringType()), T.StructField("file_hash", T.StringType()), T.StructField("level", T.IntegerType())])
+    return maintain.migrated(old, new, {"level": 1})
+
+
+@_query("SELECT concat('f', n_nationkey) AS relative_path, CASE WHEN n_nationkey%5=0 THEN 'failed' WHEN n_nationkey%5=1 THEN 'failed' WHEN n_nationkey%7=6 THEN 'failed' WHEN n_nationkey%5=2 THEN 'needs_ocr_redo' ELSE 'indexed' END AS status, CASE WHEN n_nationkey%5>2 AND n_nationkey%7<>6 THEN 1 END AS n_pages FROM nation")
+def extraction_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Files that raise errors, are encrypted, don't come back, or need OCR."""
+    k = F.col("n_nationkey")
+    n = corpus.table(spark, d, "nation").withColumn("relative_path", F.concat(F.lit("f"), k))
+    got = n.where("n_nationkey % 7 <> 6").select("relative_path", F.when(k % 5 == 0, F.lit("broken")).alias("error"), (k % 5 == 1).alias("encrypted"), F.when(k % 5 == 2, F.lit("redo")).alias("ocr_status"), F.array(F.lit("page")).alias("pages"))
+    return maintain.outcomes(n, got).select("relative_path", "status", F.when(F.col("pages").isNotNull(), F.size("pages")).alias("n_pages"))
 
 
 @_query("SELECT n_name AS title FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT trim(r_name) FROM region")
@@ -756,6 +777,16 @@ def run_average(spark: SparkSession, d: str) -> DataFrame:
     return analysis.averaged(corpus.table(spark, d, "events"), "event_type", "value")
 
 
+@_query("""SELECT * FROM (VALUES ('.timestamp', '"t1"'), ('.search.mean', '2.5'), ('.search.best', '4.0'), ('.rows[0', '2.0'), ('.rows[1', '5.0'), ('.uneven[0', '1.0'), ('.ok', 'true')) AS t(path, value)""")
+def run_average_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Nested results of three runs, one without some of the numbers."""
+    runs = [
+        '{"timestamp": "t1", "search": {"mean": 1, "best": 4}, "rows": [1, 4], "uneven": [1], "ok": true}', '{"timestamp": "t2", "search": {"mean": 4}, "rows": [2, 5], "uneven": [1, 2], "ok": false}',
+        '{"timestamp": "t3", "rows": [3, 6], "uneven": [7], "search": {"mean": 2.5}, "ok": true}',
+    ]
+    return analysis.averaged_runs(spark.createDataFrame(list(enumerate(runs)), "run bigint, document string"))
+
+
 @_query(f"""{_BASE}, hits AS ({_has("the", "of")}) SELECT file_id, count(*) AS n FROM hits GROUP BY 1""")
 def benchmark_query(spark: SparkSession, d: str) -> DataFrame:
     return search.hits(corpus.pages(spark, d), query.parse("the of")).groupBy("file_id").agg(F.count("*").alias("n"))

@@ -67,19 +67,34 @@ def relative_path(path: Column, base: Column) -> Column:
     return F.when(F.startswith(p, F.concat(b, F.lit("/"))), F.substring(p, F.length(b) + 2, F.length(p))).otherwise(p)
 
 
-def ignore_rules(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Rules of an ignore file: lines without blanks around, comments and empty lines left out."""
-    rule = F.trim(F.replace(F.col(column), F.lit("\\"), F.lit("/")))
-    return lines.select(F.rtrim(rule, F.lit("/")).alias("rule")).where((F.col("rule") != "") & ~F.startswith("rule", F.lit("#"))).distinct()
+def ignore_rules(lines: DataFrame, column: str = "value", folder: Column | None = None) -> DataFrame:
+    """(root, rule) of ignore files: lines without blanks around, comments and empty lines left out. ``folder``: where each
+    line's file lies, as a path like those of files; the top by default."""
+    rule = F.btrim(F.replace(F.col(column), F.lit("\\"), F.lit("/")), F.lit(" \t\r\n"))
+    return lines.select((F.lit("") if folder is None else folder).alias("root"), rule.alias("rule")).where((F.col("rule") != "") & ~F.startswith("rule", F.lit("#"))).distinct()
 
 
-def not_ignored(files: DataFrame, rules: DataFrame, path: str = "relative_path") -> DataFrame:
-    """Files that no rule names: by their path, their name, the name of a folder above them, or a folder path."""
+PARENTS = 10
+
+
+def ignored(files: DataFrame, rules: DataFrame, path: str = "relative_path") -> DataFrame:
+    """Paths that a rule of the nearest ignore file above them names, among PARENTS folders: by the name of their folder, by that
+    folder or one above it (as a path from the ignore file's folder), by their name or by their whole path."""
     parts = F.split(F.col(path), "/")
-    names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    keys = files.select(path, F.explode(F.array_distinct(F.concat(parts, names))).alias("rule"))
-    hit = keys.join(rules, "rule", "left_semi").select(path).distinct()
-    return files.join(hit, path, "left_anti")
+    depth = F.size(parts) - 1  # folders above the file
+    above = F.filter(F.transform(F.sequence(F.lit(0), depth), lambda i: F.when(depth - i < PARENTS, F.array_join(F.slice(parts, F.lit(1), i), "/"))), lambda x: x.isNotNull())
+    spread = files.select(path, F.posexplode(above).alias("level", "root"))
+    near = spread.join(rules.select("root").distinct(), "root", "left_semi").groupBy(path).agg(F.max_by("root", "level").alias("root"))
+    inner = F.when(F.col("root") == "", F.col(path)).otherwise(F.substring(F.col(path), F.length("root") + 2, F.length(path)))
+    near = near.withColumn("names", F.split(inner, "/"))
+    n = F.size("names") - 1
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice("names", F.lit(1), i), "/"))
+    keys = F.array_distinct(F.concat(F.when(n > 0, F.array_append(folders, F.get("names", n - 1))).otherwise(F.array().cast("array<string>")), F.array(F.get("names", n), inner)))
+    return near.select(path, "root", F.explode(keys).alias("rule")).join(rules, ["root", "rule"], "left_semi").select(path).distinct()
+
+
+def not_ignored(files: DataFrame, rules: DataFrame, path: str = "relative_path") -> DataFrame:
+    return files.join(ignored(files, rules, path), path, "left_anti")
 
 
 def text_list(lines: DataFrame, column: str = "value") -> DataFrame:
