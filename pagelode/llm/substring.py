@@ -13,9 +13,12 @@ are compared word by word with the first document that holds them, also ``EDGE``
 runs along one alignment. A passage is a run of ``LEAST_WORDS`` words, or two runs with one word changed, put in or left out
 between them (edit distance one) that reach as far together.
 
+Texts that repeat a phrase of less than ``GRAM`` words over and over have no one alignment. A stretch of ``LEAST_WORDS`` words
+of that kind is known by its phrase, wherever in the phrase it begins, and repeats any other of the same phrase.
+
 What repeats stays in the document with the smallest key and goes from the others. What is not found: a passage each of
 whose anchors also stands, in other surroundings, in a document with a smaller key still, since paragraphs are compared with
-the first holder alone; and texts that repeat a phrase of less than ``GRAM`` words over and over, which have no one alignment.
+the first holder alone.
 """
 
 from __future__ import annotations
@@ -189,8 +192,37 @@ def _passages(runs: DataFrame) -> DataFrame:
     return taken.select(F.col("uid").alias("doc"), "version", "a", "b", "earlier")
 
 
+def periodic(w: words.Words) -> tuple[np.ndarray, ...]:
+    """(row, first word, words, key) of stretches of LEAST_WORDS words or more that repeat a phrase of less than GRAM words."""
+    n, row = len(w.hash), w.row_of_word()
+    taken = np.zeros(n + 1, bool)
+    found: list[tuple[int, int, int]] = []
+    for period in range(1, GRAM):
+        if n <= period:
+            break
+        equal = np.zeros(n - period + 2, np.int8)
+        equal[1:-1] = (w.hash[period:] == w.hash[:-period]) & (row[period:] == row[:-period])
+        edge = np.flatnonzero(np.diff(equal))
+        starts, ends = edge[::2], edge[1::2] + period  # words [start, end) have the period
+        for a, b in zip(*(x[ends - starts >= LEAST_WORDS].tolist() for x in (starts, ends)), strict=True):
+            if not taken[a:b].all():  # else a shorter period is known
+                taken[a:b] = True
+                found.append((a, b, period))
+    at = np.array([f[0] for f in found], np.int64)
+    key = np.full(len(found), np.iinfo(np.uint64).max, np.uint64)
+    periods = np.array([f[2] for f in found], np.int64)
+    for turn in range(GRAM):  # the least of the phrase's turns
+        on = np.flatnonzero(periods > turn)
+        h = np.zeros(len(on), np.uint64)
+        for j in range(GRAM):
+            h = h * np.uint64(words.BASE) + w.hash[at[on] + turn + j]
+        key[on] = np.minimum(key[on], words.mix(h))
+    rows = row[at] if len(at) else at
+    return rows, at - w.first[rows], np.array([f[1] - f[0] for f in found], np.int64), key.view(np.int64)
+
+
 def _lines(own: DataFrame) -> DataFrame:
-    """(doc, version, w, n, text) of lines of LEAST_WORDS words or more: the first word and the number of words."""
+    """(doc, version, w, n, text, key): lines of LEAST_WORDS words or more with their text, and periodic stretches with their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,26 +236,38 @@ def _lines(own: DataFrame) -> DataFrame:
                 row = np.searchsorted(w.first, one, "right") - 1
                 raw = w.bytes.tobytes()
                 lines = [raw[a:b].decode() for a, b in zip(w.start[one].tolist(), w.end[one + n - 1].tolist(), strict=True)]
-                of = pa.array(row)
-                columns = [c.slice(i, j - i).take(of) for c in batch.columns[:2]] + [pa.array((one - w.first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(lines, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "w", "n", "text"])
+                rows, at, count, key = periodic(w)
+                of = pa.array(np.concatenate([row, rows]))
+                numbers = [pa.array(np.concatenate(x).astype(np.int32)) for x in ((one - w.first[row], at), (n, count))]
+                last = [pa.array(lines + [None] * len(rows), pa.string()), pa.array([None] * len(row) + key.tolist(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([c.slice(i, j - i).take(of) for c in batch.columns[:2]] + numbers + last, ["doc", "version", "w", "n", "text", "key"])
 
-    return map_arrow(own.select("uid", "version", "text"), run, "doc bigint, version int, w int, n int, text string")
+    return map_arrow(own.select("uid", "version", "text"), run, "doc bigint, version int, w int, n int, text string, key bigint")
 
 
 def _repeated_lines(own: DataFrame) -> DataFrame:
-    """(doc, version, a, b, earlier) of long lines whose class has a line in a document with a smaller id."""
+    """(doc, version, a, b, earlier) of long lines whose class has a line in a document with a smaller id, and of periodic
+    stretches whose phrase such a document repeats too."""
     # numbered once and for all by being written; so ids of documents can be any 64-bit numbers
-    lines = written(_lines(own).withColumn("uid", F.monotonically_increasing_id()), "long-lines", release=True)
+    both = written(_lines(own).withColumn("uid", F.monotonically_increasing_id()), "long-lines", release=True)
+    lines, stretches = both.where("key is null"), both.where("key is not null")
     bands, rows = tune(0.8, 0.999, MOST_BANDS)
     label = written(classes(lines.select("uid", "text"), 0.8, bands, rows), "line-classes", release=True)
-    named = lines.select("uid", "doc", "version", F.col("w").alias("a"), (F.col("w") + F.col("n")).alias("b")).join(label.hint("merge"), "uid")
-    first = named.groupBy("label").agg(F.min("doc").alias("earlier"))
-    found = written(named.join(first.hint("merge"), "label").where("earlier < doc").select("doc", "version", "a", "b", "earlier"), "lines", release=True)
-    remove_written(lines)
+    place = [F.col("w").alias("a"), (F.col("w") + F.col("n")).alias("b")]
+    named = lines.select("uid", "doc", "version", *place).join(label.hint("merge"), "uid")
+    named = named.select(F.col("label").alias("key"), "doc", "version", "a", "b")
+    found = _late(named).unionByName(_late(stretches.select("key", "doc", "version", *place)))
+    found = written(found, "lines", release=True)
+    remove_written(both)
     return found
 
 
+def _late(named: DataFrame) -> DataFrame:
+    """(doc, version, a, b, earlier) of the ranges whose key a document with a smaller id has too."""
+    first = named.groupBy("key").agg(F.min("doc").alias("earlier"))
+    return named.join(first.hint("merge"), "key").where("earlier < doc").select("doc", "version", "a", "b", "earlier")
+
+
 def _version(text: Column) -> Column:
     return F.hash(text)
 

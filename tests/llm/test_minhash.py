@@ -187,6 +187,18 @@ def test_passages_with_one_word_changed(spark, change):
     assert len(got[7].text.split()) == 60 and got[7].earlier == [-5] and got[8].spans == [] and got[-5].spans == []
 
 
+def test_phrases_repeated_over_and_over(spark):
+    """Stretches of one phrase are the same wherever they begin; a phrase repeated for less than 50 words stays."""
+    rng = random.Random(17)
+    phrase = _passages(rng, 7).split()
+    turned = lambda k, n: " ".join((phrase[k:] + phrase[:k]) * 20).split()[:n]
+    own = [_passages(rng, 20) for _ in range(5)]
+    rows = [(1, f"{own[0]} {' '.join(turned(0, 80))} {own[0]}"), (2, f"{own[1]} {' '.join(turned(3, 61))} {own[1]}"), (3, f"{own[2]} {' '.join(turned(2, 40))}"), (4, "the " * 200), (5, f"{own[3]}\n{'the ' * 90}\n{own[4]}"), (6, "of " * 49)]
+    got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {d: r.earlier for d, r in got.items()} == {1: [], 2: [1], 3: [], 4: [], 5: [4], 6: []}
+    assert got[2].text == f"{own[1]} {own[1]}" and got[5].text == f"{own[3]}\n{own[4]}"
+
+
 def test_ids_of_any_size_and_texts_of_one_id(spark):
     rng = random.Random(16)
     p, q = _passages(rng, 60), _passages(rng, 60)
