@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -21,21 +21,30 @@ def sampled(pages: DataFrame) -> DataFrame:
     return pages.join(at.select("file_id", (F.col("i") + 1).cast("int").alias("page_num")), ["file_id", "page_num"], "left_semi")
 
 
+def words(t: Column) -> Column:
+    """Words of Latin letters, in lower case."""
+    return F.regexp_extract_all(F.lower(t), F.lit(r"(?U)\b[a-z]+\b"), F.lit(0))
+
+
+def common(found: Column) -> Column:
+    """Those of the words that every English text has."""
+    return F.filter(found, lambda w: w.isin(*rules.STOP_WORDS))
+
+
 def features(pages: DataFrame) -> DataFrame:
     """Figures of each file from its sampled pages, in one grouping."""
     t = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r\x0b\f"))
     junk = F.lit(False)
     for p in rules.JUNK_PAGE:
         junk |= F.regexp_like("t", F.lit(p))
-    words = F.regexp_extract_all(F.lower("t"), F.lit(r"(?U)\b[a-z]+\b"), F.lit(0))
-    common = F.filter(words, lambda w: w.isin(*rules.STOP_WORDS))
+    found = words(F.col("t"))
     letters = F.filter(F.regexp_extract_all("t", F.lit(rules.REPEATED_CHARS), F.lit(1)), lambda c: c != "_")
     repeated = F.filter(
         F.regexp_extract_all("t", F.lit(rules.REPEATED_TOKENS), F.lit(1)),
         lambda m: F.regexp_like(m, F.lit(r"[\p{L}\p{N}]")) & ~F.regexp_like(F.regexp_replace(m, F.lit(r"[^\p{L}\p{N}]"), F.lit("")), F.lit(r"^\p{Nd}+$")),
     )
     rows = sampled(pages).select("file_id", "page_num", t.alias("t"))
-    rows = rows.select("file_id", F.length("t").alias("chars"), ((F.col("t") == "") | junk).cast("int").alias("junk"), F.size(words).alias("words"), F.size(common).alias("common"), F.size(letters).alias("letters"), F.size(repeated).alias("repeated"))
+    rows = rows.select("file_id", F.length("t").alias("chars"), ((F.col("t") == "") | junk).cast("int").alias("junk"), F.size(found).alias("words"), F.size(common(found)).alias("common"), F.size(letters).alias("letters"), F.size(repeated).alias("repeated"))
     return rows.groupBy("file_id").agg(
         F.count("*").alias("n_pages"), F.sum("chars").alias("total_chars"), F.max("chars").alias("max_chars"), F.sum("junk").alias("junk_pages"),
         F.sum("words").alias("n_words"), F.sum("common").alias("n_common"), F.sum("letters").alias("n_repeated_chars"), F.sum("repeated").alias("n_repeated_tokens"),

@@ -39,6 +39,16 @@ def lines_to_page(lines: DataFrame) -> DataFrame:
     return blocks.groupBy("file_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "b"))), lambda s: s["b"]), "\n\n").alias("text"))
 
 
+def assembled(spans: DataFrame) -> DataFrame:
+    """Pages (file_id, page_num, text) of spans: blocks in reading order, their lines, and the spans of each line."""
+    page = ["file_id", "page_num"]
+    corner = spans.groupBy(*page, "page_width", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"))
+    order = reading_order(corner).select(*page, "block", F.col("pos").alias("place"))
+    lines_ = spans_to_lines(spans.withColumnRenamed("line", "line_no"), [*page, "block", "line_no"])
+    placed = lines_.join(order, [*page, "block"]).select(*page, F.col("place").alias("block"), F.col("line_no").alias("pos"), "line")
+    return lines_to_page(placed)
+
+
 # ---- headers and footers ----
 
 

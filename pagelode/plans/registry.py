@@ -205,7 +205,7 @@ def search_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_PAGES} SELECT file_id, page_num, text FROM pages_v WHERE file_id=3 AND page_num IN (4,5,6)")
 def single_page_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.pages(spark, d).where((F.col("file_id") == 3) & F.col("page_num").isin(4, 5, 6))
+    return search.around(corpus.pages(spark, d), 3, 5)
 
 
 @_query(f"""WITH {_PAGES}, {_CHAPTERS}, near AS (SELECT p.file_id, p.page_num, c.title, c.level FROM pages_v p JOIN chapters_v c ON c.file_id=p.file_id AND c.page_num<=p.page_num
@@ -270,6 +270,16 @@ def snippet_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- structure ----
 
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS file_id, CAST(1 AS INT) AS page_num, concat('Nation ', n_name, ' here', chr(10), chr(10), 'left second', chr(10), chr(10), 'right column') AS text FROM nation")
+def spans_assembled(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of a page with two columns for each nation, out of order; words are joined by the gaps between them."""
+    n = corpus.table(spark, d, "nation")
+    span = lambda block, line, pos, x, y, t, wide=None: F.struct(F.lit(block).alias("block"), F.lit(line).alias("line"), F.lit(pos).alias("pos"), F.lit(float(x)).alias("x0"), F.lit(float(wide or x + 20)).alias("x1"), F.lit(float(y)).alias("y0"), F.lit(10.0).alias("size"), t.alias("text"))
+    made = F.array(span(2, 0, 0, 400, 10, F.lit("right")), span(2, 0, 1, 425, 10, F.lit("column")), span(1, 0, 0, 10, 50, F.lit("left ")), span(1, 0, 1, 40, 50, F.lit("second")), span(0, 1, 0, 10, 20, F.lit("here")), span(0, 0, 0, 10, 10, F.lit("Nat")), span(0, 0, 1, 30.5, 10, F.lit("ion ")), span(0, 0, 2, 60, 10, F.col("n_name")))
+    rows = n.select(F.col("n_nationkey").cast("long").alias("file_id"), F.lit(1).alias("page_num"), F.lit(600.0).alias("page_width"), F.explode(made).alias("s")).select("file_id", "page_num", "page_width", "s.*")
+    return structure.assembled(rows)
+
+
 _EDGES = r"""solid AS (SELECT file_id, page_num, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda s: s <> '') AS s FROM pages_v),
   n AS (SELECT file_id, count(*) AS n_pages FROM pages_v GROUP BY 1 HAVING count(*) > 8),
   edges AS (SELECT file_id, page_num, 'header' AS place, unnest(s[1:3]) AS line FROM solid UNION ALL SELECT file_id, page_num, 'footer', unnest(s[greatest(len(s)-2,1):len(s)]) FROM solid)"""
@@ -371,9 +381,9 @@ _STOP = ",".join(f"'{w}'" for w in rules.STOP_WORDS)
 @_query(f"""SELECT doc_id, len(w) AS n_words, len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_common
   FROM (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', '#', 'g')), '\\b[a-z]+\\b') AS w FROM documents)""")
 def stopword_ratio(spark: SparkSession, d: str) -> DataFrame:
-    ascii_ = F.lower(F.regexp_replace("text", F.lit(r"[^\x00-\x7F]"), F.lit("#")))
-    words = F.regexp_extract_all(ascii_, F.lit(r"\b[a-z]+\b"), F.lit(0))
-    return corpus.table(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.filter("w", lambda x: x.isin(*rules.STOP_WORDS))).cast("long").alias("n_common"))
+    """Letters outside ASCII stand for no word on either side, so that word edges agree."""
+    words = ocr.words(F.regexp_replace("text", F.lit(r"[^\x00-\x7F]"), F.lit("#")))
+    return corpus.table(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(ocr.common(F.col("w"))).cast("long").alias("n_common"))
 
 
 _QUEUE = """q AS (SELECT concat('f', user_id) AS path, CAST(count(*)%3 AS INT) AS attempts FROM events WHERE event_id%2=0 GROUP BY 1),

@@ -62,9 +62,9 @@ def hashed(spark: SparkSession, root: str) -> DataFrame:
 
 
 def relative_path(path: Column, base: Column) -> Column:
-    """The path below ``base`` where it is there, with forward slashes."""
+    """The path below ``base`` where it is there, with forward slashes; the name alone of a file that is the base itself."""
     p, b = (F.replace(x, F.lit("\\"), F.lit("/")) for x in (path, base))
-    return F.when(F.startswith(p, F.concat(b, F.lit("/"))), F.substring(p, F.length(b) + 2, F.length(p))).otherwise(p)
+    return F.when(p == b, F.regexp_extract(p, "([^/]+)$", 1)).when(F.startswith(p, F.concat(b, F.lit("/"))), F.substring(p, F.length(b) + 2, F.length(p))).otherwise(p)
 
 
 def ignore_rules(lines: DataFrame, column: str = "value", folder: Column | None = None) -> DataFrame:
@@ -110,3 +110,12 @@ def text_list(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def query_list(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.trim(column).alias("query")).where((F.col("query") != "") & ~F.startswith("query", F.lit("#")))
+
+
+SPANS = "file_id bigint, page_num int, page_width double, block int, line int, pos int, x0 double, x1 double, y0 double, size double, text string"
+
+
+def spans(spark: SparkSession, path: str) -> DataFrame:
+    """Spans of pages as an extractor wrote them, a line of JSON each. Lines that can't be read are left out, so that one bad
+    page doesn't stop a library; :func:`..operators.structure.assembled` makes pages of them."""
+    return spark.read.schema(SPANS).option("mode", "DROPMALFORMED").json(path)
