@@ -19,33 +19,41 @@ MIX_SHARE, MIX_SEED = 0.8, 11
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known go on; ``lang`` stays as it was. Rejected are texts without a letter and texts
-    far from all languages learned here."""
+    """Documents whose language is known go on; ``lang`` stays as it was. Rejected are texts that are null, empty or without a
+    letter, and texts far from all languages learned here. Without a labelled row no language is known and none goes on.
+    Repeated rows are judged alike; ties go to the language that sorts first. Columns beside those of documents go."""
     model = langid.fit(docs.where(fold(F.col("doc_id")) != 1))
-    found = langid.predict(docs, model, keep_text=True)
+    found = langid.predict(docs.select(*COLUMNS), model, keep_text=True)
     return found.where(~F.col("rejected")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    return minhash.dedup(docs).where("kept").select(*COLUMNS)
+    """Of each class of near-duplicates the document with the smallest id stays; equal ids are one document, and repeated rows
+    of it stay together. Null and empty texts, and rows without an id, are classes of their own. Columns beside those of
+    documents go; an empty table stays empty."""
+    return minhash.dedup(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out; a document of which nothing is left goes. n_chars follows."""
-    left = substring.dedup(docs)
+    """Passages that an earlier document holds are cut out; a document of which nothing is left goes. n_chars follows. Null and
+    empty texts, and rows without an id, stay as they are; repeated rows are cut alike and don't repeat one another. Columns
+    beside those of documents go; an empty table stays empty."""
+    left = substring.dedup(docs.select(*COLUMNS))
     whole = (F.size("spans") == 0) | (F.btrim(F.col("text"), F.lit(" \t\n\x0b\f\r")) != "")
     chars = F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return left.where(whole).withColumn("n_chars", chars).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen so that domains, languages and sources come near their target weights."""
-    return mixing.mix(docs, mix_domain(), mix_weights(), share=MIX_SHARE, seed=MIX_SEED).select(*COLUMNS)
+    """Documents chosen so that domains, languages and sources come near their target weights. Null languages and sources are
+    keys of their own; null and empty texts have no tokens and are not chosen. Repeated rows count each, ties in the order go
+    by id and text. Columns beside those of documents go; an empty table stays empty."""
+    return mixing.mix(docs.select(*COLUMNS), mix_domain(), mix_weights(), share=MIX_SHARE, seed=MIX_SEED).select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of them and of the bytes that they decode to."""
+    """Digests of the token ids of every text and of the bytes that they decode to; a null text counts as empty. Each row has one
+    row, repeated ones too; an empty table stays empty."""
     import public_tokenizers
 
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
