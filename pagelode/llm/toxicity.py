@@ -27,7 +27,7 @@ FACTORS = 6
 ROWS_PER_CLASS = 4000
 #: Penalty on squared weights, the deviation (in standard errors) of a term from which it holds mostly as it is, and the
 #: penalty on squared factors for each term of their texts.
-PENALTY, TELLING, PAIRS = 0.3, 8.0, 1.0
+PENALTY, TELLING, PAIRS = 0.03, 8.0, 1.0
 STEPS, RATE = 100, 0.1
 STEM = 5
 CUT = 0.7

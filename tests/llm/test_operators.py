@@ -273,6 +273,28 @@ def test_machine_learns_pairs_that_tell_nothing_alone():
     assert p[0] > 0.7 and p[1] < 0.3 and p[2] < 0.3
 
 
+def test_sums_equal_brute_force():
+    """Bias, weights, and the product of factors of every pair of terms."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    m = toxicity.Machine(0.3, np.zeros(0), rng.normal(size=40), rng.normal(size=(40, toxicity.FACTORS)))
+    sets = [rng.choice(40, size=k, replace=False) for k in (0, 1, 2, 7, 20)]
+    row = np.repeat(np.arange(5), [len(x) for x in sets])
+    got = toxicity._sums(m, 5, row, np.concatenate(sets).astype(int))
+    for x, z in zip(sets, got, strict=True):
+        pairs = sum(m.factors[i] @ m.factors[j] for a, i in enumerate(x) for j in x[a + 1 :])
+        assert z == pytest.approx(0.3 + m.weight[x].sum() + pairs)
+
+
+def test_held_out_toxicity(spark, sf_dir):
+    """Of rows that the fit never sees: clean ones stay, and the ranking tells the toxic ones."""
+    labels = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/labels.parquet")
+    got = queries.op4_factorization_toxicity(spark, sf_dir.replace("sf0.001", "sf0.1")).join(labels, "doc_id").where("held_out and toxic is not null").select("toxic", "score", "predicted").toPandas()
+    bad, good = got[got.toxic == 1], got[got.toxic == 0]
+    assert (bad.predicted == 1).mean() >= 0.8 and (good.predicted == 1).mean() <= 0.01
+    order = got.score.rank()
+    assert (order[bad.index].sum() - len(bad) * (len(bad) + 1) / 2) / (len(bad) * len(good)) >= 0.95
+
+
 def test_scores_follow_the_rate_of_all_rows(spark):
     """A balanced sample of a table with a tenth of toxic rows, whose texts tell nothing."""
     docs = spark.createDataFrame([(i, "plain words") for i in range(2000)], "doc_id long, text string")

@@ -1,9 +1,11 @@
 """The pipeline end to end on a small corpus, against what each stage must do."""
 
 import random
+from collections import Counter
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagelode.llm import bpe
@@ -46,3 +48,19 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_of_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Repeated rows, nulls in any column, and other columns whose names clash with those that operators add."""
+    rng = random.Random(13)
+    made = ["".join(rng.choices("etaoinshr", k=rng.randint(3, 8))) for _ in range(500)]
+    rows = [(i, _sentence(rng, made, 90), "en", "src1") for i in range(20)]
+    rows += [rows[3], rows[3], (None, rows[4][1], "en", "src2"), (50, None, None, None), (51, "", "en", None), (52, _sentence(rng, made, 70), None, None), (53, rows[5][1], "en", None)]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit(1) for c in ("uid", "kept", "class_id", "label", "spans", "earlier", "epoch", "lang_pred", "score", "rejected", "__whole", "version", "tokens")}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs.withColumns(clash), str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS and stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    kept = Counter(r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect())
+    assert kept == Counter({**dict.fromkeys([*range(20), 50, 51, 52], 1), 3: 3, None: 1})
+    assert corpus_pipeline.STAGES[4][1](spark, docs.withColumns(clash), str(tmp_path)).count() == len(rows)
