@@ -215,7 +215,8 @@ def catalogue(files: DataFrame) -> DataFrame:
 
 
 def embed_pages(hits: DataFrame, per: int = 3) -> DataFrame:
-    """Hits (file_id, page_num) with their number and page in the chat's list, and (file_id, start) of each book."""
+    """Hits (file_id, page_num) with their number and page in the chat's list, and (file_id, start) of each book. Hits are numbered
+    within their books; only the counts, a row for each book, are summed by one task."""
     counts = hits.groupBy("file_id").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("file_id", before.alias("before"))
