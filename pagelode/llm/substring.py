@@ -264,7 +264,7 @@ def _repeated_lines(own: DataFrame) -> DataFrame:
 
 def _late(named: DataFrame) -> DataFrame:
     """(doc, version, a, b, earlier) of the ranges whose key a document with a smaller id has too."""
-    first = named.groupBy("key").agg(F.min("doc").alias("earlier"))
+    first = written(named.groupBy("key").agg(F.min("doc").alias("earlier")), "holders", release=True)  # so that a large class can be split
     return named.join(first.hint("merge"), "key").where("earlier < doc").select("doc", "version", "a", "b", "earlier")
 
 
