@@ -58,6 +58,12 @@ def shared_lines(rows: DataFrame, key: str, column: str = "text", least: int = L
     return a.select("file_a", F.explode(F.slice("fs", F.col("i") + 2, F.size("fs"))).alias("file_b"), "line")
 
 
+@pandas_udf(StringType())
+def _percent(share: pd.Series) -> pd.Series:
+    """With one decimal, of the exact binary value and ties to even, as C and Python print; Java's formats round ties up."""
+    return share.map(lambda v: f"{v * 100:.1f}", na_action="ignore")
+
+
 def duplicate_report(pairs: DataFrame, shared: DataFrame, totals: DataFrame, paths: DataFrame, ratio: float = LEAST_RATIO) -> DataFrame:
     """(ratio, file_a, file_b, report): a text for each pair, with at most ten of its shared lines, long ones cut to 147 characters.
 
@@ -74,7 +80,7 @@ def duplicate_report(pairs: DataFrame, shared: DataFrame, totals: DataFrame, pat
     shown = F.transform(F.slice("lines", 1, 10), lambda s: F.concat(F.lit("  - "), cut(s), F.lit("\n")))
     more = F.when(F.size("lines") > 10, F.concat(F.lit("  ... [and "), F.size("lines") - 10, F.lit(" more shared lines]\n"))).otherwise(F.lit(""))
     file = lambda side: F.concat(F.lit(f"File {side.upper()}: "), f"path_{side}", F.lit(" ("), F.col("shared"), F.lit(" shared paragraphs out of "), F.col(f"total_{side}"), F.lit(" total)\n"))
-    head = F.format_string("Match: %.1f%% overlap\n", share * 100)
+    head = F.concat(F.lit("Match: "), _percent(share), F.lit("% overlap\n"))
     report = F.concat(head, file("a"), file("b"), F.lit("Offending Sentences (Shared Content):\n"), F.array_join(shown, ""), more, F.lit("-" * 80 + "\n"))
     return rows.select(share.alias("ratio"), "file_a", "file_b", report.alias("report"))
 

@@ -140,3 +140,11 @@ def test_fuzzy_titles_equal_all_pairs(spark):
     frames = [spark.createDataFrame([(t,) for t in rows], "title string") for rows in (works, local)]
     got = {r.title: round(r.score, 12) for r in analysis.fuzzy_title_matches(*frames).collect()}
     assert got == want and len(want) > 20
+
+
+def test_report_rounds_shares_as_sql_does(spark):
+    pairs = spark.createDataFrame([(1, 2, 5, 5 / 16, 0.25), (1, 3, 15, 15 / 16, 0.25)], "file_a long, file_b long, shared long, ratio_a double, ratio_b double")
+    shared = spark.createDataFrame([(1, 2, "x"), (1, 3, "x")], "file_a long, file_b long, line string")
+    files = spark.createDataFrame([(i, 16, f"d{i}") for i in (1, 2, 3)], "file_id long, n long, path string")
+    made = analysis.duplicate_report(pairs, shared, files.drop("path"), files.drop("n"))
+    assert sorted(r.report.split("\n")[0] for r in made.collect()) == ["Match: 31.2% overlap", "Match: 93.8% overlap"]
