@@ -41,18 +41,26 @@ def _folder(spark: SparkSession) -> str | None:
     return _FOLDERS[app]
 
 
+def _statuses(spark: SparkSession, source: str) -> list:
+    """What the file system says of a file or folder, and of the files in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [fs.getFileStatus(path)]
+    return found + (list(fs.listStatus(path)) if found[0].isDirectory() else [])
+
+
+def size(spark: SparkSession, source: str) -> int:
+    """Bytes of a source's files."""
+    return sum(f.getLen() for f in _statuses(spark, source))
+
+
 def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` makes of a source's files, written on the first use and read afterwards; made anew if the files change."""
     folder = _folder(spark)
     if folder is None:
         return make()
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(source)
-    fs = path.getFileSystem(conf)
-    found = [fs.getFileStatus(path)]
-    if found[0].isDirectory():
-        found += list(fs.listStatus(path))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = _statuses(spark, source)
     state = "|".join(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in found)
     at = f"{folder}/{name}-{hashlib.sha256(state.encode()).hexdigest()[:24]}"
     done = jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
@@ -62,10 +70,27 @@ def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataF
     return spark.read.parquet(at)
 
 
+#: Ids are numbered in ranges of about so many rows, of which there are at most so many.
+RANGE_ROWS, MOST_RANGES = 10_000, 200
+
+
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes: each source of ``documents`` is a file, its documents are the pages in the order of their ids."""
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select((F.substring("source", 4, 10).cast("long") + 1).alias("file_id"), number.alias("page_num"), "text")
+    """Volumes: each source of ``documents`` is a file, its documents are the pages in the order of their ids.
+
+    A source can hold a large part of all texts. So ids are cut into ranges, pages are numbered within a range of their
+    source, and the pages of the ranges before are added from narrow counts: no task sorts a whole source.
+    """
+    docs = table(spark, sf_dir, "documents")
+    n = min(MOST_RANGES, docs.count() // RANGE_ROWS)
+    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.001)}) if n > 1 else []
+    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(at)).withColumn("key", F.coalesce("source", F.lit("")))
+    sizes = placed.groupBy("key", "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("key", "range", before.alias("before"))
+    rows = placed.select("key", "range", "source", "text", F.row_number().over(Window.partitionBy("key", "range").orderBy("doc_id")).alias("i"))
+    number = (F.col("before") + F.col("i")).cast("int")
+    return rows.join(starts, ["key", "range"]).select((F.substring("source", 4, 10).cast("long") + 1).alias("file_id"), number.alias("page_num"), "text")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
