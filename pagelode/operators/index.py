@@ -11,31 +11,31 @@ from ..functions import text
 from .query import And, Not, Or, Phrase
 
 
-def with_tokens(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("tokens", text.tokens(F.col("text")))
-
-
 def document_frequency(pages: DataFrame) -> DataFrame:
     """(token, df, tf) over all pages."""
-    one = with_tokens(pages).select("file_id", "page_num", F.explode("tokens").alias("token")).groupBy("token", "file_id", "page_num").agg(F.count("*").alias("n"))
+    one = postings(pages).select("token", F.size("positions").alias("n"))
     return one.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
-def _exploded(pages: DataFrame) -> DataFrame:
-    return with_tokens(pages.where(F.col("text").isNotNull())).select("file_id", "page_num", F.posexplode("tokens").alias("pos", "token"))
-
-
 def postings(pages: DataFrame) -> DataFrame:
-    """(token, file_id, page_num, positions) by one shuffle of all tokens."""
-    return _exploded(pages).groupBy("token", "file_id", "page_num").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(token, file_id, page_num, positions), without a shuffle: a page is one row, so its tokens are sorted with their
+    positions inside it, and cut where the next token begins."""
+    each = F.sort_array(F.transform(text.tokens(F.col("text")), lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
+    rows = pages.select("file_id", "page_num", each.alias("each")).where(F.size("each") > 0)
+    token = lambda i: F.element_at("each", i)["token"]
+    begins = F.filter(F.sequence(F.lit(1), F.size("each")), lambda i: F.when(i == 1, True).otherwise(token(i) != token(i - 1)))
+    rows = rows.select("file_id", "page_num", "each", begins.alias("begins"))
+    ends = F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(F.size("each") + 1))
+    rows = rows.select("file_id", "page_num", "each", F.arrays_zip(F.col("begins").alias("a"), ends.alias("z")).alias("spans"))
+    positions = lambda s: F.transform(F.sequence(s["a"], s["z"] - 1), lambda i: F.element_at("each", i)["pos"])
+    terms = F.transform("spans", lambda s: F.struct(token(s["a"]).alias("token"), positions(s).alias("positions")))
+    return rows.select("file_id", "page_num", F.explode(terms).alias("t")).select("t.token", "file_id", "page_num", "t.positions")
 
 
 def sorted_postings(pages: DataFrame, parts: int) -> DataFrame:
-    """Postings in ranges of tokens, sorted, so that a token or prefix reads few row groups. The ranges serve the grouping as
-    well, so there is one shuffle; a frequent token is cut by its files."""
-    ranged = _exploded(pages).repartitionByRange(parts, "token", "file_id")
-    grouped = ranged.groupBy("token", "file_id", "page_num").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.sortWithinPartitions("token", "file_id", "page_num")
+    """Postings in segments of pages, each sorted by token, so that a token or prefix reads a small piece of each segment. Only
+    the pages are dealt out; a segment is sorted in one task, so there should be more of them for larger libraries."""
+    return postings(pages.repartition(parts, "file_id", "page_num")).sortWithinPartitions("token", "file_id", "page_num")
 
 
 def write_postings(pages: DataFrame, path: str, parts: int) -> None:

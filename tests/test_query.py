@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagelode.functions import text
 from pagelode.operators import index, query, search
 from pagelode.operators.query import DATABASE, SYNTAX, And, Not, Or, Phrase, parse
+from pagelode.sources import corpus
 
 TEXTS = ["The quick brown fox", "Don't panic: snap-hip jump", "war and peace", "fox the quick", "Crème brûlée snaphip", "x²y a1b2 中文字", "", None]
 
@@ -70,3 +71,10 @@ def test_written_postings_are_cut_by_token(spark, pages, tmp_path):
     again = spark.read.parquet(str(tmp_path / "p"))
     assert again.count() == index.postings(pages).count()
     assert {r.file_id for r in index.matching_pages(again, parse("fox").tree).collect()} == {0, 3}
+
+
+def test_postings_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, 1, "the a the b"), (1, 2, None), (2, 1, ""), (2, 2, "a")], corpus.PAGES)
+    made = index.postings(rows)
+    assert sorted(map(tuple, made.collect())) == [("a", 1, 1, [1]), ("a", 2, 2, [0]), ("b", 1, 1, [3]), ("the", 1, 1, [0, 2])]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
