@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -204,6 +204,12 @@ STEPS = (
 )
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session get at most 1000 rows or 4 MB, since texts can be long and each worker holds several copies."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
 def cleaned(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with a column of texts taken through the whole pipeline; null stays null.
 
