@@ -169,3 +169,46 @@ def test_snippet_on_demand_of_odd_pages(spark, tmp_path, pages):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert oracle.differences(registry.queries()["snippet_on_demand"](spark, str(tmp_path)), con, registry.oracle_sql()["snippet_on_demand"]) == ""
+
+
+def test_pages_are_numbered_in_ranges(spark, tmp_path, monkeypatch):
+    """No task sorts a whole source: ids are cut into ranges, and the numbers are those of one window over the source."""
+    monkeypatch.setattr(corpus, "RANGE_ROWS", 5)
+    ids = [(7 * i) % 101 * 10**9 - 5 for i in range(100)]
+    rows = [(k, f"text {k}", f"src{0 if i % 3 else i % 7}") for i, k in enumerate(ids)] + [(3, "none", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(int(s[3:]) + 1, n, t) for s in {r[2] for r in rows if r[2]} for n, (_, t, _) in enumerate(sorted(r for r in rows if r[2] == s), 1)]
+    made = corpus.numbered(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in made.collect() if r.file_id is not None) == sorted(want)
+    assert [tuple(r) for r in made.where("file_id is null").collect()] == [(None, 1, "none")]
+    assert "windowspecdefinition(key#" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_breadcrumbs_of_many_chapters(spark):
+    """Against a walk back over the chapters; and a file's chapters are not gathered beside each of its pages."""
+    toc = [(1, 1 + (i * 37) % 90, f"t{i}", 1 + (i * 13) % 4) for i in range(60)]
+    want = []
+    for p in range(1, 101):
+        kept = []
+        for _, _, title, level in sorted((c for c in toc if c[1] <= p), key=lambda c: (c[1], c[3], c[2]), reverse=True):
+            if not kept or level < kept[-1][1]:
+                kept.append((title, level))
+        want.append((1, p, " > ".join(t for t, _ in reversed(kept)) or None))
+    pages = spark.createDataFrame([(1, p) for p in range(1, 101)], "file_id long, page_num int")
+    made = search.breadcrumbs(pages, spark.createDataFrame(toc, corpus.CHAPTERS))
+    assert _rows(made) == want
+    assert "AS toc" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_first_hits_move_their_texts(spark):
+    pages = spark.createDataFrame([(1, p, f"the page {p}") for p in range(1, 8)], corpus.PAGES)
+    chosen = spark.createDataFrame([(1,)], "file_id long")
+    made = search.page_hits(pages.select("file_id", "page_num"), pages, chosen, 2)
+    assert _rows(made) == [(1, p, p, f"the page {p}" if p < 3 else "") for p in range(1, 8)]
+    assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString() and "rightHint=(strategy=broadcast)" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merging_sets_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    search.merged(spark.createDataFrame([("a", "b")], "x string, y string"), "x", "y")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
