@@ -7,8 +7,13 @@ by words (double quotes, words broken at a hyphen) are Arrow UDFs over whole col
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -106,10 +111,14 @@ def restore(text: Column) -> Column:
     return text
 
 
+def contraction_rules() -> list[tuple[str, str]]:
+    glued, apart = rules.GLUED_CONTRACTION
+    return [*rules.MISREAD_WORDS, (r"(?iU)\b(" + "|".join(rules.CONTRACTIONS) + ")" + glued, apart), *rules.APOSTROPHES]
+
+
 def contractions(text: Column) -> Column:
     """Apostrophes that stand apart from their words, or glue two words together."""
-    glued, apart = rules.GLUED_CONTRACTION
-    return _each(text, *rules.MISREAD_WORDS, (r"(?iU)\b(" + "|".join(rules.CONTRACTIONS) + ")" + glued, apart), *rules.APOSTROPHES)
+    return _each(text, *contraction_rules())
 
 
 def quotes_before(text: Column) -> Column:
@@ -198,12 +207,84 @@ def heal_hyphens(texts: pd.Series) -> pd.Series:
     return _over(heal, texts)
 
 
+def _has(*parts: str) -> Callable[[Column], Column]:
+    return lambda text: reduce(or_, [F.contains(text, F.lit(x)) for x in parts])
+
+
+def _like(*patterns: str) -> Callable[[Column], Column]:
+    return lambda text: reduce(or_, [F.regexp_like(text, F.lit(x)) for x in patterns])
+
+
+def _classes(characters: list[str]) -> list[str]:
+    """Those below 256, which the engine keeps in a table, and the others, whose list it goes through for characters from there on."""
+    low, high = ("".join(f"\\u{ord(c):04X}" for c in characters if (ord(c) < 256) == x) for x in (True, False))
+    return [f"[{low}]", rf"[\u0100-\uFFFF&&[{high}]]"]
+
+
+def _rule(pattern: str, to: str) -> Callable[[Column], Column]:
+    return lambda text: _each(text, (pattern, to))
+
+
+def _rules(rows: list[tuple[str, str]], *needs: Callable[[Column], Column]) -> list[tuple]:
+    return [(need, _rule(*row)) for need, row in zip(needs, rows, strict=True)]
+
+
+_GLUED, _STOPS = r"(?:s|t|d|m|ll|re|ve)", r"[~¦:;,.]"
+#: The pipeline: what a text must hold for a step to change it, and the step. A text without it is passed on as it is, so that
+#: most texts cost one cheap scan a step. After the first step, blanks and line ends are all the white space that there is; the
+#: conditions count on that. Those of several rules hold for all of them: where none can match the text stays the same between.
 STEPS = (
-    whitespace, spaced_out, watermarks, boilerplate, ellipsis, garbage, characters,
-    protect_urls, protect_abbreviations, protect_references, contractions, quotes_before, smart_quotes, quotes_after, punctuation, restore, heal_urls, heal_hyphens, collapse,
+    (lambda t: _has("  ")(t) | _like(r"[\t\x0B\f\r\x85\xA0]", r"[\u1000-\uFFFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]")(t), whitespace),
+    (_like(r"(?U)[ \n]\w[ \n]\w\b"), spaced_out),
+    (_like(r"(?i)pdf|tfan"), watermarks),
+    (lambda t: _has("CONTENTS", "Table of Contents")(t) | _like(r"(?iU)HORUS HERESY", rf"(?dUi)\A\s*{rules.BOILERPLATE_HEADS}", rf"(?dUi)\n\s*{rules.BOILERPLATE_HEADS}")(t), boilerplate),
+    (_has(". .", ".\n.", ".  ", ". \n", ".\n ", ".\n\n"), ellipsis),
+    *_rules(
+        [(p, "") for p in rules.GARBAGE],
+        _has("¦"), _like(r"[#=~*_\-]{4}"), _has("~", "¦"), _like(rf"{_STOPS}[A-Za-z0-9]+{_STOPS}+[A-Za-z0-9]"), _like("[~:.;,¦'\"“]{2,}(?:[ \n]|\\z)"),
+        _like(rf"{_STOPS}{{2}}"), _like(r"([^ \n])\1{4}"), _like(r"(?=[^ \n]{6})([^ \n]{2,})\1{2}"), _like(r"(?:\A|[ \n])([^ \n]++)[ \n]++\1[ \n]++\1(?:[ \n]|\z)"), _has("####", "....."),
+    ),
+    (_like(*_classes([*rules.SINGLE_CHARACTERS, *rules.STRING_CHARACTERS, *rules.DROPPED_CHARACTERS])), characters),
+    (lambda t: _has("://", "�")(t) | _like(r"[wW]{3}\.")(t), protect_urls),
+    (_has(".g", ".G", ".e", ".E"), protect_abbreviations),
+    (_has("&"), protect_references),
+    *_rules(
+        contraction_rules(),
+        _has("fne"), _has("stus"), _like(rf"(?iU)'[ \n]*{_GLUED}[a-z]"), _has("s'", "S'"), _like(rf"(?iU)'[ \n]+{_GLUED}\b"), _like(rf"(?iU)[ \n]'{_GLUED}\b"), _has(" '"),
+    ),
+    *_rules(
+        rules.QUOTES_BEFORE,
+        _like("[ \n][‘“'\"][ \n]", "\\A[‘“'\"][ \n]"), _like("[ \n]['\"”’](?:[ \n.,!?;]|\\z)"), _like(r"(?U)'(?<=[^\w \n]')[A-Za-z]"),
+    ),
+    ('"', curl),
+    *_rules(
+        rules.QUOTES_AFTER,
+        _has(",'", ":'", ";'"), _has(".'", "!'", "?'"), _like(r"(?iU)'(?<=[a-z]{3}')[a-z]{2}"), _has('"'), _has('"'), _has('""'), _has("''"),
+    ),
+    *_rules(
+        rules.PUNCTUATION,
+        _like(r"\.(?<=['\"“”‘’]\.)[ \n]*[A-Z]"), _has('"'), _has("..."), _like(r"[ \n][:,.!?;]"), _like(r"[:,.!?;][A-Za-z]"), _like(r"[.!?][ \n]+['\"“”‘’]"),
+    ),
+    (_has("<"), restore), (_has("http", "www.", "HTTP", "WWW."), heal_urls), (r"-\s", heal), (_has("  "), collapse),
 )
 
 
+def _in_python(rows: DataFrame, column: str, needed: str, step: Callable[[str], str]) -> DataFrame:
+    """The step for texts that match the pattern. Not a UDF, above which Spark folds projections into one another."""
+    at = rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            some = pc.fill_null(pc.match_substring_regex(texts, needed), False)
+            if pc.any(some).as_py():
+                made = pa.array([step(t) for t in texts.filter(some).to_pylist()], texts.type)
+                batch = batch.set_column(at, batch.schema.field(at), pc.replace_with_mask(texts, some, made))
+            yield batch
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of the session get at most 1000 rows or 4 MB, since texts can be long and each worker holds several copies."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
@@ -214,8 +295,13 @@ def cleaned(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with a column of texts taken through the whole pipeline; null stays null.
 
     Each step is a projection of its own: steps that look at their input more than once are then not folded into one
-    expression, which would work out all that stands before them again each time.
+    expression, which would work out all that stands before them again each time. Texts that a step can't change go round it.
     """
-    for step in STEPS:
-        rows = rows.withColumn(column, step(F.col(column)))
+    small_batches(rows.sparkSession)
+    text = F.col(column)
+    for needed, step in STEPS:
+        if isinstance(needed, str):
+            rows = _in_python(rows, column, needed, step)
+        else:
+            rows = rows.withColumn(column, F.when(needed(text), step(text)).otherwise(text))
     return rows

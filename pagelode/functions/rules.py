@@ -33,6 +33,8 @@ BOILERPLATE = [
     r"(?dUis)(?:^|\n)\s*The STAR WARS Novels Timeline.*",
     r"(?dUi)(?:^|\n)\s*Chapter\s+(?:[0-9]+|[IVXLCDM]+|[a-zA-Z]+)\s*(?=\n|$)",
 ]
+#: What the last four of these begin with, after the beginning of a text or a line
+BOILERPLATE_HEADS = r"(?:An?\s+(?:[\w-]+\s+){1,5}Publication|Copyright|Dedication|Acknowledgement|Legal|About the|By (?:George|Guy|Dan|Gav|John)|eBook license|Afterword|Further reading|Introduction to|Praise for|Backlist|Other Titles|Also by|Excerpt from|Contents|The STAR WARS|Chapter\s)"
 SPACED_ELLIPSIS = r"(?U)\.(?:\s+\.){2,}"
 GARBAGE = [
     r"(?dm)^[^\n]*[¦][^\n]*(?:\n|$)",

@@ -1,5 +1,7 @@
 """Goldens of the cleaning steps, snippets and small text functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,21 @@ def test_fold_matches():
     rows = [{"page_num": p, "snippet": s, "chapter": None} for p, s in ((1, "a b c d"), (2, "a b c e"), (3, "a b c d"), (5, "q"), (6, "r"), (7, "s"), (9, None))]
     kept = [(r["page_num"], r["snippet"]) for r in search.fold_matches(rows)]
     assert kept == [(1, "a b c d"), (3, None), (5, "q"), (6, "r"), (7, None), (9, None)]
+
+
+def test_a_text_goes_round_steps_that_cannot_change_it(spark):
+    pieces = ["s o m e", "a  b", "x\u00a0y", "\u3000z", "a ¦ b\n", "ab~cd", "a.b.c.d", "hahaha", "aaaaaa", "go go go", "......", "----", "“q”", "`", "|x", "\x1c", "\x00", "ſe", "https://a.b:80/c,d", "e.g.", "&amp;", "fne",
+              "that'sa", "James'hat", "can' t", "John 's", '" hi', "so,'yes", 'end."Next', "say!''go", "word'. Next", "so...Next", "ab ,cd", "one.two", "www. site. com", "emper- or", "half-\ndone", "\nDedication\nfor", "\nCONTENTS\nPART ONE\n", "oceanofpdf.com", ". . .", "\ufffd", "<PRD>", "è", "!\n'", "plain words", "\nChapter X\n"]
+    rng = random.Random(5)
+    texts = [rng.choice(["", " ", "\n"]).join(rng.choice(pieces) for _ in range(rng.randint(1, 4))) for _ in range(1500)] + pieces
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    order = "whitespace spaced_out watermarks boilerplate ellipsis garbage characters protect contractions quotes_before smart_quotes quotes_after punctuation restore heal_urls heal_hyphens collapse".split()
+    plain = rows
+    for name in order:
+        plain = plain.withColumn("t", getattr(cleaning, name)(F.col("t")))
+    made = cleaning.cleaned(rows, "t")
+    assert {r.i: r.t for r in made.collect()} == {r.i: r.t for r in plain.collect()}
+    # a step is behind a condition, so that a text without artefacts is not run through the rules
+    text = F.col("t")
+    clean = spark.createDataFrame([("Plain words stand here, and nothing is wrong with them.",)], "t string")
+    assert not any(clean.select(*[need(text) for need, _ in cleaning.STEPS if callable(need)]).first())
