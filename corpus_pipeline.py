@@ -77,5 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
+            docs = written(docs, f"pipeline-{name}", release=True)
     return docs

@@ -26,7 +26,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hooks = step.where("new < label").groupBy("label").agg(F.min("new").alias("hook")).withColumnRenamed("label", "node")
         hooked = step.join(hooks, "node", "left").select("node", "label", F.least("new", "hook").alias("new"))  # nulls are skipped
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
-        after = written(hooked.join(jump, "new").select("node", F.col("label").alias("old"), F.least("new", "further").alias("label")), "labels")
+        after = written(hooked.join(jump, "new").select("node", F.col("label").alias("old"), F.least("new", "further").alias("label")), "labels", release=True)
         changed = not after.where("old <> label").isEmpty()
         remove_written(labels)
         labels = after.select("node", "label")

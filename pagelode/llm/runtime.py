@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -54,19 +55,38 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and return that table.
 
     This cuts the lineage: a lost executor costs only the tasks that it ran, since the written files stay. With ``release``
-    the driver collects its garbage afterwards, upon which Spark deletes the shuffle files of the plan that has ended; else
-    they stay until the driver happens to do so.
+    the driver gives its memory back afterwards (:func:`give_back`), upon which Spark deletes the shuffle files of the plan
+    that has ended; else they stay until the driver happens to do so.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagelode/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _WRITTEN.append(path)
     if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back(spark: SparkSession) -> bool:
+    """Collect the driver's garbage and return the free memory of its C heap; whether the JVM could do the latter.
+
+    Hundreds of plans with hundreds of tasks each leave both behind: the C library keeps what threads and buffers of ended
+    plans had, beside Java's heap and without its limit.
+    """
+    gc.collect()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    try:  # through the interface, since the class of the server isn't open to callers
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, given)
+    except Py4JError:  # not every JVM has it
+        return False
+    return True
+
+
 def remove_written(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that no later plan reads."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

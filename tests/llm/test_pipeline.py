@@ -64,3 +64,14 @@ def test_stages_of_odd_tables(spark, tmp_path):
     kept = Counter(r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect())
     assert kept == Counter({**dict.fromkeys([*range(20), 50, 51, 52], 1), 3: 3, None: 1})
     assert corpus_pipeline.STAGES[4][1](spark, docs.withColumns(clash), str(tmp_path)).count() == len(rows)
+
+
+def test_the_driver_gives_memory_back_between_plans(spark, monkeypatch):
+    from pagelode.llm import components, runtime
+
+    assert runtime.give_back(spark)
+    calls = []
+    monkeypatch.setattr(runtime, "give_back", lambda s: calls.append(s))
+    label = components.components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"))
+    assert {(r.node, r.label) for r in label.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert calls  # after each round
